@@ -1,0 +1,56 @@
+"""Applications derived from row ids, for tests of load and for demos.
+
+Every value is a function of (id, seed): any partitioning gives the same table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Domains of the generated applications (integers are half-open, as drawn).
+INTEGER_DOMAINS = {
+    "age": (18, 70),
+    "income": (20_000, 150_000),
+    "credit_amount": (1_000, 50_000),
+    "loan_duration": (6, 60),
+    "existing_credits": (0, 5),
+    "dependents": (0, 5),
+    "residence_since": (0, 20),
+}
+REAL_DOMAINS = {"payment_to_income": (0.1, 0.5), "installment_rate": (1.0, 4.0)}
+CATEGORY_DOMAINS = {
+    "credit_history": ("A30", "A31", "A32", "A33", "A34"),
+    "purpose": ("A40", "A41", "A42", "A43", "A44"),
+    "savings": ("A61", "A62", "A63", "A64"),
+}
+RISKY_HISTORY = ("A33", "A34")
+
+
+def _unit(key: Column, salt: str, seed: int) -> Column:
+    """Uniform in [0, 1) from the top bits of a hash."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(salt), F.lit(seed)), 11) / F.lit(float(2**53))
+
+
+def synthetic_applications(ids: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
+    """One application per row of ``ids``; default follows from three risk rules."""
+    k = F.col(key)
+    columns: dict[str, Column] = {}
+    for name, (lo, hi) in INTEGER_DOMAINS.items():
+        columns[name] = (F.floor(_unit(k, name, seed) * (hi - lo)) + lo).cast("int")
+    for name, (lo, hi) in REAL_DOMAINS.items():
+        columns[name] = _unit(k, name, seed) * (hi - lo) + lo
+    for name, values in CATEGORY_DOMAINS.items():
+        pick = F.floor(_unit(k, name, seed) * len(values)).cast("int")
+        columns[name] = F.get(F.array(*[F.lit(v) for v in values]), pick)
+    drawn = ids.select(k, *[c.alias(n) for n, c in columns.items()])
+    risky = (
+        (F.col("payment_to_income") > 0.4)
+        | F.col("credit_history").isin(*RISKY_HISTORY)
+        | (F.col("age") < 25)
+    )
+    return drawn.withColumn("default", risky.cast("int"))
+
+
+def generate(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    return synthetic_applications(spark.range(n), "id", seed)
