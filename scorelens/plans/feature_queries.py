@@ -54,8 +54,8 @@ def p3(spark, d):
 
 @query(
     "p4_ratio_features",
-    f"""SELECT l_orderkey, l_linenumber, l_partkey, {r('l_extendedprice / nullif(l_discount, 0)', 'debt_to_income_ratio')},
-    {r('l_extendedprice / nullif(l_quantity, 0)', 'monthly_payment')} FROM lineitem""",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / nullif(l_discount, 0) AS debt_to_income_ratio,
+    l_extendedprice / nullif(l_quantity, 0) AS monthly_payment FROM lineitem""",
 )
 def p4(spark, d):
     items = table(spark, d, "lineitem").select(
@@ -66,7 +66,7 @@ def p4(spark, d):
         F.col("l_discount").alias("income"),
         F.col("l_quantity").alias("loan_duration"),
     )
-    return tidy(P.ratio_features(items).drop("credit_amount", "income", "loan_duration"))
+    return P.ratio_features(items).drop("credit_amount", "income", "loan_duration")
 
 
 @query(
@@ -88,12 +88,12 @@ SQL_FEATURES = {
 
 @query(
     "p6_sql_features",
-    f"""SELECT l_orderkey, l_linenumber, l_partkey, {r(SQL_FEATURES['net'], 'net')}, {SQL_FEATURES['size_class']} AS size_class
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, {SQL_FEATURES['net']} AS net, {SQL_FEATURES['size_class']} AS size_class
     FROM lineitem""",
 )
 def p6(spark, d):
     out = P.sql_features(table(spark, d, "lineitem"), SQL_FEATURES)
-    return tidy(out.select("l_orderkey", "l_linenumber", "l_partkey", "net", "size_class"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "net", "size_class")
 
 
 @query(
@@ -322,10 +322,10 @@ def f14(spark, d):
     return prediction_log(spark, d).select("request_id", C.risk_level("probability").alias("risk"))
 
 
-@query("f15_guarded_ratio", f"SELECT c_custkey, {r('c_acctbal / greatest(c_nationkey, 1)', 'per_nation')} FROM customer")
+@query("f15_guarded_ratio", "SELECT c_custkey, c_acctbal / greatest(c_nationkey, 1) AS per_nation FROM customer")
 def f15(spark, d):
     c = table(spark, d, "customer")
-    return tidy(c.select("c_custkey", C.guarded_ratio("c_acctbal", "c_nationkey").alias("per_nation")))
+    return c.select("c_custkey", C.guarded_ratio("c_acctbal", "c_nationkey").alias("per_nation"))
 
 
 # ---- fit and transform -------------------------------------------------------------------------
