@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def kolmogorov_tail(statistic: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -20,7 +21,7 @@ def kolmogorov_tail(statistic: Column, n: Column, m: Column, terms: int = 100) -
     return F.when(lam2 < 0.04, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2.0)), na_action="ignore")
 
@@ -41,7 +42,7 @@ def _chi2_tail(x: float, df: int) -> float:
     return min(1.0, total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(d) else _chi2_tail(float(a), int(d)) for a, d in zip(x, df)],

@@ -26,8 +26,10 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from scorelens.plans import (  # noqa: F401
+        drift_queries,
         evaluate_queries,
         feature_queries,
         log_queries,
         quality_queries,
+        slo_queries,
     )
