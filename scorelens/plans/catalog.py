@@ -30,6 +30,7 @@ def load_all() -> None:
         evaluate_queries,
         feature_queries,
         log_queries,
+        model_queries,
         quality_queries,
         slo_queries,
     )

@@ -12,6 +12,7 @@ from scorelens.operators import lookups as J
 from scorelens.plans.catalog import query
 from scorelens.plans.evaluate_queries import LONG, version_metrics
 from scorelens.plans.tidy import r, t, tidy
+from scorelens.session import pin_small
 from scorelens.sources.views import (
     AS_OF,
     LOG_SQL,
@@ -340,7 +341,7 @@ TESTS = f"""{DATASET}, cur AS (SELECT * FROM sides WHERE side = 1), tst AS (
 def tests_of(spark, d):
     _, cur = drift_sides(spark, d)
     return R.drift_tests(
-        report(spark, d), cur, NUM, important=["quantity"], bounds={"quantity": (0.0, 50.0)}
+        pin_small(report(spark, d)), cur, NUM, important=["quantity"], bounds={"quantity": (0.0, 50.0)}
     )
 
 
@@ -364,11 +365,9 @@ def d18_verdict(spark, d):
 
 def state(spark, d):
     """One row of drift state: data drift, concept drift, decay."""
-    decay = R.performance_decay(pairs(spark, d), limit_percent=1.0)
-    return (
-        D.one_row(R.dataset_drift(report(spark, d)), concept(spark, d), D.decay_flag(decay)),
-        decay,
-    )
+    decay = pin_small(R.performance_decay(pairs(spark, d), limit_percent=1.0))
+    one = D.one_row(R.dataset_drift(report(spark, d)), concept(spark, d), D.decay_flag(decay))
+    return pin_small(one), decay
 
 
 SCORES = f"""{DATASET.replace('WITH ', 'WITH ' + PAIRS[5:] + ', ', 1)},

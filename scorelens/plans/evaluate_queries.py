@@ -11,6 +11,7 @@ from scorelens.operators.explain import absolute_contributions
 from scorelens.plans.catalog import query
 from scorelens.plans.log_queries import BATCH_RUNS, batch_runs
 from scorelens.plans.tidy import r, t, tidy
+from scorelens.session import pin_small
 from scorelens.sources.views import SCORED_SQL, scored_labels, table
 
 SC = f"WITH {SCORED_SQL}"
@@ -115,7 +116,7 @@ def j1(spark, d):
 def version_metrics(spark, d):
     """Metric rows of both versions, from one evaluation."""
     wide = M.evaluation(versions_long(spark, d), "label", "score", ["version"])
-    long = M.metrics_long(wide, ["version"])
+    long = M.metrics_long(pin_small(wide), ["version"])
     return tuple(long.filter(F.col("version") == v).select("metric", "value") for v in ("v1", "v2"))
 
 
