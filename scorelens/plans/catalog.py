@@ -33,4 +33,5 @@ def load_all() -> None:
         model_queries,
         quality_queries,
         slo_queries,
+        stream_queries,
     )
