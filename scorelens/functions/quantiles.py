@@ -51,7 +51,12 @@ def grouped_quantiles(
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), accuracy).alias("_m"),
     )
     table = collect_small(brackets)
-    if table is not None and (table.num_rows == 0 or pc.max(table["_n"]).as_py() <= exact_below):
+    if table is not None:
+        largest = pc.max(table["_n"]).as_py() if table.num_rows else 0
+    else:
+        sizes = base.groupBy(*keys).agg(F.count("_v").alias("_n"))
+        largest = sizes.agg(F.max("_n")).first()[0]
+    if largest <= exact_below:
         return spread(base.groupBy(*keys).agg(F.percentile("_v", wanted).alias("_q")))
     if table is not None:
         brackets = df.sparkSession.createDataFrame(table, schema=brackets.schema)

@@ -43,10 +43,6 @@ def _both_counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def numeric_counts(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _both_counts(unpivot_numeric(sides, columns, ["side"]), ["column", "value"])
-
-
 def text_counts(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
     text = sides.select("side", *[F.col(c).cast("string").alias(c) for c in columns])
     long = text.unpivot(["side"], list(columns), "column", "value").filter("value IS NOT NULL")
@@ -80,12 +76,16 @@ def ks_drift(
 
 
 def psi_of_counts(counts: DataFrame, keys: Sequence[str] = ("column",), floor: float = PSI_FLOOR) -> DataFrame:
-    """Population stability index of counts per (keys, bin). An empty bin counts as the floor share."""
-    w = Window.partitionBy(*keys)
-    shares = counts.select(
+    """Population stability index of counts per (keys, bin). An empty bin counts as the floor share.
+
+    A column may have very many values, so its totals are not taken over a window. They are one row per
+    measured column (and time window), a number set by the caller, and are broadcast to the counts.
+    """
+    totals = counts.groupBy(*keys).agg(F.sum("n_ref").alias("_r"), F.sum("n_cur").alias("_c"))
+    shares = join_keys(counts, F.broadcast(totals), list(keys)).select(
         *keys,
-        F.greatest(F.try_divide(F.col("n_ref"), F.sum("n_ref").over(w)), F.lit(floor)).alias("p"),
-        F.greatest(F.try_divide(F.col("n_cur"), F.sum("n_cur").over(w)), F.lit(floor)).alias("q"),
+        F.greatest(F.coalesce(F.try_divide("n_ref", "_r"), F.lit(0.0)), F.lit(floor)).alias("p"),
+        F.greatest(F.coalesce(F.try_divide("n_cur", "_c"), F.lit(0.0)), F.lit(floor)).alias("q"),
     )
     return shares.groupBy(*keys).agg(F.sum((F.col("p") - F.col("q")) * F.log(F.col("p") / F.col("q"))).alias("psi"))
 

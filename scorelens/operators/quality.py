@@ -13,6 +13,7 @@ from scorelens.functions.quantiles import grouped_quantiles
 from scorelens.functions.running import join_keys
 from scorelens.operators.predlog import flag
 from scorelens.operators.ranking import top_k
+from scorelens.session import pin_small
 
 # Ranges and category lists of the application table, limits of the checks.
 NUMERIC_RANGES = {
@@ -270,6 +271,29 @@ def _rows(df: DataFrame, check: Column, severity: Column, passed: Column | None
     return df.select(check.alias("check"), ok.alias("passed"), severity.alias("severity"))
 
 
+def column_facts(
+    df: DataFrame, ranges: Mapping[str, tuple[float, float]] | None = None
+) -> DataFrame:
+    """Row count, missing values, constancy and range violations of every column, in one pass."""
+    ranges = ranges or {}
+
+    def outside(c: str) -> Column:
+        if c not in ranges or not isinstance(df.schema[c].dataType, T.NumericType):
+            return F.lit(False)
+        return (F.col(c) < ranges[c][0]) | (F.col(c) > ranges[c][1])
+
+    return per_column(
+        df,
+        df.columns,
+        {
+            "missing": lambda c: F.sum(flag(_is_blank(df, c))),
+            "constant": lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(True)),
+            "outside": lambda c: F.sum(flag(outside(c))),
+        },
+        [("rows", F.count(F.lit(1)))],
+    )
+
+
 def validate(
     df: DataFrame,
     target: str,
@@ -279,64 +303,61 @@ def validate(
     min_samples: int = 100,
     max_missing_percent: float = 5.0,
 ) -> DataFrame:
-    """All checks as rows ``(check, passed, severity)``; severity is NULL, ``warning`` or ``error``."""
+    """All checks as rows ``(check, passed, severity)``; severity is NULL, ``warning`` or ``error``.
+
+    Structure, missing values, ranges and constant columns come from one pass, pinned as one row per
+    column; target, categories, duplicates and outliers each read only what they need.
+    """
     none = F.lit(None).cast("string")
-    st = structure_checks(df, target, min_samples)
-    structure = st.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("min_samples").alias("check"),
-                    F.col("min_samples").alias("passed"),
-                    F.when(~F.col("min_samples"), "warning").alias("severity"),
-                ),
-                # A missing target is an error here and a warning of the target section.
-                F.struct(
-                    F.lit("has_target_column").alias("check"),
-                    F.col("has_target_column").alias("passed"),
-                    F.when(~F.col("has_target_column"), "error").alias("severity"),
-                ),
-                F.struct(
-                    F.lit("has_features").alias("check"), F.col("has_features").alias("passed"), none.alias("severity")
-                ),
-            )
-        )
-    )
-    profile = null_profile(df)
-    share = F.col("missing_percent")
+    facts = pin_small(column_facts(df, ranges))
+    share = F.col("missing") * 100.0 / F.col("rows")
+    has_target = target in df.columns
+    many = F.max("rows") >= min_samples
+    complete = F.coalesce(F.max(share) <= max_missing_percent, F.lit(True))
+
+    def scored(name: str, passed: Column, severity: Column) -> Column:
+        return F.struct(F.lit(name).alias("check"), passed.alias("passed"), severity.alias("severity"))
+
+    basic = facts.agg(
+        F.array(
+            scored("min_samples", many, F.when(~many, "warning")),
+            # A missing target is an error here and a warning of the target section.
+            scored("has_target_column", F.lit(has_target), none if has_target else F.lit("error")),
+            scored("has_features", F.lit(len(df.columns) > 1), none),
+            scored("missing_values", complete, none),
+        ).alias("c")
+    ).select(F.inline("c"))
+    outside = F.col("outside") * 100.0 / F.col("rows")
+    constant = facts.filter("constant").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
     parts = [
-        structure,
-        _rows(null_totals(profile), F.lit("missing_values"), none, F.col("max_missing_percent") <= max_missing_percent),
+        basic,
         _rows(
-            profile.filter(share > 0),
+            facts.filter("missing > 0"),
             F.concat(F.lit("missing:"), F.col("column")),
             F.when(share > max_missing_percent, "error").otherwise("warning"),
         ),
+        _rows(
+            facts.filter("outside > 0"),
+            F.concat(F.lit("range:"), F.col("column")),
+            F.when(outside > OUT_OF_RANGE_ERROR, "error").otherwise("warning"),
+        ),
+        _rows(constant, F.lit("constant_columns"), F.lit("warning")),
     ]
-    if target in df.columns:
-        tc = target_checks(df, target)
+    if has_target:
+        tc = pin_small(target_checks(df, target))
+        whole = F.col("missing_target") == 0
         parts += [
             _rows(tc, F.lit("target_present"), none, F.lit(True)),
-            _rows(
-                tc,
-                F.lit("target_complete"),
-                F.when(F.col("missing_target") > 0, "error"),
-                F.col("missing_target") == 0,
-            ),
+            _rows(tc, F.lit("target_complete"), F.when(~whole, "error"), whole),
             _rows(tc.filter("invalid_target > 0"), F.lit("target_values"), F.lit("error")),
             _rows(tc.filter("imbalanced"), F.lit("target_balance"), F.lit("warning")),
         ]
     else:
-        parts.append(_rows(st, F.lit("target_absent"), F.lit("warning")))
-    if ranges:
-        bad = range_violations(df, ranges)
-        parts.append(_rows(bad, F.concat(F.lit("range:"), F.col("column")), F.col("severity")))
+        parts.append(_rows(facts.limit(1), F.lit("target_absent"), F.lit("warning")))
     if allowed:
         bad = category_violations(df, allowed)
         parts.append(_rows(bad, F.concat(F.lit("category:"), F.col("column")), F.col("severity")))
     parts.append(_rows(duplicate_rows(df).filter("duplicates > 0"), F.lit("duplicates"), F.lit("warning")))
-    constant = constant_columns(df).agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    parts.append(_rows(constant, F.lit("constant_columns"), F.lit("warning")))
     if numeric:
         far = iqr_outliers(df, numeric).filter("warn")
         parts.append(_rows(far, F.concat(F.lit("outliers:"), F.col("column")), F.lit("warning")))

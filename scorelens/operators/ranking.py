@@ -8,11 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions.columns import col, micros
-from scorelens.functions.running import running_totals, value_bounds, with_slice
+from scorelens.functions.running import join_keys, running_totals, value_bounds, with_slice
+from scorelens.session import collect_small
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
-    """The newest row of each key, by an aggregate that combines before the shuffle."""
+    """The newest row of each key.
+
+    The newest time per key is a plain hash aggregate over two columns. If those keys are few, they
+    reduce the table to the rows of that time by a broadcast join; whole rows are compared only then.
+    """
+    newest_time = df.groupBy(*keys).agg(F.max(ts).alias("_newest"))
+    table = collect_small(newest_time)
+    if table is not None:
+        marks = df.sparkSession.createDataFrame(table, schema=newest_time.schema)
+        df = join_keys(df, marks, keys).filter(F.col(ts) == F.col("_newest")).drop("_newest")
     rest = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(F.col(ts), *[F.col(t) for t in tie]))
     return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")

@@ -169,11 +169,12 @@ def m16(spark, d):
 
 @query(
     "m15_row_explanation",
-    """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature,
-      unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem)
+    """WITH i AS (SELECT *, row_number() OVER () AS rid FROM lineitem),
+    f AS (SELECT rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature,
+      unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM i)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, feature, abs(v) AS importance,
-      CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY abs(v) DESC, feature) AS INTEGER) AS position
-    FROM f QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY abs(v) DESC, feature) <= 2""",
+      CAST(row_number() OVER (PARTITION BY rid ORDER BY abs(v) DESC, feature) AS INTEGER) AS position
+    FROM f QUALIFY row_number() OVER (PARTITION BY rid ORDER BY abs(v) DESC, feature) <= 2""",
 )
 def m15(spark, d):
     items = table(spark, d, "lineitem")

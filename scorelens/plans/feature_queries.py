@@ -13,12 +13,21 @@ from scorelens.operators import rows as P
 from scorelens.operators import sets as U
 from scorelens.operators import split as X
 from scorelens.operators.predlog import flatten_features
+from scorelens.operators.quality import per_column
 from scorelens.plans.catalog import query
 from scorelens.plans.tidy import r, t, tidy
 from scorelens.roles import Roles
 from scorelens.sources.readers import dataset_metadata
 from scorelens.sources.synthetic import synthetic_applications
-from scorelens.sources.views import LOG_SQL, SPARSE_SQL, prediction_log, sparse_orders, table
+from scorelens.sources.views import (
+    APPLICATIONS_SQL,
+    LOG_SQL,
+    SPARSE_SQL,
+    applications,
+    prediction_log,
+    sparse_orders,
+    table,
+)
 
 SO = f"WITH {SPARSE_SQL}"
 LOG = f"WITH {LOG_SQL}"
@@ -473,6 +482,39 @@ def s11(spark, d):
     return tidy(dataset_metadata(parts, "target"))
 
 
+APP_ROLES = Roles(
+    numeric=("quantity", "extendedprice", "totalprice", "acctbal"),
+    categorical=("linestatus", "orderpriority", "mktsegment"),
+)
+
+
+def _feature_sums() -> str:
+    num = [
+        f"SELECT '{c}' AS feature, count(*) AS rows, round(sum(abs(({c} - m) / s)), 2) AS total FROM apps, "
+        f"(SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM apps) GROUP BY ALL"
+        for c in APP_ROLES.numeric
+    ]
+    cat = [
+        f"SELECT '{c}_' || {c} AS feature, (SELECT count(*) FROM apps) AS rows, count(*)::DOUBLE AS total FROM apps "
+        f"WHERE {c} <> (SELECT min({c}) FROM apps) GROUP BY {c}"
+        for c in APP_ROLES.categorical
+    ]
+    return " UNION ALL ".join(num + cat)
+
+
+@query("e7_prepared_applications", f"WITH {APPLICATIONS_SQL} {_feature_sums()}")
+def e7(spark, d):
+    """Fit and transform the joined application table; the sum of absolute values per feature name."""
+    apps = applications(spark, d)
+    fit = E.fit_prep(apps, APP_ROLES)
+    names = fit.feature_names()
+    prepared = fit.transform(apps)
+    sums = per_column(
+        prepared, names, {"total": lambda c: F.sum(F.abs(F.col(c)))}, [("rows", F.count(F.lit(1)))]
+    )
+    return sums.select(F.col("column").alias("feature"), "rows", F.round("total", 2).alias("total"))
+
+
 @query("e12_transform_requests")
 def e12(spark, d):
     """Fit on valid orders, transform a batch with broken rows; checked in the tests."""

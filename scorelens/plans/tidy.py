@@ -12,7 +12,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            # Adding zero turns a negative zero into a plain one.
+            c = F.round(c.cast("double"), digits) + F.lit(0.0)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(f.dataType, T.BooleanType):
@@ -23,7 +24,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def r(expr: str, name: str, digits: int = 6) -> str:
     """SQL twin of the rounding."""
-    return f"round({expr}, {digits}) AS {name}"
+    return f"round({expr}, {digits}) + 0.0::DOUBLE AS {name}"
 
 
 def t(expr: str, name: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +9,11 @@ from pyspark.sql import functions as F
 def append_predictions(scored: DataFrame, path: str, ts: str = "created_at") -> DataFrame:
     """Append to the log, partitioned by day so that time filters prune folders.
 
-    Rows go to one writer per day and hash slice, which keeps files large without one task per day.
+    The rebalance hint gathers a day's rows into few large files, and adaptive execution splits a day
+    that is too large for one writer.
     """
     spark = scored.sparkSession
-    dated = scored.withColumn("date", F.to_date(ts))
+    dated = scored.withColumn("date", F.to_date(ts)).hint("rebalance", "date")
     dated.write.mode("append").partitionBy("date").parquet(path)
     return spark.read.parquet(path)
 
@@ -51,9 +50,3 @@ def snapshot_table(spark: SparkSession, name: str, suffix: str = "backup") -> Da
 def restore_table(spark: SparkSession, name: str, suffix: str = "backup") -> DataFrame:
     spark.table(f"{name}_{suffix}").write.mode("overwrite").saveAsTable(name)
     return spark.table(name)
-
-
-def bucket_table(df: DataFrame, name: str, keys: Sequence[str], buckets: int = 64) -> DataFrame:
-    """Store bucketed on join keys, so that repeated joins on them need no exchange."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
-    return df.sparkSession.table(name)

@@ -7,6 +7,7 @@ breaker row. The size of a micro-batch (files or bytes per trigger) bounds the r
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,20 +36,32 @@ def decide(
     window. Rejected requests leave no trace.
     """
     out = []
+    kept, near = deque(accepted), deque(accepted)
     for t, limit, burst in zip(times.tolist(), limits.tolist(), bursts.tolist()):
-        accepted = [a for a in accepted if t - a < window]
-        near = [a for a in accepted if t - a < burst_window]
-        if len(accepted) >= limit:
-            oldest = accepted[0] if accepted else t
+        while kept and t - kept[0] >= window:
+            kept.popleft()
+        while near and t - near[0] >= burst_window:
+            near.popleft()
+        if len(kept) >= limit:
+            oldest = kept[0] if kept else t
             out.append((False, limit, 0, (window - (t - oldest)) // SECOND))
         elif len(near) >= burst:
             oldest = near[0] if near else t
             out.append((False, burst, 0, (burst_window - (t - oldest)) // SECOND))
         else:
-            left = limit - len(accepted) - 1
-            accepted.append(t)
-            out.append((True, limit, left, (window - (t - accepted[0])) // SECOND))
-    return out, accepted
+            left = limit - len(kept) - 1
+            kept.append(t)
+            near.append(t)
+            out.append((True, limit, left, (window - (t - kept[0])) // SECOND))
+    return out, list(kept)
+
+
+def in_time_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> list[np.ndarray]:
+    """Columns of a key's rows in a micro-batch, sorted by time and then by request."""
+    chunks = list(rows)
+    arrays = [np.concatenate([c[name].to_numpy() for c in chunks]) for name in columns]
+    order = np.lexsort((arrays[1], arrays[0]))
+    return [a[order] for a in arrays]
 
 
 class Limiter(StatefulProcessor):
@@ -62,16 +75,10 @@ class Limiter(StatefulProcessor):
         self.accepted = handle.getValueState("accepted", "times ARRAY<BIGINT>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows), ignore_index=True).sort_values(["us", "request_id"], kind="stable")
-        seen = list(self.accepted.get()[0]) if self.accepted.exists() else []
-        decisions, seen = decide(
-            part["us"].to_numpy(),
-            seen,
-            self.window * SECOND,
-            self.burst_window * SECOND,
-            part["max_requests"].to_numpy(),
-            part["max_burst"].to_numpy(),
-        )
+        us, ids, limits, bursts = in_time_order(rows, ["us", "request_id", "max_requests", "max_burst"])
+        stored = self.accepted.get()
+        seen = list(stored[0]) if stored else []
+        decisions, seen = decide(us, seen, self.window * SECOND, self.burst_window * SECOND, limits, bursts)
         self.accepted.update((seen,))
         if seen:
             self.handle.registerTimer((seen[-1] + self.window * SECOND) // 1000 + 1)
@@ -79,8 +86,8 @@ class Limiter(StatefulProcessor):
         yield pd.DataFrame(
             {
                 "key": key[0],
-                "request_id": part["request_id"].to_numpy(),
-                "us": part["us"].to_numpy(),
+                "request_id": ids,
+                "us": us,
                 "allowed": list(allowed),
                 "applied_limit": np.array(applied, dtype="int32"),
                 "remaining": np.array(left, dtype="int32"),
@@ -89,10 +96,10 @@ class Limiter(StatefulProcessor):
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.accepted.exists():
-            now = timerValues.getCurrentWatermarkInMs() * 1000
-            if now - self.accepted.get()[0][-1] >= self.window * SECOND:
-                self.accepted.clear()
+        stored = self.accepted.get()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        if stored and now - stored[0][-1] >= self.window * SECOND:
+            self.accepted.clear()
         return iter(())
 
     def close(self) -> None:
@@ -242,18 +249,16 @@ class Breaker(StatefulProcessor):
         self.memory = handle.getValueState("breaker", "state STRING, failures INT, last BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows), ignore_index=True).sort_values(["us", "request_id"], kind="stable")
-        state, failures, last = self.memory.get() if self.memory.exists() else ("CLOSED", 0, 0)
-        decisions, state, failures, last = trip(
-            part["us"].to_numpy(), part["failed"].to_numpy(), state, failures, last, self.threshold, self.reset
-        )
+        us, ids, failed = in_time_order(rows, ["us", "request_id", "failed"])
+        state, failures, last = self.memory.get() or ("CLOSED", 0, 0)
+        decisions, state, failures, last = trip(us, failed, state, failures, last, self.threshold, self.reset)
         self.memory.update((state, failures, last))
         rejected, states, counts = zip(*decisions)
         yield pd.DataFrame(
             {
                 "service": key[0],
-                "request_id": part["request_id"].to_numpy(),
-                "us": part["us"].to_numpy(),
+                "request_id": ids,
+                "us": us,
                 "rejected": list(rejected),
                 "state": list(states),
                 "failures": np.array(counts, dtype="int32"),
