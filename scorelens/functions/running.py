@@ -14,22 +14,29 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelens.session import cut_lineage
+
 #: Rows that one task may order by itself.
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 256
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality on every key, with NULL equal to NULL as in a grouping."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on grouping keys; the right copies are dropped."""
+    """Join on grouping keys, with NULL equal to NULL as in a grouping; the right copies are dropped.
+
+    A key that cannot be NULL on one side is compared plainly, which keeps an existing partitioning by
+    that key usable.
+    """
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+
+    def same(k: str) -> Column:
+        a, b = left[k], renamed[f"_r_{k}"]
+        both_nullable = left.schema[k].nullable and right.schema[k].nullable
+        return a.eqNullSafe(b) if both_nullable else a == b
+
+    cond = reduce(lambda a, b: a & b, [same(k) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -82,6 +89,9 @@ def running_totals(
             *[F.sum(s).over(w).alias(f"tot_{s}") for s in sums],
         )
 
+    # The sliced table is read twice. Written once to the shared folder, the scan and the shuffle that
+    # made it run once, and a lost executor does not bring them back.
+    df = cut_lineage(df)
     inside = Window.partitionBy(*keys, slice_col).orderBy(*order).rowsBetween(*frame)
     local = df.select("*", *[F.sum(s).over(inside).alias(f"_cum_{s}") for s in sums])
 
@@ -89,9 +99,11 @@ def running_totals(
     by_key = Window.partitionBy(*keys)
     first = F.col(slice_col).desc() if slice_desc else F.col(slice_col).asc()
     before = by_key.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    # A slice number is never NULL; saying so lets the join use the partitioning of the window.
+    never_null = F.coalesce(F.col(slice_col), F.lit(0).cast(df.schema[slice_col].dataType))
     offsets = per_slice.select(
         *keys,
-        slice_col,
+        never_null.alias(slice_col),
         *[F.coalesce(F.sum(f"_sl_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
         *[F.sum(f"_sl_{s}").over(by_key).alias(f"tot_{s}") for s in sums],
     )

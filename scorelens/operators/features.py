@@ -123,8 +123,13 @@ class FittedPrep:
         return FittedPrep({c: NumericFit(**parts[c]) for c in order}, levels, modes)
 
 
-def fit_numeric(df: DataFrame, columns: Sequence[str], **quantile_args) -> dict[str, NumericFit]:
-    """Mean and population deviation in one pass, medians by grouped quantiles."""
+def fit_numeric(
+    df: DataFrame, columns: Sequence[str], medians: bool = True, **quantile_args
+) -> dict[str, NumericFit]:
+    """Mean and population deviation in one pass; medians by grouped quantiles where they are needed.
+
+    Without medians the mean stands in for them.
+    """
     columns = list(columns)
     if not columns:
         return {}
@@ -134,14 +139,16 @@ def fit_numeric(df: DataFrame, columns: Sequence[str], **quantile_args) -> dict[
         columns,
         {"mean": lambda c: F.avg(clean[c]), "std": lambda c: F.stddev_pop(clean[c])},
     ).collect()
-    medians = {
+    if not medians:
+        return {r["column"]: NumericFit(r["mean"] or 0.0, r["std"] or 0.0, r["mean"] or 0.0) for r in stats}
+    middle = {
         r["column"]: r["median"]
         for r in grouped_quantiles(
             unpivot_numeric(df, columns), ["column"], "value", {"median": 0.5}, **quantile_args
         ).collect()
     }
     return {
-        r["column"]: NumericFit(r["mean"] or 0.0, r["std"] or 0.0, medians.get(r["column"]) or 0.0) for r in stats
+        r["column"]: NumericFit(r["mean"] or 0.0, r["std"] or 0.0, middle.get(r["column"]) or 0.0) for r in stats
     }
 
 
@@ -170,7 +177,7 @@ def fit_prep(df: DataFrame, roles: Roles) -> FittedPrep:
 
 
 def standardise(df: DataFrame, columns: Sequence[str], fit: FittedPrep | None = None) -> DataFrame:
-    fit = fit or FittedPrep(fit_numeric(df, columns))
+    fit = fit or FittedPrep(fit_numeric(df, columns, medians=False))
     return df.withColumns({c: fit.scaled(c, impute=False) for c in columns})
 
 
@@ -249,7 +256,7 @@ def zscore_outliers(
     fit: FittedPrep | None = None,
 ) -> DataFrame:
     """``flag`` adds ``<c>_outlier``; ``clip`` pulls values to the limit; ``drop`` removes the rows."""
-    fit = fit or FittedPrep(fit_numeric(df, columns))
+    fit = fit or FittedPrep(fit_numeric(df, columns, medians=False))
     far = {c: F.coalesce(F.abs(fit.scaled(c, impute=False)) > threshold, F.lit(False)) for c in columns}
     if mode == "flag":
         return df.withColumns({f"{c}_outlier": e.cast("int") for c, e in far.items()})

@@ -82,7 +82,7 @@ def fit_items(spark, d):
     from scorelens.operators.features import FittedPrep
 
     items = item_features(spark, d)
-    prep = FittedPrep(fit_numeric(items, ITEM_FEATURES))
+    prep = FittedPrep(fit_numeric(items, ITEM_FEATURES, medians=False))
     return items, prep, M.train(prep.vectors(items, keep=["label"]), "logistic_regression", maxIter=10)
 
 
