@@ -17,6 +17,7 @@ from scorelens.operators.quality import per_column
 from scorelens.plans.catalog import query
 from scorelens.plans.tidy import r, t, tidy
 from scorelens.roles import Roles
+from scorelens.session import cut_lineage
 from scorelens.sources.readers import dataset_metadata
 from scorelens.sources.synthetic import synthetic_applications
 from scorelens.sources.views import (
@@ -505,7 +506,8 @@ def _feature_sums() -> str:
 @query("e7_prepared_applications", f"WITH {APPLICATIONS_SQL} {_feature_sums()}")
 def e7(spark, d):
     """Fit and transform the joined application table; the sum of absolute values per feature name."""
-    apps = applications(spark, d)
+    # The fit reads the joined table several times, so the join is done once and written.
+    apps = cut_lineage(applications(spark, d).select(*APP_ROLES.features))
     fit = E.fit_prep(apps, APP_ROLES)
     names = fit.feature_names()
     prepared = fit.transform(apps)
