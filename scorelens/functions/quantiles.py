@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scorelens.functions.running import join_keys, running_totals
 from scorelens.session import collect_small
 
-EXACT_BELOW = 200_000
+EXACT_BELOW = 100_000
 ACCURACY = 10_000
 _SUB_SLICES = 64
 

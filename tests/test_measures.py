@@ -202,3 +202,21 @@ def test_unknown_interval_means_hour(spark):
     df = spark.createDataFrame([(at, 1.0, 0)], "created_at TIMESTAMP, processing_time_ms DOUBLE, class INT")
     row = A.performance_by_interval(df, datetime(2024, 1, 2), "5m").first()
     assert row.time_interval == datetime(2024, 1, 1, 5) and row.good_rate == 100.0
+
+
+def test_monitoring_summary_collects_reasons(spark):
+    score = spark.createDataFrame([(0.6,)], "s DOUBLE")
+    data, concept = D.alert_flags(score, "s", 0.3, 0.5), D.alert_flags(score, "s", 0.7, 0.8)
+    row = D.monitoring_summary(data, concept, spark.createDataFrame([(2,)], "failed BIGINT")).first()
+    assert row.should_alert and row.should_retrain and not row.concept_drift_detected
+    assert row.reasons == ["data drift", "strong data drift", "failed tests: 2"]
+
+
+def test_alerts_append(spark):
+    from scorelens.session import scratch_path
+    from scorelens.sources.writers import append_alerts
+
+    alerts = spark.createDataFrame([("WARNING", "DATA_DRIFT")], "level STRING, type STRING")
+    path = scratch_path(spark, "alerts")
+    append_alerts(alerts, path)
+    assert append_alerts(alerts, path).count() == 2

@@ -1,5 +1,6 @@
 """Features, splits, checks and readers on small hand-made tables."""
 
+import uuid
 from datetime import datetime
 
 import pytest
@@ -242,12 +243,15 @@ def test_saved_metrics(spark, tmp_path):
 
 
 def test_snapshot_and_restore(spark, tmp_path):
-    spark.sql("DROP TABLE IF EXISTS snap_t")
-    spark.sql("DROP TABLE IF EXISTS snap_t_backup")
-    spark.range(5).write.option("path", str(tmp_path / "t")).saveAsTable("snap_t")
-    assert O.snapshot_table(spark, "snap_t").count() == 5
-    spark.range(9).write.mode("overwrite").option("path", str(tmp_path / "t2")).saveAsTable("snap_t")
-    assert O.restore_table(spark, "snap_t").count() == 5
+    name = f"snap_{uuid.uuid4().hex}"
+    try:
+        spark.range(5).write.option("path", str(tmp_path / "t")).saveAsTable(name)
+        assert O.snapshot_table(spark, name).count() == 5
+        spark.range(9).write.mode("overwrite").option("path", str(tmp_path / "t2")).saveAsTable(name)
+        assert O.restore_table(spark, name).count() == 5
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {name}_backup")
 
 
 def test_schema_comparison(spark):
