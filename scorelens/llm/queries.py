@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelens.llm import offset_pieces, prefix_counts, quality_rules
+from scorelens.llm import offset_pieces, prefix_counts, quality_rules, token_store
 from scorelens.llm.common import table
+from scorelens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return offset_pieces.offset_digests(table(spark, sf_dir, "documents"), path)
+
+
+@query("op6_token_store")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = scratch_path(spark, "tokens")
+    token_store.write_store(table(spark, sf_dir, "documents"), store, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_store(spark, store, with_ids=False)
