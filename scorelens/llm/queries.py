@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelens.llm import offset_pieces, prefix_counts, quality_rules, token_store
+from scorelens.llm import offset_pieces, packing, prefix_counts, quality_rules, token_store
 from scorelens.llm.common import table
 from scorelens.session import scratch_path
 
@@ -81,3 +81,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = scratch_path(spark, "tokens")
     token_store.write_store(table(spark, sf_dir, "documents"), store, public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.read_store(spark, store, with_ids=False)
+
+
+@query("op3_pattern_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
