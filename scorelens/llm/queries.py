@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelens.llm import offset_pieces, packing, prefix_counts, quality_cnn, quality_rules, token_store, toxicity
+from scorelens.llm import (
+    offset_pieces,
+    packing,
+    paragraph_sketch,
+    prefix_counts,
+    quality_cnn,
+    quality_rules,
+    token_store,
+    toxicity,
+)
 from scorelens.llm.common import table
 from scorelens.session import scratch_path
 
@@ -101,3 +110,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_cnn.score(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_paragraph_sketch")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.edited_and_next(table(spark, sf_dir, "documents"))
