@@ -4,12 +4,14 @@
    the smallest hash as its count of leading zeros and ten bits after them. Texts with equal sets are one from here on.
 2. Four registers are a band, and texts that agree in a band share a bucket. Texts of few shingles have many empty
    registers; they share buckets by prefix instead: the smallest quarter of the hashes of two similar sets must meet.
-3. In a bucket every text is compared with the smallest only. Pairs whose collision-corrected estimate is within five
-   standard errors of the threshold are verified on the full sets, and links are merged into components.
-4. A bucket is open while texts other than its smallest lie in different components. Small open buckets are finished
-   by comparing those that lie apart. Large ones are cut: each text enters one new bucket per further band, in which it
-   meets those that also agree there, and step 3 is repeated. What is open after the last cut is finished by stars
-   from the smallest components, round after round. Nothing is capped.
+3. A shingle that is in the prefix of more than 100 texts is common: a line or passage that unlike texts share. Prefixes
+   of the texts concerned are taken anew in an order that puts common shingles last; the order is the same for all.
+4. In a bucket every text is compared with one hub. Pairs whose collision-corrected estimate is within five standard
+   errors of the threshold are verified on the full sets, and links are merged into components.
+5. A bucket stays open while its other texts lie in different components. Its hubs are done with; the next round
+   takes eight times as many, those of the smallest components first. A large bucket in which hardly any estimate is
+   high holds unlike texts that share a passage: it is cut, each text entering one new bucket per further band, in
+   which it meets those that also agree there. Rounds go on until no bucket is open, so nothing is capped.
 
 A band misses a pair at similarity 0.75 with probability 0.68, all 32 bands with 5 in a million, and less above it.
 
@@ -35,8 +37,8 @@ from scorelens.session import cut_lineage
 #: Hash functions, buckets of each, bits kept behind the leading zeros, registers in a band, sizes that use prefixes.
 HASHES, BUCKETS, MANTISSA, BAND, FEW = 4, 32, 10, 4, 128
 REGISTERS = HASHES * BUCKETS
-#: Open buckets of so many texts are finished pair by pair; so many times larger ones are cut by a further band.
-_SMALL, _CUTS = 16, 3
+#: A shingle of more prefixes is common. Open buckets of more texts are cut where one pair in twenty or fewer may be similar.
+_COMMON, _LARGE = 100, 64
 #: Ids that may be sent to all executors to pick texts for verification; more are joined by a shuffle.
 _SENT = 500_000
 
@@ -109,22 +111,32 @@ def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _mix(packed + np.arange(1, len(packed) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)), packed > 0
 
 
-def bucket_keys(items: np.ndarray, regs: np.ndarray, percent: int = 75) -> np.ndarray:
-    n, out = len(items), []
-    if n > FEW:
-        out.append(band_keys(regs)[0])
-    if n and n * percent <= FEW * 100:  # those that a set of FEW can be similar to
-        out.append(_mix(items[: n - -(-n * percent // 100) + 1] ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def uses_prefix(n: int, percent: int) -> bool:
+    """Sets of up to FEW shingles, and those that one of them can be similar to."""
+    return 0 < n and n * percent <= FEW * 100
+
+
+def prefix_size(n: int, percent: int) -> int:
+    return n - -(-n * percent // 100) + 1
+
+
+def shingle_keys(items: np.ndarray) -> np.ndarray:
+    """Keys of single shingles in rising order, which is the order of prefixes."""
+    return np.sort(_mix(items ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)).view(np.uint64)
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo, regs, keys): 128 bits that name the set, its registers and its buckets."""
+    """(doc_id, n_shingles, hi, lo, regs, bands, prefix): 128 bits that name the set, its registers and its buckets."""
+    none = np.zeros(0, np.uint64)
+
+    def lists(values: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, values)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([none, *values]).view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = per_worker("shingles", Shingles)
         for b in rows(batches):
-            n, hi, lo, regs, keys = [], [], [], [], []
+            n, hi, lo, regs, bands, prefix = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 items = shingles.of(t)
                 r = registers(items)
@@ -133,17 +145,18 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
                     hi.append(_mix(items ^ np.uint64(0x1B873593CC9E2D51)).sum(dtype=np.uint64).astype(np.int64))
                     lo.append(_mix(items + np.uint64(0x38B34AE5A1E38B93)).sum(dtype=np.uint64).astype(np.int64))
                 regs.append(r.tobytes())
-                keys.append(bucket_keys(items, r, percent).view(np.int64))
-            ends = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                bands.append(band_keys(r)[0] if len(items) > FEW else none)
+                few = uses_prefix(len(items), percent)
+                prefix.append(shingle_keys(items)[: prefix_size(len(items), percent)] if few else none)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
-                 pa.array(regs, pa.binary()), lists],
-                ["doc_id", "n_shingles", "hi", "lo", "regs", "keys"],
+                 pa.array(regs, pa.binary()), lists(bands), lists(prefix)],
+                ["doc_id", "n_shingles", "hi", "lo", "regs", "bands", "prefix"],
             )
 
     return texts(df, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_shingles long, hi long, lo long, regs binary, keys array<long>"
+        run,
+        "doc_id long, n_shingles long, hi long, lo long, regs binary, bands array<long>, prefix array<long>",
     )
 
 
@@ -177,12 +190,54 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of some ids (doc_id), by a broadcast where these are counted to be few."""
+    return docs.join(F.broadcast(ids) if ids.count() <= _SENT else ids, "doc_id")
+
+
+def _buckets(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(key, id): bands, and prefixes in an order of shingles that puts common ones last."""
+    bands = sets.select(F.explode("bands").alias("key"), "id")
+    short = sets.select(F.explode("prefix").alias("key"), "id")
+    common = short.groupBy("key").count().filter(F.col("count") > _COMMON).select("key")
+
+    def shingles_of(ids: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingles = per_worker("shingles", Shingles)
+            for b in rows(batches, 256):
+                found = [shingle_keys(shingles.of(t)) for t in b.column(1).to_pylist()]
+                size = np.array([len(x) for x in found], np.int64)
+                flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat), pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(np.repeat(size, size))],
+                    ["key", "id", "n"],
+                )
+
+        return _texts_of(ids, docs).select("doc_id", "text").mapInArrow(run, "key long, id long, n long")
+
+    def having(some: DataFrame) -> DataFrame:
+        return cut_lineage(short.join(some, "key", "left_semi").select(F.col("id").alias("doc_id")).distinct())
+
+    concerned = having(common)
+    if concerned.isEmpty():
+        return bands.unionAll(short)
+    often = cut_lineage(
+        shingles_of(concerned).groupBy("key").count().filter(F.col("count") > _COMMON).select("key")
+    )
+    concerned = having(often)
+    marked = shingles_of(concerned).join(often.withColumn("often", F.lit(True)), "key", "left")
+    # A text has at most FEW * 100 / percent shingles here.
+    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(False)).alias("often"), "key")))
+    size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    anew = marked.groupBy("id", "n").agg(ordered.alias("all"))
+    anew = anew.select(F.explode(F.slice("all", F.lit(1), size)).alias("k"), "id").select("k.key", "id")
+    same = short.join(concerned.select(F.col("doc_id").alias("id")), "id", "left_anti").select("key", "id")
+    return bands.unionAll(same).unionAll(anew)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of the full shingle sets. ``docs``: (doc_id, text)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if ids.count() <= _SENT:
-        ids = F.broadcast(ids)
-    needed = docs.join(ids, "doc_id")
+    needed = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     side = lambda x: needed.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,21 +287,22 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
             F.min("doc_id").alias("id"),
             F.first("n_shingles").alias("n"),
             F.first("regs").alias("regs"),
-            F.first("keys").alias("keys"),
+            F.first("bands").alias("bands"),
+            F.first("prefix").alias("prefix"),
         )
     )
     labels: DataFrame | None = None
 
-    def link(pairs: DataFrame) -> None:
-        """Verify those pairs that lie in different components, and merge."""
+    def link(pairs: DataFrame) -> DataFrame:
+        """Verify those pairs that lie in different components, and merge; gives the pairs that the estimate left."""
         nonlocal labels
         apart = _labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb")
         likely = cut_lineage(_likely(apart.select("a", "b"), sets, percent))
         if likely.isEmpty():
-            return
+            return likely
         links = cut_lineage(verify(likely, docs, percent))
         if links.isEmpty():
-            return
+            return likely
         between = _labelled(_labelled(links, labels, "a", "ca"), labels, "b", "cb")
         roots = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         if labels is not None:
@@ -254,39 +310,43 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
             old = labels.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
             roots = old.unionAll(roots).groupBy("node").agg(F.min("root").alias("root"))
         labels = cut_lineage(roots)
+        return likely
 
-    def star(buckets: DataFrame) -> DataFrame:
-        """Compare each text with the first of its bucket; the other texts of the buckets that stay open."""
+    def round_(buckets: DataFrame, hubs: int) -> DataFrame:
+        """Compare the texts of each bucket with its hubs; the other texts of the buckets that stay open."""
         sized = _labelled(buckets, labels, "id", "c")
         if labels is not None:  # the smallest components first: the fewest texts have to be compared with all others
-            weight = labels.groupBy("root").agg(F.count("*").alias("_w")).withColumnRenamed("root", "c")
-            sized = sized.join(weight, "c", "left").fillna(1, ["_w"])
+            weight = labels.groupBy("root").agg(F.count("*").alias("w")).withColumnRenamed("root", "c")
+            sized = sized.join(weight, "c", "left").fillna(1, ["w"])
         else:
-            sized = sized.withColumn("_w", F.lit(1))
-        first = sized.groupBy("key").agg(
-            F.min_by("id", F.struct("_w", "id")).alias("hub"), F.count("*").alias("m")
-        ).filter("m > 1")
-        others = cut_lineage(buckets.join(first, "key").filter("id <> hub").select("key", "id", "hub"))
-        link(others.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
-        left = _labelled(others.select("key", "id"), labels, "id", "c")
-        open_ = left.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"))
-        return cut_lineage(left.join(open_.filter("c1 < c2").select("key", "m"), "key").select("key", "id", "c", "m"))
-
-    buckets = sets.select(F.explode("keys").alias("key"), "id")
-    cuts = 0
+            sized = sized.withColumn("w", F.lit(1))
+        # One hub for each remainder, so that hubs are grouped minima and no bucket is sorted.
+        picked = sized.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(hubs)).alias("part")).agg(
+            F.min_by("id", F.struct("w", "id")).alias("hub"), F.count("*").alias("m")
+        )
+        chosen = picked.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("m").alias("m")).filter("m > 1")
+        members = cut_lineage(buckets.join(chosen.select("key", "hubs"), "key"))
+        compared = members.select("key", "id", F.explode("hubs").alias("hub")).filter("id <> hub")
+        compared = compared.withColumns({"a": F.greatest("id", "hub"), "b": F.least("id", "hub")})
+        likely = link(compared.select("a", "b").distinct())
+        others = members.filter(~F.array_contains("hubs", F.col("id"))).select("key", "id")
+        left = _labelled(others, labels, "id", "c")
+        state = left.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+        opened = left.join(state.filter("c1 < c2").select("key", "m"), "key").select("key", "id", "m")
+        near = compared.join(opened.filter(F.col("m") > _LARGE).select("key").distinct(), "key", "left_semi")
+        near = near.join(likely.withColumn("near", F.lit(1)), ["a", "b"], "left").groupBy("key")
+        near = near.agg(F.avg(F.coalesce("near", F.lit(0))).alias("near"))
+        return cut_lineage(opened.join(near, "key", "left").fillna(1.0, ["near"]))
+
+    buckets, hubs = cut_lineage(_buckets(sets, docs, percent)), 1
     while True:
-        opened = star(buckets)
-        small = opened.filter(F.col("m") <= _SMALL).select("key", "id", "c")
-        if not small.isEmpty():
-            other = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-            apart = small.withColumnRenamed("id", "a").join(other, "key").filter("a > b AND c <> cb")
-            link(apart.select("a", "b").distinct())
-        large = opened.filter(F.col("m") > _SMALL).select("key", "id")
-        if large.isEmpty():
+        opened = round_(buckets, hubs)
+        if opened.isEmpty():
             break
-        cuts += 1
-        buckets = _cut(large, sets) if cuts <= _CUTS else large
-        buckets = cut_lineage(buckets.distinct())
+        mixed = (F.col("m") > _LARGE) & (F.col("near") <= 0.05)
+        cut = _cut(opened.filter(mixed), sets).distinct()
+        buckets = cut_lineage(opened.filter(~mixed).select("key", "id").unionAll(cut))
+        hubs *= 8
 
     rooted = _labelled(sets.select("hi", "lo", "id"), labels, "id", "c").select("hi", "lo", "c")
     found = named.select("doc_id", "n_shingles", "hi", "lo").join(rooted, ["hi", "lo"])

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scorelens.llm import (
+    near_dedup,
     offset_pieces,
     packing,
     paragraph_sketch,
@@ -115,3 +116,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_paragraph_sketch")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_sketch.edited_and_next(table(spark, sf_dir, "documents"))
+
+
+@query("op2_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
