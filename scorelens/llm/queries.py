@@ -15,6 +15,7 @@ from scorelens.llm import (
     prefix_counts,
     quality_cnn,
     quality_rules,
+    repeats,
     token_store,
     toxicity,
 )
@@ -121,3 +122,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_repeated_bytes")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
