@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scorelens.llm.common import texts
 from scorelens.session import cut_lineage
@@ -231,6 +232,32 @@ def merged(spans: list[int] | None) -> np.ndarray:
     return np.stack([start[new], end[np.concatenate([new[1:], [True]])]], 1)
 
 
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with the repeated bytes cut out of its text; other columns stay. Broken characters are left out."""
+    lists = cut_lineage(repeated_spans(df, id_col, text_col)).select(
+        F.col("doc_id").alias("_repeats_id"), F.col("list").alias("_repeats_list")
+    )
+    size = lists.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_repeats_list")), F.lit(0)).alias("k")).first()
+    small = size["n"] <= _SENT and size["k"] <= 10 * _SENT
+    on = df[id_col].cast("long") == F.col("_repeats_id")
+
+    @F.arrow_udf(StringType())
+    def cut(column: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, found in zip(column.to_pylist(), spans.to_pylist()):
+            if found and text:
+                raw, at, parts = text.encode(), 0, []
+                for start, end in merged(found).tolist():
+                    parts.append(raw[at:start])
+                    at = end
+                text = b"".join([*parts, raw[at:]]).decode(errors="ignore")
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    joined = df.join(F.broadcast(lists) if small else lists, on, "left")
+    return joined.withColumn(text_col, cut(text_col, "_repeats_list")).select(*df.columns)
+
+
 def remove_repeats(
     df: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

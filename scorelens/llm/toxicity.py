@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from scorelens.llm.common import held_out, per_worker, rows, texts
 from scorelens.llm.labelled import labelled_sample
@@ -177,11 +178,23 @@ def fit(
     return ToxicityModel(w.astype(np.float32), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500) -> ToxicityModel:
     """Fit on at most ``per_class`` labelled rows of each class, none of them held out."""
     return fit(*labelled_sample(docs, labels, label, per_class))
 
 
+def scorer(df: DataFrame, model: ToxicityModel):
+    """A column function that scores whole texts; for use in ``select`` and ``filter``."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(DoubleType())
+    def run(column: pa.Array) -> pa.Array:
+        s = per_worker(("toxicity", shared.value.key()), lambda: _Scorer(shared.value))
+        return pa.array([s.score(t or "") for t in column.to_pylist()], pa.float64())
+
+    return run
+
+
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, n_sentences): n_sentences are those at 0.5 or above."""
     shared = df.sparkSession.sparkContext.broadcast(model)
