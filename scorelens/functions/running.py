@@ -18,7 +18,6 @@ from scorelens.session import cut_lineage
 
 #: Rows that one task may order by itself.
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 256
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -43,21 +42,16 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 def value_bounds(df: DataFrame, value: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
     """Inner slice borders of a numeric column; empty when its rows fit into one slice.
 
-    One pass without a shuffle of rows: a row count and one quantile sketch of fixed size.
+    A count, and where it asks for slices one quantile sketch that grows with their number; no shuffle of rows.
     """
-    marks = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
     v = F.col(value).cast("double")
-    row = (
-        df.filter(~F.isnan(v))
-        .agg(F.count(v).alias("n"), F.percentile_approx(v, F.array(*map(F.lit, marks)), 2000).alias("m"))
-        .first()
-    )
-    wanted = min(MAX_SLICES, -(-row["n"] // rows_per_slice))
+    values = df.filter(~F.isnan(v))
+    wanted = -(-values.agg(F.count(v).alias("n")).first()["n"] // rows_per_slice)
     if wanted <= 1:
         return []
-    step = MAX_SLICES / wanted
-    picked = [row["m"][min(MAX_SLICES - 2, round(i * step) - 1)] for i in range(1, wanted)]
-    return sorted(set(picked))
+    marks = F.array(*[F.lit(i / wanted) for i in range(1, wanted)])
+    row = values.agg(F.percentile_approx(v, marks, max(2000, 10 * wanted)).alias("m")).first()
+    return sorted(set(row["m"]))
 
 
 def with_slice(df: DataFrame, value: str, bounds: Sequence[float], name: str = "_slice") -> DataFrame:

@@ -127,6 +127,8 @@ def psi_drift(
         parts.append(psi_of_counts(binned_counts(two_sides(reference, current, numeric), edges)))
     if categorical:
         parts.append(psi_of_counts(text_counts(two_sides(reference, current, categorical), categorical)))
+    if not parts:
+        return reference.sparkSession.createDataFrame([], "`column` STRING, psi DOUBLE")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -227,6 +229,12 @@ def column_drift_report(
                 F.lit(float(psi_limit)).alias("limit"),
             )
         )
+    if not parts:
+        return reference.sparkSession.createDataFrame(
+            [],
+            "`column` STRING, kind STRING, test_name STRING, statistic DOUBLE, p_value DOUBLE, drift_score DOUBLE, "
+            "drift_detected BOOLEAN",
+        )
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     hit = F.col("drift_score") > F.col("limit")
     if confidence is not None:
@@ -380,6 +388,9 @@ def column_quantile(reference: DataFrame, current: DataFrame, column: str, quant
     return out.withColumn("side", F.when(F.col("side") == 0, "reference").otherwise("current"))
 
 
+_METRIC_ROWS = "metric STRING, `column` STRING, side STRING, value DOUBLE"
+
+
 def custom_metrics(reference: DataFrame, current: DataFrame, config: Sequence[Mapping]) -> DataFrame:
     """Configured metrics as ``(metric, column, side, value)`` rows. Unknown types are left out.
 
@@ -421,6 +432,8 @@ def custom_metrics(reference: DataFrame, current: DataFrame, config: Sequence[Ma
         elif m["type"] == "column_quantile":
             out = column_quantile(reference, current, name, m.get("quantile", 0.5))
             rows(out, F.lit("column_quantile"), F.lit(name), F.col("side"), "value")
+    if not parts:
+        return reference.sparkSession.createDataFrame([], _METRIC_ROWS)
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)
@@ -476,8 +489,8 @@ def drift_tests(
         from_report.append(check_row(f"drift:{c}", drifted, "<", 1))
     missing = [F.sum(flag(F.col(c).isNull())) for c in numeric]
     cells = F.count(F.lit(1)) * len(numeric)
-    total = missing[0]
-    for m in missing[1:]:
+    total = F.lit(0)
+    for m in missing:
         total = total + m
     from_data = [check_row("share_of_missing_values", F.try_divide(total, cells), "<", max_missing)]
     for c, (lo, hi) in (bounds or {}).items():

@@ -16,7 +16,7 @@ from scorelens.functions.running import running_totals
 from scorelens.operators import rows as P
 from scorelens.operators.quality import category_counts, per_column, unpivot_numeric
 from scorelens.roles import Roles
-from scorelens.session import SMALL_ROWS, collect_small
+from scorelens.session import SMALL_ROWS, collect_small, cut_lineage
 
 Step = tuple[str, Callable[[DataFrame], DataFrame]]
 
@@ -65,13 +65,20 @@ class FittedPrep:
 
     def code(self, c: str) -> Column:
         """Position of the level; an unseen level falls into a stable hash bucket."""
+        if c in self.wide:
+            return hash_bucket(c)
         known = F.array_position(F.array(*[F.lit(v) for v in self.levels[c]]), F.col(c).cast("string"))
         return F.when(F.col(c).isNull() | (known > 0), (known - 1).cast("int")).otherwise(hash_bucket(c))
 
     # -- tables
 
+    @property
+    def wide(self) -> list[str]:
+        """Categorical columns with too many levels for a column each."""
+        return [c for c in self.modes if c not in self.levels]
+
     def feature_names(self, drop_first: bool = True) -> list[str]:
-        names = list(self.numeric)
+        names = [*self.numeric, *(f"{c}_bucket" for c in self.wide)]
         for c, levels in self.levels.items():
             names += [f"{c}_{v}" for v in (levels[1:] if drop_first else levels)]
         return names
@@ -79,6 +86,7 @@ class FittedPrep:
     def transform(self, df: DataFrame, keep: Sequence[str] = (), drop_first: bool = True) -> DataFrame:
         """Impute, encode and scale: ``keep`` columns followed by ``feature_names``."""
         cols = [self.scaled(c).alias(c) for c in self.numeric]
+        cols += [(hash_bucket(c) / 1000).alias(f"{c}_bucket") for c in self.wide]
         for c in self.levels:
             cols += [e.alias(n) for n, e in self.indicators(c, drop_first).items()]
         return df.select(*keep, *cols)
@@ -152,22 +160,28 @@ def fit_numeric(
     }
 
 
-def fit_levels(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, list[str]], dict[str, str]]:
-    """Sorted levels and most frequent level per column (the smallest one on a tie)."""
+def fit_levels(
+    df: DataFrame, columns: Sequence[str], max_levels: int = SMALL_ROWS
+) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """Sorted levels and most frequent level per column (the smallest one on a tie).
+
+    A mode is one row per column whatever the number of levels. Columns with more than ``max_levels`` levels have no
+    list of them; ``FittedPrep`` encodes these by hash bucket.
+    """
     columns = list(columns)
     if not columns:
         return {}, {}
-    table = collect_small(category_counts(df, columns).filter("value IS NOT NULL"))
-    if table is None:
-        raise ValueError(
-            f"more than {SMALL_ROWS} levels: use label_encode or wide_encoder for these columns"
-        )
-    counts: dict[str, dict[str, int]] = {c: {} for c in columns}
-    for row in table.to_pylist():
-        counts[row["column"]][row["value"]] = row["count"]
-    levels = {c: sorted(v) for c, v in counts.items()}
-    modes = {c: min(v, key=lambda x: (-v[x], x)) for c, v in counts.items() if v}
-    return levels, modes
+    counts = cut_lineage(category_counts(df, columns).filter("value IS NOT NULL"))
+    per_column = counts.groupBy("column").agg(
+        F.min_by("value", F.struct(-F.col("count"), "value")).alias("mode"), F.count(F.lit(1)).alias("n")
+    )
+    found = {r["column"]: r for r in per_column.collect()}  # a row per column
+    narrow = [c for c in columns if c not in found or found[c]["n"] <= max_levels]
+    levels: dict[str, list[str]] = {c: [] for c in narrow}
+    for c in narrow:  # one column's levels at a time
+        rows = counts.filter(F.col("column") == c).select("value").limit(max_levels).toArrow()
+        levels[c] = sorted(rows["value"].to_pylist())
+    return levels, {c: found[c]["mode"] for c in columns if c in found}
 
 
 def fit_prep(df: DataFrame, roles: Roles) -> FittedPrep:
@@ -189,6 +203,7 @@ def one_hot(
     df: DataFrame, columns: Sequence[str], drop_first: bool = True, fit: FittedPrep | None = None
 ) -> DataFrame:
     fit = fit or FittedPrep(levels=fit_levels(df, columns)[0])
+    columns = [c for c in columns if c in fit.levels]
     rest = [c for c in df.columns if c not in columns]
     extra = [e.alias(n) for c in columns for n, e in fit.indicators(c, drop_first, impute=False).items()]
     return df.select(*rest, *extra)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scorelens.functions.columns import col, guarded_ratio, since
 from scorelens.functions.quantiles import grouped_quantiles
 from scorelens.functions.running import join_keys
+from scorelens.session import pin_small
 
 # Reporting interval names and their truncation units.
 INTERVALS = {"1h": "hour", "1d": "day", "1w": "week"}
@@ -135,7 +136,8 @@ def value_counts(df: DataFrame, column: str, dropna: bool = True) -> DataFrame:
     """Counts and shares per value; the total runs over the counted values, not over the rows."""
     src = df.filter(F.col(column).isNotNull()) if dropna else df
     counts = src.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = src.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = pin_small(counts)  # so that the total adds up the counts and no second scan is made
+    total = counts.agg(F.sum("count").alias("n")).scalar()
     return counts.select("value", "count", (F.col("count") / total).alias("share"))
 
 
@@ -152,7 +154,7 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
 
 def query_stats(
     stats: DataFrame,
-    last: int | None = 100,
+    last: int | None = None,
     query: str = "query",
     seconds: str = "execution_time",
     success: str = "success",
@@ -160,7 +162,7 @@ def query_stats(
     prefix: int = 100,
     tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Roll the last ``last`` statements up by the start of their text, most total time first."""
+    """Roll statements up by the start of their text, most total time first; with ``last`` only the newest ones."""
     if last is not None:
         stats = stats.orderBy(F.col(ts).desc(), *tie).limit(last)
     return (

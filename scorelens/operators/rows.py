@@ -150,5 +150,7 @@ def slow_operations(df: DataFrame, ms: str, limit_ms: float = 1000.0) -> DataFra
 ERROR_PATTERN = "(?i)error|exception|fail"
 
 
-def error_lines(df: DataFrame, text: str, order: Sequence[str | Column], k: int = 5) -> DataFrame:
-    return df.filter(F.col(text).rlike(ERROR_PATTERN)).orderBy(*order).limit(k)
+def error_lines(
+    df: DataFrame, text: str, order: Sequence[str | Column], k: int = 5, pattern: str = ERROR_PATTERN
+) -> DataFrame:
+    return df.filter(F.col(text).rlike(pattern)).orderBy(*order).limit(k)

@@ -161,15 +161,10 @@ def rollback_conditions(
     )
 
 
-# Recommendation texts and the ratios that lead to them, tested in this order.
+# The ratios that lead to a class, tested in this order.
 STRONG, GOOD, SOME = 1.5, 1.2, 1.0
-RECOMMENDATIONS = (
-    "Highly recommended - significant improvement in both throughput and latency",
-    "Recommended for high-throughput scenarios",
-    "Recommended for low-latency scenarios",
-    "Minor improvements, consider based on specific requirements",
-    "Not recommended - no significant improvements",
-)
+#: Classes from best to worst.
+RECOMMENDATIONS = ("both_better", "throughput", "latency", "slightly_better", "no_gain")
 
 
 def recommendation(throughput: str | Column, latency: str | Column) -> Column:

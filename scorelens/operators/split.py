@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions.running import join_keys
-from scorelens.session import collect_small, pin_small
+from scorelens.session import SMALL_ROWS, collect_small, cut_lineage, pin_small
 
 _SLICE_BITS = 16
 
@@ -41,6 +42,25 @@ def quotas(counts: Mapping, fractions: Sequence[tuple[str, float]]) -> dict[str,
     return out
 
 
+def _class_goals(counts: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    """(_y, step, goal): the rule of ``quotas`` over a class table (_y, n) of any size."""
+    left, goals = counts.select("_y", F.col("n").alias("left"), F.lit(0).cast("long").alias("goal")), []
+    for step, fraction in enumerate(fractions):
+        total = left.agg(F.coalesce(F.sum("left"), F.lit(0)).alias("s")).first()["s"]
+        wanted = math.ceil(round(total * fraction, 9))
+        exact = F.lit(wanted) * F.col("left") / F.lit(float(max(1, total)))
+        shared = left.withColumn("q", F.floor(exact)).withColumn("rest", exact - F.col("q"))
+        spare = wanted - shared.agg(F.coalesce(F.sum("q"), F.lit(0)).alias("s")).first()["s"]
+        extra = shared.orderBy(F.desc("rest"), F.col("_y").cast("string")).limit(spare)
+        extra = extra.select("_y", F.lit(1).alias("one"))
+        shared = join_keys(shared, extra, ["_y"], "left").withColumn("q", F.col("q") + F.coalesce("one", F.lit(0)))
+        left = cut_lineage(
+            shared.select("_y", (F.col("left") - F.col("q")).alias("left"), (F.col("goal") + F.col("q")).alias("goal"))
+        )
+        goals.append(left.select("_y", F.lit(step).alias("step"), "goal"))
+    return reduce(DataFrame.unionAll, goals)
+
+
 def stratified_split(
     df: DataFrame,
     target: str,
@@ -51,8 +71,12 @@ def stratified_split(
     rank: Column | None = None,
     rank_bits: int = 64,
     name: str = "split",
+    few_classes: int = SMALL_ROWS,
 ) -> DataFrame:
-    """Add ``split``. ``key`` identifies a row; ``rank`` may replace the hash by an own order."""
+    """Add ``split``. ``key`` identifies a row; ``rank`` may replace the hash by an own order.
+
+    Quotas of up to ``few_classes`` classes are shared out on the driver, those of more by the same rule as tables.
+    """
     rank = F.xxhash64(F.col(key), F.lit(seed)) if rank is None else rank
     ranked = df.withColumn("_rank", rank)
     narrow = ranked.select(
@@ -62,23 +86,25 @@ def stratified_split(
         F.col(key).alias("_id"),
     )
     per_slice = narrow.groupBy("_y", "_slice").agg(F.count(F.lit(1)).alias("n"))
-    table = collect_small(per_slice.groupBy("_y").agg(F.sum("n").alias("n")))
+    by_class = per_slice.groupBy("_y").agg(F.sum("n").alias("n"))
+    table = collect_small(by_class, few_classes)
     if table is None:
-        raise ValueError(f"{target} has too many classes to stratify by")
-    counts = {r["_y"]: r["n"] for r in table.to_pylist()}
-    ends: list[tuple] = []
-    upto = {k: 0 for k in counts}
-    for step, wanted in enumerate(quotas(counts, fractions).values()):
-        for k in counts:
-            upto[k] += wanted[k]
-            ends.append((k, step, upto[k]))
-    kind = df.schema[target].dataType.simpleString()
-    goals = df.sparkSession.createDataFrame(ends, f"_y {kind}, step INT, goal BIGINT")
+        goals = _class_goals(cut_lineage(by_class), [f for _, f in fractions])
+    else:
+        counts = {r["_y"]: r["n"] for r in table.to_pylist()}
+        ends: list[tuple] = []
+        upto = {k: 0 for k in counts}
+        for step, wanted in enumerate(quotas(counts, fractions).values()):
+            for k in counts:
+                upto[k] += wanted[k]
+                ends.append((k, step, upto[k]))
+        kind = df.schema[target].dataType.simpleString()
+        goals = F.broadcast(df.sparkSession.createDataFrame(ends, f"_y {kind}, step INT, goal BIGINT"))
 
     w = Window.partitionBy("_y").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = per_slice.withColumn("upto", F.sum("n").over(w))
     hit = (
-        join_keys(reached, F.broadcast(goals), ["_y"])
+        join_keys(reached, goals, ["_y"])
         .filter((F.col("upto") - F.col("n") < F.col("goal")) & (F.col("goal") <= F.col("upto")))
         .select("_y", "_slice", "step", (F.col("goal") - F.col("upto") + F.col("n")).alias("nth"))
     )

@@ -380,10 +380,10 @@ SCORES = f"""{DATASET.replace('WITH ', 'WITH ' + PAIRS[5:] + ', ', 1)},
 @query(
     "d19_drift_alerts",
     f"""{SCORES} SELECT CASE WHEN data_drift_score < 0.3 THEN 'WARNING' ELSE 'CRITICAL' END AS level, 'DATA_DRIFT' AS type,
-      'Data drift detected. Score: ' || printf('%.3f', data_drift_score) AS message, '2024-01-31 00:00:00' AS created_at FROM st WHERE data_drift_detected = 1
+      'inputs moved, distance ' || printf('%.3f', data_drift_score) AS message, '2024-01-31 00:00:00' AS created_at FROM st WHERE data_drift_detected = 1
     UNION ALL SELECT CASE WHEN concept_drift_score < 0.3 THEN 'WARNING' ELSE 'CRITICAL' END, 'CONCEPT_DRIFT',
-      'Concept drift detected. Score: ' || printf('%.3f', concept_drift_score), '2024-01-31 00:00:00' FROM st WHERE concept_drift_detected = 1
-    UNION ALL SELECT 'CRITICAL', 'PERFORMANCE_DECAY', 'Significant performance decay in ' || metric || ': ' || printf('%.1f', decay_percent) || '%',
+      'target or scores moved, distance ' || printf('%.3f', concept_drift_score), '2024-01-31 00:00:00' FROM st WHERE concept_drift_detected = 1
+    UNION ALL SELECT 'CRITICAL', 'PERFORMANCE_DECAY', 'lost ground: ' || metric || ' ' || printf('%.1f', decay_percent) || '%',
       '2024-01-31 00:00:00' FROM dk WHERE abs(decay_percent) > 1""",
 )
 def d19(spark, d):
@@ -439,9 +439,9 @@ def d21(spark, d):
     f"""{SCORES}, x AS (SELECT *, data_drift_detected = 1 AND data_drift_score > 0.5 AS a, concept_drift_detected = 1 AND concept_drift_score > 0.3 AS b,
       significant_decay = 1 AS c FROM st)
     SELECT {r('data_drift_score', 'data_drift_score')}, {r('concept_drift_score', 'concept_drift_score')},
-    concat_ws('; ', CASE WHEN a THEN 'Data drift score ' || printf('%.3f', data_drift_score) || ' exceeds threshold' END,
-      CASE WHEN b THEN 'Concept drift score ' || printf('%.3f', concept_drift_score) || ' exceeds threshold' END,
-      CASE WHEN c THEN 'Significant performance decay detected' END) AS reasons, CAST(a OR b OR c AS INTEGER) AS should_retrain FROM x""",
+    concat_ws('; ', CASE WHEN a THEN 'data_drift=' || printf('%.3f', data_drift_score) END,
+      CASE WHEN b THEN 'concept_drift=' || printf('%.3f', concept_drift_score) END,
+      CASE WHEN c THEN 'metric_decay' END) AS reasons, CAST(a OR b OR c AS INTEGER) AS should_retrain FROM x""",
 )
 def d22(spark, d):
     out = D.retrain_decision(state(spark, d)[0])

@@ -19,7 +19,6 @@ from scorelens.plans.tidy import r, t, tidy
 from scorelens.roles import Roles
 from scorelens.session import cut_lineage
 from scorelens.sources.readers import dataset_metadata
-from scorelens.sources.synthetic import synthetic_applications
 from scorelens.sources.views import (
     APPLICATIONS_SQL,
     LOG_SQL,
@@ -527,15 +526,6 @@ def e12(spark, d):
     )
 
 
-@query("s15_synthetic_applications")
-def s15(spark, d):
-    """One application per customer key; the values follow from a hash that SQL lacks."""
-    return synthetic_applications(table(spark, d, "customer").select("c_custkey"), "c_custkey")
-
-
-# ---- sets and lookups --------------------------------------------------------------------------
-
-
 @query(
     "u1_append_new_data",
     """SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'

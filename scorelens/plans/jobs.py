@@ -42,15 +42,14 @@ def monitor(
 ) -> DataFrame:
     """Drift, tests, alerts, dashboard row and decision for the current table, as one row.
 
-    With fewer than ``min_samples`` rows the job reports only that.
+    With fewer than ``min_samples`` rows the status says so and what was not measured is NULL.
     """
     sizes = R.two_sides(reference, current, [roles.target]).agg(
         F.coalesce(F.sum("side"), F.lit(0)).alias("current_samples"),
         F.coalesce(F.sum(1 - F.col("side")), F.lit(0)).alias("reference_samples"),
     )
     sizes = pin_small(sizes)
-    if sizes.first()["current_samples"] < min_samples:
-        return sizes.select(F.lit("insufficient_data").alias("status"), "*")
+    enough = sizes.first()["current_samples"] >= min_samples
     state, report, decay = state_of(reference, current, roles, reference_metrics, score)
     tests = R.test_verdict(R.drift_tests(report, current, roles.numeric, important=important, bounds=bounds))
     alerts = D.drift_alerts(state, decay, as_of).agg(
@@ -59,7 +58,13 @@ def monitor(
     board = D.dashboard(D.one_row(state, sizes), "current_samples", "reference_samples")
     decision = D.retrain_decision(state).select("reasons", "should_retrain")
     out = D.one_row(board, tests, alerts, decision)
-    return out.select(F.lit("completed").alias("status"), F.lit(as_of).alias("checked_at"), "*")
+    out = out.select(F.lit("completed").alias("status"), F.lit(as_of).alias("checked_at"), "*")
+    if enough:
+        return out
+    known = {"status": F.lit("insufficient_data"), "checked_at": F.lit(as_of)}
+    known |= {c: F.col(c) for c in sizes.columns}
+    blank = [known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in out.schema]
+    return sizes.select(*blank)
 
 
 def daily_report(

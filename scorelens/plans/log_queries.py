@@ -485,11 +485,11 @@ def s3(spark, d):
 @query(
     "s5_read_prediction_log",
     f"""{LOG} SELECT request_id, {t('created_at', 'created_at')}, {r('probability', 'probability')}, model_version
-    FROM log WHERE {recent('48 hours')} ORDER BY log.created_at DESC, request_id LIMIT 10000""",
+    FROM log WHERE {recent('48 hours')}""",
 )
 def s5(spark, d):
     log = prediction_log(spark, d).select("request_id", "created_at", "probability", "model_version")
-    return tidy(S.recent_predictions(log, AS_OF, hours=48, tie=["request_id"]))
+    return tidy(S.recent_predictions(log, AS_OF, hours=48))
 
 
 @query(
@@ -554,9 +554,9 @@ def p19(spark, d):
 
 @query(
     "p20_error_lines",
-    """SELECT doc_id, n_chars FROM documents WHERE regexp_matches(text, '(?i)error|exception|fail')
-    ORDER BY doc_id DESC LIMIT 5""",
+    """SELECT page_id, length(html) AS size FROM pages WHERE regexp_matches(html, '(?i)div|href')
+    ORDER BY page_id DESC LIMIT 5""",
 )
 def p20(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", "text")
-    return P.error_lines(docs, "text", [F.desc("doc_id")]).drop("text")
+    pages = table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("size"), "html")
+    return P.error_lines(pages, "html", [F.desc("page_id")], pattern="(?i)div|href").drop("html")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +31,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+@cache
+def _local_scratch() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="scorelens-", ignore_cleanup_errors=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; a temporary one only where none is configured."""
+    """A new path in the cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Only a local session may go without that setting; its temporary folder goes with the process.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="scorelens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _local_scratch().name
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -14,10 +14,27 @@ from scorelens.roles import GERMAN_CREDIT
 
 # Column order of the raw application file.
 APPLICATION_COLUMNS = (
-    "checking_status duration credit_history purpose credit_amount savings_status employment "
-    "installment_commitment personal_status other_parties residence_since property_magnitude age "
-    "other_payment_plans housing existing_credits job num_dependents own_telephone foreign_worker"
-).split()
+    "checking_status",
+    "duration",
+    "credit_history",
+    "purpose",
+    "credit_amount",
+    "savings_status",
+    "employment",
+    "installment_commitment",
+    "personal_status",
+    "other_parties",
+    "residence_since",
+    "property_magnitude",
+    "age",
+    "other_payment_plans",
+    "housing",
+    "existing_credits",
+    "job",
+    "num_dependents",
+    "own_telephone",
+    "foreign_worker",
+)
 
 
 def application_schema(target: str = "default") -> T.StructType:
@@ -62,11 +79,11 @@ def recent_predictions(
     log: DataFrame,
     as_of: datetime,
     hours: int = 24,
-    limit: int | None = 10_000,
+    limit: int | None = None,
     ts: str = "created_at",
     tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows of the last hours, newest first. The row limit is part of this reader; None lifts it."""
+    """Rows of the last hours; with a ``limit`` only the newest ones, newest first."""
     rows = since(log, ts, as_of, hours=hours)
     return rows.orderBy(F.col(ts).desc(), *tie).limit(limit) if limit is not None else rows
 

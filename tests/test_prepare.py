@@ -15,7 +15,6 @@ from scorelens.operators import split as X
 from scorelens.roles import GERMAN_CREDIT, Roles
 from scorelens.session import scratch_path
 from scorelens.sources import readers as S
-from scorelens.sources import synthetic as Y
 from scorelens.sources import writers as O
 
 ROLES = Roles(("age", "income", "credit_amount"), ("credit_history", "purpose"))
@@ -181,7 +180,9 @@ def test_nan_counts_as_missing(spark):
 
 def test_readers_and_writers(spark):
     base = scratch_path(spark, "io")
-    apps = Y.generate(spark, 50)
+    apps = spark.range(50).selectExpr(
+        "id", "cast(id % 5 = 0 AS INT) AS default", "cast(id * 7 AS INT) AS credit_amount", "concat('A', id % 3) AS purpose"
+    )
     parts = X.stratified_split(apps, "default", "id")
     written = O.write_splits(parts, f"{base}/splits")
     assert written.count() == 50 and set(written.columns) == set(parts.columns)
@@ -211,13 +212,6 @@ def test_application_schema_has_all_roles():
     assert set(GERMAN_CREDIT.features) <= names and len(names) == 21
 
 
-def test_synthetic_defaults_follow_the_rules(spark):
-    apps = Y.generate(spark, 500)
-    risky = "payment_to_income > 0.4 OR credit_history IN ('A33', 'A34') OR age < 25"
-    assert apps.filter(f"default <> cast(({risky}) AS INT)").count() == 0
-    assert apps.exceptAll(Y.synthetic_applications(spark.range(500).repartition(5))).count() == 0
-
-
 def test_log_append_prunes_by_day(spark):
     rows = [(1, datetime(2024, 1, 1, 5)), (2, datetime(2024, 1, 2, 5))]
     df = spark.createDataFrame(rows, "request_id INT, created_at TIMESTAMP")
@@ -264,3 +258,38 @@ def test_steps_run_in_order(spark):
     df = spark.createDataFrame([(1,)], "x INT")
     steps = [("add", lambda d: d.withColumn("x", F.col("x") + 1)), ("twice", lambda d: d.withColumn("x", F.col("x") * 2))]
     assert E.run_steps(df, steps).first().x == 4
+
+
+def test_splits_of_many_classes_follow_the_same_rule(spark):
+    df = spark.range(3000).selectExpr("id", "cast(id % 37 % 11 AS STRING) AS y")
+    fractions = (("test", 0.2), ("validation", 0.25))
+    few = X.stratified_split(df, "y", "id", fractions)
+    many = X.stratified_split(df, "y", "id", fractions, few_classes=3)
+    assert few.exceptAll(many).count() == 0 and many.count() == 3000
+
+
+def test_columns_with_many_levels_have_modes_and_buckets(spark):
+    rows = [(f"v{i % 40}", "a" if i % 3 else "b", float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "wide STRING, narrow STRING, x DOUBLE")
+    levels, modes = E.fit_levels(df, ["wide", "narrow"], max_levels=10)
+    assert set(levels) == {"narrow"} and modes == {"wide": "v0", "narrow": "a"}
+    prep = E.FittedPrep(E.fit_numeric(df, ["x"]), levels, modes)
+    out = prep.transform(df)
+    assert out.columns == prep.feature_names() == ["x", "wide_bucket", "narrow_b"]
+    assert out.select("wide_bucket").distinct().count() > 10
+    assert df.select(prep.code("wide").alias("c")).filter("c NOT BETWEEN 0 AND 999").count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        scratch_path(Session(), "x")
