@@ -52,7 +52,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sets of hashed shingles; the hashes of words are kept per worker."""
 
-    def __init__(self, width: int = 5, limit: int = 600_000):
+    def __init__(self, width: int = 5, limit: int = 150_000):
         self.width, self.limit, self.known = width, limit, {}
 
     def of(self, text: str) -> np.ndarray:

@@ -44,7 +44,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Digests:
     """Paragraph digests of texts; words' hashes are kept per worker."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 250_000):
         self.limit, self.known = limit, {}
 
     def of(self, text: str) -> np.ndarray:

@@ -57,7 +57,7 @@ class ToxicityModel:
 class _Scorer:
     """Word weights by word, and sentence probabilities of one text."""
 
-    def __init__(self, model: ToxicityModel, limit: int = 500_000):
+    def __init__(self, model: ToxicityModel, limit: int = 250_000):
         self.model, self.limit = model, limit
         self._reset()
 
