@@ -6,16 +6,20 @@ positions would move each of them several times, so the first rounds run on a sa
 anchors at equal places.
 
 1. Every anchor is a row: its 32-byte name, and the name of the stretch that its own windows cover (100 to 168 bytes).
-   Spark sorts rows by this pair of ranks and by place. Anchors whose first rank is unique are done.
+   Of anchors that a document has twice, only the first is sent; the others are repeats and are found again where the
+   text is cut. Spark sorts rows by this pair of ranks and by place. Anchors whose first rank is unique are done.
 2. Where both ranks were seen at an earlier place, all windows of the anchor are repeats. Where only the first rank
    is shared, the earliest anchor of each pair stays open.
-3. For the windows of open anchors, the pair of 64-byte names at offsets 0 and 36 ranks the whole 100 bytes. Spark
-   sorts these; a window whose rank was seen at an earlier place is a repeat.
+3. For the windows of open anchors, the pair of 64-byte names at offsets 0 and 36 ranks the whole 100 bytes. Equal
+   windows have anchors of equal name, so Spark sorts open stretches by name and place, and a window whose rank was
+   seen under that name is a repeat. Names with very many open stretches send a row per window instead, sorted by
+   rank and place, so that no task holds more than the ranks of a bounded number of stretches.
 
 The bytes of all repeated windows are removed, judged on the input.
 
 Defined results: null and empty texts, and texts below 100 bytes, lose nothing; equal rows that repeat an id count as one
-document; other rows that repeat an id are told apart by position only; an empty table gives an empty table; other
+document; other rows that repeat an id are told apart by position only; texts with a null id lose only what
+they repeat themselves; an empty table gives an empty table; other
 columns are ignored. Texts of any length are handled whole; matches never cross documents.
 """
 
@@ -38,6 +42,8 @@ REPEAT, GRAM, LONG = 100, 32, 64
 _SPAN = REPEAT - GRAM + 1
 #: Bytes that are worked on together, besides a text that is longer; documents whose spans may be sent to all executors.
 _TOGETHER, _SENT = 1 << 21, 500_000
+#: Open stretches of one name that a task compares in memory.
+_HELD = 20_000
 _A, _B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
@@ -110,6 +116,15 @@ def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return d, first - starts[d], last - starts[d], short[a], stretch
 
 
+def _first_inside(d: np.ndarray, gram: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Whether an anchor is the first of its document with these ranks; anchors come in the order of their place."""
+    order = np.lexsort((np.arange(len(d)), stretch, gram, d))
+    same = np.zeros(len(d), bool)
+    o = order
+    same[o[1:]] = (d[o[1:]] == d[o[:-1]]) & (gram[o[1:]] == gram[o[:-1]]) & (stretch[o[1:]] == stretch[o[:-1]])
+    return ~same
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
     """(gram, stretch, doc_id, at): ``at`` is the first window's place, times 256, plus the number of further windows."""
 
@@ -117,9 +132,10 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         for b in batches:
             for ids, raw, starts in groups(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 d, first, last, gram, stretch = anchors(raw, starts)
+                k = _first_inside(d, gram, stretch)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(stretch.view(np.int64)),
-                     pa.array(np.array(ids, np.int64)[d]), pa.array(first << 8 | last - first)],
+                    [pa.array(gram[k].view(np.int64)), pa.array(stretch[k].view(np.int64)),
+                     pa.array(np.array(ids, np.int64)[d[k]]), pa.array(first[k] << 8 | (last - first)[k])],
                     ["gram", "stretch", "doc_id", "at"],
                 )
 
@@ -127,7 +143,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def _settle(sorted_rows: DataFrame) -> DataFrame:
-    """(open, doc_id, at) from anchors in the order of both ranks and place.
+    """(open, gram, doc_id, at) from anchors in the order of both ranks and place.
 
     A row whose ranks both equal those of the row before it is settled: that one starts earlier. The first row of a
     pair of ranks is open if its 32 bytes have another pair, and otherwise done. Nothing is held but one row.
@@ -144,17 +160,17 @@ def _settle(sorted_rows: DataFrame) -> DataFrame:
             group = np.cumsum(new_g)
             more = np.bincount(group[new & ~new_g], minlength=group[-1] + 1) > 0
             open_ = (new & ~new_g) | (new_g & more[group])
-            out_d, out_at, flag = d[~new | open_], at[~new | open_], open_[~new | open_]
+            told = ~new | open_
+            out = [open_[told], g[told], d[told], at[told]]
             if more[0] and pending:
-                out_d, out_at = np.append(out_d, pending[0]), np.append(out_at, pending[1])
-                flag, pending = np.append(flag, True), None
+                out, pending = [np.append(x, y) for x, y in zip(out, (True, *pending))], None
             if group[-1] > 0:
                 i = int(np.flatnonzero(new_g)[-1])
-                pending = None if more[-1] else (d[i], at[i])
+                pending = None if more[-1] else (g[i], d[i], at[i])
             last = g[-1], h[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(flag), pa.array(out_d), pa.array(out_at)], ["open", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["open", "gram", "doc_id", "at"])
 
-    return sorted_rows.mapInArrow(run, "open boolean, doc_id long, at long")
+    return sorted_rows.mapInArrow(run, "open boolean, gram long, doc_id long, at long")
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -164,6 +180,69 @@ def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(lists) if small else lists, "doc_id", how)
 
 
+def _open_lists(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """(doc_id, text, list): documents with the open anchors in them, as (at, gram)."""
+    lists = opened.groupBy("doc_id").agg(F.collect_list(F.struct("at", "gram")).alias("list"))
+    return _with_lists(docs, cut_lineage(lists), "inner").select("doc_id", "text", "list")
+
+
+def _stretch_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """(gram, doc_id, at, bytes) of every open anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams, ids, ats, parts = [], [], [], []
+            for i, text, found in zip(*(b.column(k).to_pylist() for k in range(3))):
+                raw = text.encode()
+                for x in found:
+                    first = x["at"] >> 8
+                    grams.append(x["gram"])
+                    ids.append(i)
+                    ats.append(x["at"])
+                    parts.append(raw[first : first + (x["at"] & 255) + REPEAT])
+            for at in range(0, len(ids), 20_000):
+                part = slice(at, at + 20_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams[part], pa.int64()), pa.array(ids[part], pa.int64()),
+                     pa.array(ats[part], pa.int64()), pa.array(parts[part], pa.binary())],
+                    ["gram", "doc_id", "at", "bytes"],
+                )
+
+    return _open_lists(docs, opened).mapInArrow(run, "gram long, doc_id long, at long, bytes binary")
+
+
+def _seen_before(sorted_rows: DataFrame) -> DataFrame:
+    """(doc_id, span) of windows whose rank an earlier stretch of the same name has; neighbours are joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, seen = None, set()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            parts = b.column(3).to_pylist()
+            starts = np.cumsum([0, *map(len, parts)])
+            _, long = names(np.frombuffer(b"".join(parts), np.uint8))
+            rank = _pair(long[: len(long) - (REPEAT - LONG)], long[REPEAT - LONG :])
+            ids, spans = [], []
+            for k, (gram, doc, at) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                if gram != name:
+                    name, seen = gram, set()
+                mine = rank[starts[k] : starts[k] + (at & 255) + 1].tolist()
+                hit = [j for j, r in enumerate(mine) if r in seen]
+                seen.update(mine)
+                first = at >> 8
+                begin = None
+                for j, nxt in zip(hit, [*hit[1:], -1]):
+                    begin = j if begin is None else begin
+                    if nxt != j + 1:
+                        ids.append(doc)
+                        spans.append((first + begin) << 32 | first + j + REPEAT)
+                        begin = None
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.int64())], ["doc_id", "span"])
+
+    return sorted_rows.mapInArrow(run, "doc_id long, span long")
+
+
 def _window_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
     """(rank, doc_id, place) of every window of the open anchors; the rank is that of all 100 bytes."""
 
@@ -172,7 +251,7 @@ def _window_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
             lists = b.column(2).to_pylist()
             k = 0
             for ids, raw, starts in groups(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ats = [np.array(x, np.int64) for x in lists[k : k + len(ids)]]
+                ats = [np.array([x["at"] for x in found], np.int64) for found in lists[k : k + len(ids)]]
                 k += len(ids)
                 begin = np.concatenate([(x >> 8) + s for x, s in zip(ats, starts)])
                 size = np.concatenate([x & 255 for x in ats]) + 1
@@ -185,9 +264,7 @@ def _window_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
                     ["rank", "doc_id", "place"],
                 )
 
-    lists = opened.groupBy("doc_id").agg(F.collect_list("at").alias("list"))
-    joined = _with_lists(docs, cut_lineage(lists), "inner").select("doc_id", "text", "list")
-    return joined.mapInArrow(run, "rank long, doc_id long, place long")
+    return _open_lists(docs, opened).mapInArrow(run, "rank long, doc_id long, place long")
 
 
 def _later(sorted_rows: DataFrame) -> DataFrame:
@@ -207,21 +284,55 @@ def _later(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, "doc_id long, place long")
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, list): starts and ends of repeated stretches, as start * 2^32 + end; they may overlap."""
+def repeated_spans(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = _HELD
+) -> DataFrame:
+    """(doc_id, list): starts and ends of stretches that an earlier anchor settles, as start * 2^32 + end.
+
+    They may overlap. Anchors that a document repeats itself are left to ``_inside``.
+    """
     docs = texts(df, id_col, text_col).filter(F.col("doc_id").isNotNull())
     ordered = _anchor_rows(docs).repartition("gram").sortWithinPartitions("gram", "stretch", "doc_id", "at")
     found = cut_lineage(_settle(ordered))
-    windows = _window_rows(docs, found.filter("open").select("doc_id", "at"))
-    again = _later(windows.repartition("rank").sortWithinPartitions("rank", "doc_id", "place"))
+    opened = found.filter("open").select("gram", "doc_id", "at")
+    many = cut_lineage(opened.groupBy("gram").count().filter(F.col("count") > held).select("gram"))
     first = F.shiftright("at", 8)
     whole = F.shiftleft(first, 32) + first + F.col("at").bitwiseAND(255) + REPEAT
-    spans = found.filter("NOT open").select("doc_id", whole.alias("span")).unionAll(
-        again.select("doc_id", (F.shiftleft("place", 32) + F.col("place") + REPEAT).alias("span"))
-    )
+    spans = found.filter("NOT open").select("doc_id", whole.alias("span"))
+    rest = opened
+    if not many.isEmpty():
+        rest = opened.join(many, "gram", "left_anti")
+        windows = _window_rows(docs, opened.join(many, "gram", "left_semi"))
+        again = _later(windows.repartition("rank").sortWithinPartitions("rank", "doc_id", "place"))
+        spans = spans.unionAll(again.select("doc_id", (F.shiftleft("place", 32) + F.col("place") + REPEAT).alias("span")))
+    stretches = _stretch_rows(docs, rest).repartition("gram").sortWithinPartitions("gram", "doc_id", "at")
+    spans = spans.unionAll(_seen_before(stretches))
     return spans.groupBy("doc_id").agg(F.collect_list("span").alias("list"))
 
 
+def _inside(values: list[str]) -> list[list[int]]:
+    """Per text, the spans of anchors that it has had before, as start * 2^32 + end."""
+    out: list[list[int]] = []
+    for ids, raw, starts in groups(list(range(len(values))), values):
+        d, first, last, gram, stretch = anchors(raw, starts)
+        again = ~_first_inside(d, gram, stretch)
+        spans = (first << 32 | last + REPEAT)[again]
+        ends = np.searchsorted(d[again], np.arange(len(ids) + 1))
+        out += [spans[ends[k] : ends[k + 1]].tolist() for k in range(len(ids))]
+    return out
+
+
+def cut_texts(values: list[str], lists: list[list[int] | None]) -> Iterator[tuple[bytes, bytes, int]]:
+    """Each text's bytes, what is left of them, and the number of stretches cut out."""
+    for text, spans, own in zip(values, lists, _inside(values)):
+        raw, at, parts = text.encode(), 0, []
+        cut = merged([*(spans or []), *own])
+        for start, end in cut.tolist():
+            parts.append(raw[at:start])
+            at = end
+        yield raw, b"".join([*parts, raw[at:]]), len(cut)
+
+
 def merged(spans: list[int] | None) -> np.ndarray:
     """Maximal stretches (start, end) that overlapping or touching spans cover."""
     x = np.sort(np.array(spans or [], np.int64))
@@ -242,20 +353,18 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     on = df[id_col].cast("long") == F.col("_repeats_id")
 
     @F.arrow_udf(StringType())
-    def cut(column: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, found in zip(column.to_pylist(), spans.to_pylist()):
-            if found and text:
-                raw, at, parts = text.encode(), 0, []
-                for start, end in merged(found).tolist():
-                    parts.append(raw[at:start])
-                    at = end
-                text = b"".join([*parts, raw[at:]]).decode(errors="ignore")
-            out.append(text)
-        return pa.array(out, pa.string())
+    def cut(column: pa.Array, known: pa.Array, spans: pa.Array) -> pa.Array:
+        values, known = column.to_pylist(), known.to_pylist()
+        done = cut_texts([t if t and k else "" for t, k in zip(values, known)], spans.to_pylist())
+        left = [
+            rest.decode(errors="ignore") if t and k and n else t
+            for t, k, (_, rest, n) in zip(values, known, done)
+        ]
+        return pa.array(left, pa.string())
 
     joined = df.join(F.broadcast(lists) if small else lists, on, "left")
-    return joined.withColumn(text_col, cut(text_col, "_repeats_list")).select(*df.columns)
+    known = F.col(id_col).isNotNull()
+    return joined.withColumn(text_col, cut(text_col, known, "_repeats_list")).select(*df.columns)
 
 
 def remove_repeats(
@@ -271,15 +380,9 @@ def remove_repeats(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                raw, at, parts = text.encode(), 0, []
-                cut = merged(spans)
-                for start, end in cut.tolist():
-                    parts.append(raw[at:start])
-                    at = end
-                left = b"".join([*parts, raw[at:]])
+            for raw, left, n in cut_texts(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 kept = left.decode(errors="ignore") if with_text else ""
-                row = len(raw), len(raw) - len(left), len(cut), hashlib.sha256(left).hexdigest(), kept
+                row = len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest(), kept
                 for column, value in zip(out, row):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())

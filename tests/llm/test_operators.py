@@ -409,6 +409,11 @@ def test_removed_bytes_of_periodic_and_shared_texts(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id LONG, text STRING").repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect()}
     assert got == brute_repeats(docs)
+    # The path by windows, which very common names take, finds the same.
+    lists = {r.doc_id: r.list for r in repeats.repeated_spans(df, held=2).collect()}
+    ids = sorted(docs)
+    cut = repeats.cut_texts([docs[i] for i in ids], [lists.get(i) for i in ids])
+    assert {i: (len(raw), len(raw) - len(left)) for i, (raw, left, _) in zip(ids, cut)} == {i: g[:2] for i, g in got.items()}
 
 
 # -- the pipeline
