@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-
-from scorelens.llm.common import WordCache
+from array import array
 
 _RUNS = r" \s|^ | $"
 _SINGLE = r"(?<=\S) (?=\S)"
@@ -29,32 +28,58 @@ class WordEncoder:
     ``spaces`` says whether the tokenizer keeps white space (byte-level) or drops it (word ends).
     """
 
-    def __init__(self, path: str, spaces: bool = True):
+    def __init__(self, path: str, spaces: bool = True, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
         self.spaces = spaces
-        self.cache = WordCache()
-
-    def _fill(self, data: dict, parts: list[str]) -> None:
-        from array import array
-
-        new = [p for p in set(parts) if p not in data]
-        found = self.tok.encode_batch_fast([" " + p for p in new] if self.spaces else new, add_special_tokens=False)
-        data.update(zip(new, [array("I", e.ids).tobytes() for e in found]))
+        # Two generations: words in use move from the old one to the young one, the others are forgotten with it.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit = limit
+        self.tails = {c: self._ids(self.tok.encode(c, add_special_tokens=False)) for c in ".,"}
+
+    @staticmethod
+    def _ids(found) -> bytes:
+        return array("I", found.ids).tobytes()
+
+    def _fill(self, parts: list[str]) -> None:
+        """Entries for the words that have none. A full stop or comma behind Latin letters is a token of its own."""
+        young, old, stems, new = self.young, self.old, {}, set()
+        for p in set(parts):
+            if p in young:
+                continue
+            known = old.get(p)
+            if known is not None:
+                young[p] = known
+                continue
+            stem = p[:-1]
+            if p[-1:] in self.tails and stem.isalpha() and max(stem) < "\u0250":
+                stems[p] = stem
+                known = old.get(stem)
+                if known is not None:
+                    young[stem] = known
+                if stem not in young:
+                    new.add(stem)
+            else:
+                new.add(p)
+        words = list(new)
+        found = self.tok.encode_batch_fast([" " + p for p in words] if self.spaces else words, add_special_tokens=False)
+        young.update(zip(words, map(self._ids, found)))
+        for p, stem in stems.items():
+            young[p] = young[stem] + self.tails[p[-1]]
 
     def encode(self, text: str) -> bytes:
-        data = self.cache.room()
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
         if not self.spaces:
             parts, head = text.split(" "), b""
         else:
             first, *parts = pieces(text)
-            from array import array
-
-            head = array("I", self.tok.encode(first, add_special_tokens=False).ids).tobytes()
+            head = self._ids(self.tok.encode(first, add_special_tokens=False))
         try:
-            return head + b"".join(map(data.get, parts))
+            return head + b"".join(map(self.young.get, parts))
         except TypeError:  # a word without an entry
-            self._fill(data, parts)
-            return head + b"".join(map(data.__getitem__, parts))
+            self._fill(parts)
+            return head + b"".join(map(self.young.__getitem__, parts))
