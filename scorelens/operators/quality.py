@@ -156,6 +156,7 @@ def category_violations(
         .groupBy(F.col("h.column").alias("column"), F.col("h.value").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # The number of rows comes from the files' metadata where no filter stands before it.
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     per = invalid.groupBy("column").agg(
         F.count(F.lit(1)).alias("invalid_values"), F.sum("n").alias("invalid_count")

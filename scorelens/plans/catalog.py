@@ -29,6 +29,7 @@ def load_all() -> None:
         drift_queries,
         evaluate_queries,
         feature_queries,
+        io_queries,
         log_queries,
         model_queries,
         quality_queries,
