@@ -220,3 +220,35 @@ def test_alerts_append(spark):
     path = scratch_path(spark, "alerts")
     append_alerts(alerts, path)
     assert append_alerts(alerts, path).count() == 2
+
+
+def test_chi_square_tail_of_many_degrees_takes_constant_time(monkeypatch):
+    from scorelens.functions import tails
+
+    for x in (19_500.0, 20_000.0, 20_600.0):
+        exact = tails._chi2_tail(x, 20_000)
+        monkeypatch.setattr(tails, "EXACT_DEGREES", 10)
+        assert abs(tails._chi2_tail(x, 20_000) - exact) < 1e-5
+        monkeypatch.undo()
+    assert 0.4 < tails._chi2_tail(3e12, 3_000_000_000_000) < 0.6
+
+
+def test_slices_follow_the_count(spark):
+    from scorelens.functions.running import value_bounds
+
+    df = spark.range(6000).selectExpr("cast(id * 0.5 AS DOUBLE) AS v")
+    assert len(value_bounds(df, "v", rows_per_slice=10)) > 500
+    assert value_bounds(df, "v") == []
+
+
+def test_metrics_and_reports_without_columns_are_empty(spark):
+    df = spark.createDataFrame([(1.0, "a")], "x DOUBLE, c STRING")
+    assert R.custom_metrics(df, df, [{"type": "unknown", "column_name": "x"}]).collect() == []
+    assert R.column_drift_report(df, df, [], []).collect() == []
+    assert R.psi_drift(df, df).collect() == []
+
+
+def test_one_row_tables_with_a_common_name_raise(spark):
+    one = spark.sql("SELECT 1 AS a")
+    with pytest.raises(ValueError):
+        D.one_row(one, one)
