@@ -9,7 +9,7 @@
 4. In a bucket every text is compared with one hub. Pairs whose collision-corrected estimate is within five standard
    errors of the threshold are verified on the full sets, and links are merged into components.
 5. A bucket stays open while its other texts lie in different components. Its hubs are done with; the next round
-   takes eight times as many, those of the smallest components first. A large bucket in which hardly any estimate is
+   takes four times as many, those of the smallest components first. A large bucket in which hardly any estimate is
    high holds unlike texts that share a passage: it is cut, each text entering one new bucket per further band, in
    which it meets those that also agree there. Rounds go on until no bucket is open, so nothing is capped.
 
@@ -322,20 +322,29 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
             sized = sized.withColumn("w", F.lit(1))
         # One hub for each remainder, so that hubs are grouped minima and no bucket is sorted.
         picked = sized.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(hubs)).alias("part")).agg(
-            F.min_by("id", F.struct("w", "id")).alias("hub"), F.count("*").alias("m")
+            F.min_by(F.struct("id", "c"), F.struct("w", "id")).alias("hub"), F.count("*").alias("m")
         )
         chosen = picked.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("m").alias("m")).filter("m > 1")
-        members = cut_lineage(buckets.join(chosen.select("key", "hubs"), "key"))
-        compared = members.select("key", "id", F.explode("hubs").alias("hub")).filter("id <> hub")
-        compared = compared.withColumns({"a": F.greatest("id", "hub"), "b": F.least("id", "hub")})
-        likely = link(compared.select("a", "b").distinct())
-        others = members.filter(~F.array_contains("hubs", F.col("id"))).select("key", "id")
+        members = cut_lineage(sized.select("key", "id", "c").join(chosen.select("key", "hubs"), "key"))
+        # Only hubs of another component are left to compare with.
+        apart = F.filter("hubs", lambda h: h["c"] != F.col("c"))
+        compared = members.select("id", F.explode(F.transform(apart, lambda h: h["id"])).alias("hub"))
+        likely = link(compared.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
+        others = members.filter(~F.exists("hubs", lambda h: h["id"] == F.col("id"))).select("key", "id")
         left = _labelled(others, labels, "id", "c")
         state = left.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"))
         opened = left.join(state.filter("c1 < c2").select("key", "m"), "key").select("key", "id", "m")
-        near = compared.join(opened.filter(F.col("m") > _LARGE).select("key").distinct(), "key", "left_semi")
+        # One hub shows what kind of bucket it is.
+        near = members.join(opened.filter(F.col("m") > _LARGE).select("key").distinct(), "key", "left_semi")
+        near = near.select("key", "id", "c", F.get("hubs", F.lit(0)).alias("hub")).filter("id <> hub.id")
+        near = near.select(
+            "key",
+            (F.col("c") == F.col("hub.c")).cast("int").alias("linked"),
+            F.greatest("id", "hub.id").alias("a"),
+            F.least("id", "hub.id").alias("b"),
+        )
         near = near.join(likely.withColumn("near", F.lit(1)), ["a", "b"], "left").groupBy("key")
-        near = near.agg(F.avg(F.coalesce("near", F.lit(0))).alias("near"))
+        near = near.agg(F.avg(F.coalesce("near", "linked")).alias("near"))
         return cut_lineage(opened.join(near, "key", "left").fillna(1.0, ["near"]))
 
     buckets, hubs = cut_lineage(_buckets(sets, docs, percent)), 1
@@ -346,7 +355,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
         mixed = (F.col("m") > _LARGE) & (F.col("near") <= 0.05)
         cut = _cut(opened.filter(mixed), sets).distinct()
         buckets = cut_lineage(opened.filter(~mixed).select("key", "id").unionAll(cut))
-        hubs *= 8
+        hubs *= 4
 
     rooted = _labelled(sets.select("hi", "lo", "id"), labels, "id", "c").select("hi", "lo", "c")
     found = named.select("doc_id", "n_shingles", "hi", "lo").join(rooted, ["hi", "lo"])
