@@ -7,13 +7,16 @@ any prefix of a text, and the longest prefix within a budget, follow without enc
 
 Special strings inside a text count as one token, as the library does by default. Defined results: null and empty
 texts have no tokens; ties, repeated rows and repeated ids are counted each for itself; an empty table gives an empty
-table; other columns are ignored. A text of any length is handled whole.
+table; other columns are ignored. A text of any length is handled whole, and so is a word of any length: words above
+``SHARED`` bytes keep one number per prefix, by position, and are kept in no cache.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +26,9 @@ from pyspark.sql import functions as F
 from scorelens.llm.common import WordCache, per_worker, rows, texts
 from scorelens.llm.words import pieces
 
+#: Bytes, or characters of a text's word, up to which results are shared by string.
+SHARED = 128
+
 
 def _byte_alphabet() -> list[str]:
     """Printable Latin bytes stand for themselves; the others follow from U+0100 on, in order."""
@@ -40,7 +46,9 @@ class PrefixCounter:
         self.split_words = tokenizers.Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.vocab = spec["model"]["vocab"]
-        self.longest = max(map(len, self.vocab))
+        self.longest: dict[str, int] = {}  # last byte -> length of the longest token that ends with it
+        for t in self.vocab:
+            self.longest[t[-1]] = max(len(t), self.longest.get(t[-1], 0))
         self.merged: dict[tuple[int, int], int] = {}  # pair of tokens -> rank of its merge
         self.halves: dict[int, tuple[int, int, int]] = {}  # token -> rank of the merge that makes it, left, right
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -103,37 +111,62 @@ class PrefixCounter:
             else:
                 limit, b = rb + 1, self.halves[b][1]
 
+    def _follows(self, before: int, t: int) -> bool:
+        """Whether a token can come behind a prefix, given by its last token and count (0 for the empty prefix)."""
+        if not before:
+            return self.reachable(t)
+        key = before >> 32 << 20 | t
+        ok = self.fits.get(key)
+        if ok is None:
+            if len(self.fits) > 1_000_000:
+                self.fits.clear()
+            ok = self.fits[key] = self.compatible(before >> 32, t) and self.reachable(t)
+        return ok
+
     def state(self, word: str) -> int:
         """The last token and the number of tokens of one word, which has one character per byte.
 
         Each prefix is worked out once: words that begin alike share their table.
         """
-        vocab, fits, table = self.vocab, self.fits, self.table
+        if len(word) > SHARED:
+            return self._states(word)[-1]
+        vocab, table = self.vocab, self.table
+        if len(table) > self.prefix_tables.limit:
+            table.clear()
+        table[""] = 0
         n = known = len(word)
         while word[:known] not in table:
             known -= 1
         for end in range(known + 1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - self.longest.get(word[end - 1], 0)), end):
                 t = vocab.get(word[start:end])
                 if t is None:
                     continue
                 before = table[word[:start]]
-                if start:
-                    key = before >> 32 << 20 | t
-                    ok = fits.get(key)
-                    if ok is None:
-                        ok = fits[key] = self.compatible(before >> 32, t) and self.reachable(t)
-                else:
-                    ok = self.reachable(t)
-                if ok:
+                if self._follows(before, t):
                     table[word[:end]] = t << 32 | (before & 0xFFFFFFFF) + 1
                     break
             else:
                 raise ValueError(f"the vocabulary lacks a byte of {word!r}")
         return table[word]
 
+    def _states(self, word: str) -> array:
+        """``state`` of every prefix of a long word, by position: memory is linear in the word."""
+        vocab, states = self.vocab, array("q", [0])
+        for end in range(1, len(word) + 1):
+            for start in range(max(0, end - self.longest.get(word[end - 1], 0)), end):
+                t = vocab.get(word[start:end])
+                if t is not None and self._follows(states[start], t):
+                    states.append(t << 32 | (states[start] & 0xFFFFFFFF) + 1)
+                    break
+            else:
+                raise ValueError(f"the vocabulary lacks a byte of {word[end - 1]!r}")
+        return states
+
     def piece(self, word: str) -> list[int]:
         """Tokens of every prefix of one word."""
+        if len(word) > SHARED:
+            return [s & 0xFFFFFFFF for s in self._states(word)]
         self.state(word)
         return [self.table[word[:k]] & 0xFFFFFFFF for k in range(len(word) + 1)]
 
@@ -171,7 +204,6 @@ class PrefixCounter:
         Most prefixes end inside a word and only need that word's counts. A prefix that ends in a run of white space
         or in a contraction is split into other words than the whole, so there the prefix itself is counted.
         """
-        self.table[""] = 0
         out, base, at_text = [0], 0, 0
         for part, special in self._parts(text):
             at_text += len(part)
@@ -185,7 +217,9 @@ class PrefixCounter:
             for word, (a, b) in self.split_words(part):
                 counts, piece, n = self.piece(word), part[a:b], 0
                 plain = not piece[0].isspace() or (piece[0] == " " and not piece.isspace())
+                alone = (piece.isspace() and at == a) or (piece[0] == "'" and len(piece) > 3)
                 odd = piece.isspace() or piece[0] == "'" or (a and part[a - 1].isspace() and not plain)
+                odd = odd and not alone
                 for k, char in enumerate(piece, 1):
                     n += len(char.encode())
                     out.append(start + self.span(part[at : a + k]) if odd or (k == 1 and piece[0] == " ") else base + counts[n])
@@ -199,23 +233,23 @@ class PrefixCounter:
         parts = pieces(text)
         head, rest = parts[0], parts[1:]
         data, first, self.table = self.counts.room(), self.first.room(), self.prefix_tables.room()
-        self.table[""] = 0
-        if len(self.fits) > 1_000_000:
-            self.fits.clear()
-        if head not in first:
-            first[head] = self.span(head)
+        n_head = first.get(head)
+        if n_head is None:
+            n_head = self.span(head)
+            if len(head) <= SHARED:
+                first[head] = n_head
         try:
-            total = first[head] + sum(map(data.get, rest))
+            total = n_head + sum(map(data.get, rest))
         except TypeError:  # a word without an entry
-            for p in set(rest):
-                if p not in data:
-                    data[p] = self.word(p)
-            total = first[head] + sum(map(data.get, rest))
+            new = {p: self.word(p) for p in set(rest) if p not in data}
+            data.update((p, n) for p, n in new.items() if len(p) <= SHARED)
+            data = ChainMap(new, data) if any(len(p) > SHARED for p in new) else data
+            total = n_head + sum(map(data.__getitem__, rest))
         if total <= limit:
             return total, len(text)
         done = at = 0
         for k, p in enumerate(parts):
-            n = data[p] if k else first[p]
+            n = data[p] if k else n_head
             if done + n > limit:
                 inside = self.prefixes(" " + p if k else p)
                 return total, at + max(i for i, c in enumerate(inside) if done + c <= limit)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -269,6 +270,35 @@ def test_counts_of_texts_and_prefixes_equal_the_library(spark, sf_dir, texts):
         assert counter.prefixes(t) == [n(t[:k]) for k in range(len(t) + 1)]
 
 
+@pytest.mark.parametrize("shared", [4, 128])
+def test_prefix_counts_of_runs_equal_the_library(monkeypatch, shared):
+    monkeypatch.setattr(prefix_counts, "SHARED", shared)
+    tok, counter, rng = Tokenizer.from_file(BYTE), prefix_counts.PrefixCounter(BYTE), random.Random(5)
+    n = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    kinds = [" ", "'", "=", "\n", "ab", "the", "'s", "'ll", " '", "é", "7", "."]
+    for _ in range(100):
+        text = "".join(rng.choice(kinds) * rng.randint(1, 7) for _ in range(rng.randint(1, 9)))
+        limit, want = rng.randint(0, 12), [n(text[:k]) for k in range(len(text) + 1)]
+        assert counter.prefixes(text) == want
+        assert counter.count(text, limit) == (want[-1], max(k for k, c in enumerate(want) if c <= limit))
+
+
+@pytest.mark.parametrize("make", ["=", "abcdefgh", " ", "'", "x "])
+def test_a_long_run_takes_linear_memory_and_stays_in_no_cache(make):
+    rng = random.Random(9)
+    text = "x " + "=" * 20_000 if make == "x " else "".join(rng.choice(make) for _ in range(20_000))
+    tok, counter = Tokenizer.from_file(BYTE), prefix_counts.PrefixCounter(BYTE)
+    tracemalloc.start()
+    total, kept = counter.count(text, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # every prefix as a string of its own takes 200 MB
+    caches = (counter.table, counter.counts.data, counter.first.data)
+    assert all(len(k) <= prefix_counts.SHARED for cache in caches for k in cache)
+    n = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    assert total == n(text) and n(text[:kept]) <= 100 < n(text[: kept + 1])
+
+
 def test_words_encode_like_whole_texts(texts):
     for path, spaces in ((BYTE, True), (WORD, False)):
         tok, words = Tokenizer.from_file(path), WordEncoder(path, spaces)
