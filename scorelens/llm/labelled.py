@@ -13,7 +13,6 @@ def labelled_sample(
     labels: DataFrame,
     label: str,
     per_class: int,
-    max_chars: int = 100_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[list[str], list[int], list[float]]:
@@ -21,8 +20,7 @@ def labelled_sample(
 
     Rows are taken in the order of their id's hash, so the sample is the same each time and says nothing about the
     order of the table. Weights give back the share that each class has among all rows that may be learnt from.
-    Texts above ``max_chars`` are left out of the sample only; scoring has no such limit. Rows without a label or an
-    id are left out.
+    Texts of any length are taken, whole: the driver holds the sample. Rows without a label or an id are left out.
     """
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", label)
     sizes = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}  # two rows
@@ -35,7 +33,7 @@ def labelled_sample(
         return [], [], []
     rows = (
         texts(docs, id_col, text_col)
-        .filter(F.col("doc_id").isin(*wanted) & (F.length("text") <= max_chars))
+        .filter(F.col("doc_id").isin(*wanted))
         .dropDuplicates(["doc_id"])
         .collect()
     )

@@ -2,7 +2,9 @@
 
 A sentence's probability is a logistic function of the weights of its words, each the sum of the weights of the word
 and of its letter groups. A document is toxic unless all its sentences are clean, so its probability is the noisy-or
-of theirs; the weights are fitted to document labels through that combination, by gradient steps over all sampled
+of theirs and of one background per document, whose probability is that of a sentence without weight. A sentence adds
+what it has above the background, so one without a weighted word adds nothing, and scoring ignores sentences below
+``NEUTRAL``: a text of such sentences alone has the background's score at any length. The weights are fitted to document labels through that combination, by gradient steps over all sampled
 documents at once. The fitted sentence scores then say where in a document the offence is.
 
 Defined results: null and empty texts and texts without a word score 0; texts of any length are scored whole; ties and
@@ -28,6 +30,8 @@ from scorelens.llm.labelled import labelled_sample
 
 #: Hashed features, and what ends a sentence besides a line end, which becomes a word of its own.
 FEATURES, _LINE = 1 << 18, "\x00"
+#: Sentences of a lower probability say nothing about their document.
+NEUTRAL = 0.1
 _ENDS = (".", "!", "?", ";", "…", "。")
 
 
@@ -54,6 +58,12 @@ class ToxicityModel:
         return zlib.crc32(self.weights.tobytes()) ^ hash((self.bias, self.constant))
 
 
+def _log_clean(p: np.ndarray | None, bias: float):
+    """What sentences add to the log of a document's clean probability; None for what it has without any sentence."""
+    ground = -np.log1p(np.exp(np.clip(bias, -40, 40)))
+    return ground if p is None else np.minimum(0.0, np.log1p(-np.minimum(p, 1 - 1e-12)) - ground)
+
+
 class _Scorer:
     """Word weights by word, and sentence probabilities of one text."""
 
@@ -95,7 +105,7 @@ class _Scorer:
         if tokens.count(_LINE) == len(tokens):
             return 0.0
         p, _ = self.sentences(tokens)
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+        return float(-np.expm1(_log_clean(p[p >= NEUTRAL], self.model.bias).sum() + _log_clean(None, self.model.bias)))
 
     def offending(self, text: str, threshold: float) -> list[tuple[int, int, float]]:
         """Character spans of the sentences at or above a probability."""
@@ -117,12 +127,19 @@ class _Scorer:
 
 
 def fit(
-    texts_: list[str], y: list[int], weight: list[float], rounds: int = 150, l2: float = 5e-6, seen: int | None = None
+    texts_: list[str],
+    y: list[int],
+    weight: list[float],
+    rounds: int = 150,
+    l2: float = 5e-6,
+    l1: float = 1e-4,
+    seen: int | None = None,
 ) -> ToxicityModel:
     """Full-batch Adam on the noisy-or likelihood. Work per round follows the words of the sample.
 
     Features of fewer than ``seen`` documents (by default 2 to 6, with the toxic documents of the sample) keep weight
     0: a rare word explains its one document too easily.
+    ``l1`` holds words without a clear lean at 0, which would add up in long texts.
     Weights are not negative: a clean word beside an offence does not excuse it.
     """
     share = float(np.average(y, weights=weight)) if y else 0.0
@@ -158,20 +175,23 @@ def fit(
     common = np.bincount(held % FEATURES, minlength=FEATURES) >= seen
     feature, owner = feature[common[feature]], owner[common[feature]]
     y_, weight_ = np.array(y, float), np.array(weight)
+    told = np.bincount(document, minlength=len(y_)) > 0
     w, bias = np.zeros(FEATURES), -6.0
     m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     for k in range(1, rounds + 1):
         of_word = np.bincount(owner, w[feature], len(parts))
         z = np.bincount(sentence, of_word[token], n_sentences) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        clean = np.exp(np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y_)))
+        p0 = 1 / (1 + np.exp(-bias))
+        clean = np.exp(np.bincount(document, _log_clean(p, bias), len(y_)) + _log_clean(None, bias) * told)
         toxic = np.maximum(1 - clean, 1e-9)
         pull = np.where(y_ == 1, -clean / toxic, 1.0) * weight_ / len(y_)
         g = pull[document] * p
         by_word = np.bincount(token, g[sentence], len(parts))
-        gw = np.bincount(feature, by_word[owner], FEATURES) + l2 * w
+        gw = np.bincount(feature, by_word[owner], FEATURES) + l2 * w + l1
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
+        gb = (pull * told).sum() * p0 + (pull[document] * (p - p0)).sum()
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         a, b = 1 - 0.9**k, 1 - 0.999**k
         w = np.maximum(0, w - 0.15 * (m / a) / (np.sqrt(v / b) + 1e-8))
         bias -= 0.05 * (mb / a) / ((vb / b) ** 0.5 + 1e-8)

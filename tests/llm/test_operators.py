@@ -30,6 +30,7 @@ from scorelens.llm import (
     toxicity,
 )
 from scorelens.llm.components import components
+from scorelens.llm.labelled import labelled_sample
 from scorelens.llm.words import WordEncoder
 from scorelens.session import scratch_path
 
@@ -110,6 +111,21 @@ def test_held_out_rows_are_ranked_well(spark, name, label, floor):
     assert auc(*zip(*held)) > floor
 
 
+def test_long_clean_texts_stay_clean_and_a_long_offence_is_found():
+    train = [f"all is well here. word{k} again." for k in range(60)] + [f"all is well. you pathetic moron. ok{k}." for k in range(60)]
+    scorer = toxicity._Scorer(toxicity.fit(train, [0] * 60 + [1] * 60, [1.0] * 120))
+    short, long = scorer.score("all is well here."), "\n".join(f"all is well here, on day {k}." for k in range(20_000))
+    assert scorer.score(long) == pytest.approx(short) and short < 0.5
+    assert scorer.score(long + "\nyou pathetic moron.") >= 0.5
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    docs = spark.createDataFrame([(i, "fine day. " * (20_000 if i % 2 else 1)) for i in range(12)], "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id LONG, toxic INT")
+    texts_, y, _ = labelled_sample(docs, labels, "toxic", 100)
+    assert sum(y) == sum(len(t) > 100_000 for t in texts_) > 0
+
+
 def test_sentences_of_an_offence_are_found(spark):
     train = [f"all is well here. word{k} again." for k in range(60)] + [f"all is well. you pathetic moron. ok{k}." for k in range(60)]
     model = toxicity.fit(train, [0] * 60 + [1] * 60, [1.0] * 120)
