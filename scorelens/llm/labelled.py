@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.llm.common import held_out, texts
+from scorelens.session import cut_lineage
 
 
 def labelled_sample(
@@ -18,11 +19,14 @@ def labelled_sample(
 ) -> tuple[list[str], list[int], list[float]]:
     """Texts, labels and weights of at most ``per_class`` rows per class, none of them held out.
 
+    Only labels of rows that ``docs`` has are counted and taken.
     Rows are taken in the order of their id's hash, so the sample is the same each time and says nothing about the
     order of the table. Weights give back the share that each class has among all rows that may be learnt from.
     Texts of any length are taken, whole: the driver holds the sample. Rows without a label or an id are left out.
     """
+    present = texts(docs, id_col, text_col).select("doc_id")
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", label)
+    known = cut_lineage(known.join(present, "doc_id", "left_semi"))
     sizes = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}  # two rows
     wanted: dict[int, int] = {}
     for value in (0, 1):

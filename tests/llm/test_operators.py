@@ -126,6 +126,17 @@ def test_long_labelled_texts_are_learnt_from(spark):
     assert sum(y) == sum(len(t) > 100_000 for t in texts_) > 0
 
 
+def test_labels_of_dropped_rows_leave_room_for_others(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id LONG, toxic INT")
+    every = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id LONG, text STRING")
+    first, _, _ = labelled_sample(every, labels, "toxic", 5)
+    left = every.filter(~F.col("text").isin(first))
+    texts_, y, weight = labelled_sample(left, labels, "toxic", 5)
+    assert len(texts_) == 10 and sum(y) == 5 and not set(texts_) & set(first)
+    n = {v: sum(i % 2 == v and zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200)) - 5 for v in (0, 1)}
+    assert weight[y.index(1)] / weight[y.index(0)] == pytest.approx(n[1] / n[0])
+
+
 def test_sentences_of_an_offence_are_found(spark):
     train = [f"all is well here. word{k} again." for k in range(60)] + [f"all is well. you pathetic moron. ok{k}." for k in range(60)]
     model = toxicity.fit(train, [0] * 60 + [1] * 60, [1.0] * 120)
