@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scorelens.llm import (
+    conversation_repair,
+    merge_replay,
     near_dedup,
+    norm_buckets,
     offset_pieces,
     packing,
     paragraph_sketch,
@@ -127,3 +130,39 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_repeated_bytes")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_merge_replay")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return merge_replay.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digest_only=True)
+
+
+OP13_SQL = rf"""
+WITH words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{norm_buckets.TERM}') AS ws
+      FROM documents),
+d AS (SELECT row, doc_id, ws, CAST(len(ws) AS BIGINT) AS n FROM words WHERE len(ws) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{norm_buckets.TERM}')) AS term
+      FROM benchmark),
+t AS (SELECT row, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, unnest(ws) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, docs),
+s AS (SELECT item_id, d.row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT)
+             AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN d USING (row), c GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score,
+             CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {norm_buckets.TOP}"""
+
+
+@query("op13_norm_buckets", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
