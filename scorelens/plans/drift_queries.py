@@ -407,7 +407,7 @@ def alert_log(spark, d):
 @query(
     "d20_alert_listing",
     f"""{ALERTS} SELECT id, level, type, {t('created_at', 'created_at')} FROM al WHERE level = 'CRITICAL'
-    AND created_at >= TIMESTAMP '2024-01-24' AND created_at < TIMESTAMP '2024-01-31' ORDER BY al.created_at DESC, id LIMIT 100""",
+    AND created_at >= TIMESTAMP '2024-01-24' AND created_at < TIMESTAMP '2024-01-31'""",
 )
 def d20(spark, d):
     return tidy(D.list_alerts(alert_log(spark, d), AS_OF, level="CRITICAL", tie=["id"]))

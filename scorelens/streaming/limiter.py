@@ -1,8 +1,10 @@
-"""Keyed state machines: sliding-window rate limiter, adaptive limiter and circuit breaker.
+"""Keyed state machines: sliding-window rate limiter, adaptive limiter, circuit breaker and count window.
 
-The decision on a request depends on the earlier decisions for its key, so rows of a key are taken in
-time order inside each micro-batch. State per key is bounded: at most ``limit`` accepted times, or one
-breaker row. The size of a micro-batch (files or bytes per trigger) bounds the rows of a hot key.
+The decision on a request depends on the earlier decisions for its key, so rows of a key are decided in time order.
+They wait in map state by time slot, in parts of bounded size, and are decided slot by slot when the watermark has
+passed: rows may come in any order and in any number of batches within the delay, and a call never holds more of a key
+than one slot. State of a decided key is bounded: at most ``limit`` accepted times, or one breaker row. One timer is
+kept per key, at the end of its earliest slot.
 """
 
 from __future__ import annotations
@@ -12,15 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scorelens.functions.columns import micros
 from scorelens.operators.ranking import CRITICAL_LOAD, LOAD_LEVELS, load_bands
-from scorelens.session import scratch_path
-from scorelens.streaming.runner import each_batch, folder_stream, use_rocksdb
+from scorelens.streaming.runner import END
 
 SECOND = 1_000_000
 
@@ -56,56 +56,160 @@ def decide(
     return out, list(kept)
 
 
-def in_time_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> list[np.ndarray]:
-    """Columns of a key's rows in a micro-batch, sorted by time and then by request."""
-    chunks = list(rows)
-    arrays = [np.concatenate([c[name].to_numpy() for c in chunks]) for name in columns]
-    order = np.lexsort((arrays[1], arrays[0]))
-    return [a[order] for a in arrays]
+#: Rows of one value in map state, and about the rows of one output frame.
+PART = 1024
 
 
-class Limiter(StatefulProcessor):
-    """Accepted times per key; the state is dropped once the window has passed without a request."""
+class InOrder(StatefulProcessor):
+    """Rows of a key by event time, a slot at a time. ``columns`` has names and types, time and request id first."""
 
-    def __init__(self, window: int, burst_window: int):
-        self.window, self.burst_window = window, burst_window
+    columns: dict[str, str] = {}
+
+    def __init__(self, slot: int):
+        self.slot = slot
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.accepted = handle.getValueState("accepted", "times ARRAY<BIGINT>")
+        arrays = ", ".join(f"{name} ARRAY<{kind}>" for name, kind in self.columns.items())
+        self.waiting = handle.getMapState("waiting", "slot BIGINT, part INT", arrays)
+        self.open = handle.getValueState("open", "slots ARRAY<BIGINT>, parts ARRAY<INT>, due BIGINT")
+
+    def start(self, key) -> None:
+        """Load what earlier decisions of the key have left."""
+
+    def decide(self, key, columns: list[np.ndarray]) -> dict:
+        """Output columns for rows in time order."""
+        raise NotImplementedError
+
+    def stop(self, key) -> None:
+        """Store what later decisions of the key need."""
+
+    def rest(self, key, now: int) -> None:
+        """No row of the key waits; ``now`` is the watermark in microseconds."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        us, ids, limits, bursts = in_time_order(rows, ["us", "request_id", "max_requests", "max_burst"])
-        stored = self.accepted.get()
-        seen = list(stored[0]) if stored else []
-        decisions, seen = decide(us, seen, self.window * SECOND, self.burst_window * SECOND, limits, bursts)
-        self.accepted.update((seen,))
-        if seen:
-            self.handle.registerTimer((seen[-1] + self.window * SECOND) // 1000 + 1)
-        allowed, applied, left, reset = zip(*decisions)
-        yield pd.DataFrame(
-            {
-                "key": key[0],
-                "request_id": ids,
-                "us": us,
-                "allowed": list(allowed),
-                "applied_limit": np.array(applied, dtype="int32"),
-                "remaining": np.array(left, dtype="int32"),
-                "reset_in": np.array(reset, dtype="int32"),
-            }
-        )
+        stored = self.open.get()
+        parts = dict(zip(stored[0], stored[1])) if stored else {}
+        due = stored[2] if stored else None
+        for chunk in rows:
+            slots = chunk["us"].to_numpy() // self.slot
+            order = np.argsort(slots, kind="stable")
+            values = [chunk[name].to_numpy()[order] for name in self.columns]
+            found, starts = np.unique(slots[order], return_index=True)
+            for slot, begin, end in zip(found.tolist(), starts, [*starts[1:], len(slots)]):
+                for at in range(begin, end, PART):
+                    part = parts.get(slot, 0)
+                    self.waiting.updateValue((slot, part), tuple(v[at : min(end, at + PART)].tolist() for v in values))
+                    parts[slot] = part + 1
+        self._keep(parts, due)
+        return iter(())
+
+    def _keep(self, parts: dict[int, int], due: int | None) -> None:
+        """Store the open slots; a timer ends the earliest, unless ``due`` is one that comes before."""
+        end = -((min(parts) + 1) * self.slot // -1000)
+        if due is None or end < due:
+            self.handle.registerTimer(end)
+            due = end
+        self.open.update((list(parts), list(parts.values()), due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        stored = self.accepted.get()
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        if stored and now - stored[0][-1] >= self.window * SECOND:
-            self.accepted.clear()
-        return iter(())
+        stored = self.open.get()
+        parts = dict(zip(stored[0], stored[1])) if stored else {}
+        closed = sorted(s for s in parts if (s + 1) * self.slot <= now)
+        if closed:
+            self.start(key)
+            out, held = [], 0
+            for slot in closed:
+                loaded = [self.waiting.getValue((slot, k)) for k in range(parts[slot])]
+                for k in range(parts.pop(slot)):
+                    self.waiting.removeKey((slot, k))
+                columns = [np.concatenate([np.array(x[i]) for x in loaded]) for i in range(len(self.columns))]
+                order = np.lexsort((columns[1], columns[0]))
+                out.append(self.decide(key, [c[order] for c in columns]))
+                held += len(order)
+                if held >= PART:
+                    yield _frame(out)
+                    out, held = [], 0
+            if out:
+                yield _frame(out)
+            self.stop(key)
+        if parts:
+            if closed or not stored:
+                self._keep(parts, None)
+        else:
+            if closed:
+                self.open.clear()
+            self.rest(key, now)
 
     def close(self) -> None:
         pass
 
 
+def _frame(slots: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame({name: np.concatenate([s[name] for s in slots]) for name in slots[0]})
+
+
+class Limiter(InOrder):
+    """Accepted times per key; they are dropped once the window has passed without a request."""
+
+    columns = {"us": "BIGINT", "request_id": "BIGINT", "max_requests": "INT", "max_burst": "INT"}
+
+    def __init__(self, window: int, burst_window: int, slot: int):
+        super().__init__(slot)
+        self.window, self.burst_window = window, burst_window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.accepted = handle.getValueState("accepted", "times ARRAY<BIGINT>")
+
+    def start(self, key) -> None:
+        stored = self.accepted.get()
+        self.seen = list(stored[0]) if stored else []
+
+    def decide(self, key, columns: list[np.ndarray]) -> dict:
+        us, ids, limits, bursts = columns
+        decisions, self.seen = decide(us, self.seen, self.window * SECOND, self.burst_window * SECOND, limits, bursts)
+        allowed, applied, left, reset = zip(*decisions)
+        return {
+            "key": np.full(len(us), key[0], dtype=object),
+            "request_id": ids,
+            "us": us,
+            "allowed": np.array(allowed),
+            "applied_limit": np.array(applied, dtype="int32"),
+            "remaining": np.array(left, dtype="int32"),
+            "reset_in": np.array(reset, dtype="int32"),
+        }
+
+    def stop(self, key) -> None:
+        self.accepted.update((self.seen,))
+
+    def rest(self, key, now: int) -> None:
+        stored = self.accepted.get()
+        if not stored or not stored[0] or now - stored[0][-1] >= self.window * SECOND:
+            self.accepted.clear()
+        else:
+            self.handle.registerTimer((stored[0][-1] + self.window * SECOND) // 1000 + 1)
+
+
+def _timed(requests: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermarked rows without the one that only closes a stream; a request without an id has the id -1.
+
+    The filter names the time, so it stays behind the watermark, which must meet that row.
+    """
+    rows = requests.withWatermark(ts, delay).filter(F.col(ts) < F.lit(END))
+    return rows.withColumn("request_id", F.coalesce(F.col("request_id").cast("long"), F.lit(-1)))
+
+
+def _limited(keyed: DataFrame, window: int, burst_window: int, slot: int) -> DataFrame:
+    return keyed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Limiter(window, burst_window, slot * SECOND),
+        outputStructType=LIMITER_OUTPUT,
+        outputMode="append",
+        timeMode="EventTime",
+    )
+
+
 def rate_limiter(
     requests: DataFrame,
     ts: str = "created_at",
@@ -114,101 +218,66 @@ def rate_limiter(
     window: int = 60,
     burst_window: int = 10,
     delay: str = "1 minute",
+    slot: int = 1,
 ) -> DataFrame:
     """Decision per request of a stream with ``client``, ``endpoint``, ``request_id`` and a time.
 
-    A column ``max_requests``/``max_burst`` in the input takes the place of the fixed limits.
+    Requests are decided once the watermark has passed their slot of ``slot`` seconds.
     """
-    use_rocksdb(requests.sparkSession)
-    have = set(requests.columns)
-    limits = {
-        "max_requests": F.col("max_requests") if "max_requests" in have else F.lit(limit),
-        "max_burst": F.col("max_burst") if "max_burst" in have else F.lit(burst),
-    }
-    keyed = requests.withWatermark(ts, delay).select(
+    keyed = _timed(requests, ts, delay).select(
         F.concat_ws(":", F.col("client").cast("string"), "endpoint").alias("key"),
         "request_id",
         micros(ts).alias("us"),
-        *[c.cast("int").alias(n) for n, c in limits.items()],
+        F.lit(limit).cast("int").alias("max_requests"),
+        F.lit(burst).cast("int").alias("max_burst"),
         ts,
     )
-    return keyed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Limiter(window, burst_window),
-        outputStructType=LIMITER_OUTPUT,
-        outputMode="append",
-        timeMode="EventTime",
-    )
-
-
-def with_load_limits(
-    batch: DataFrame,
-    tail: DataFrame | None,
-    ts: str,
-    limit: int,
-    burst: int,
-    seconds: int = 30,
-    levels=LOAD_LEVELS,
-) -> tuple[DataFrame, DataFrame]:
-    """Requests of a batch with the limits their load level leads to, and the tail for the next batch.
-
-    ``tail`` holds the request counts per instant of the last ``seconds`` of the batch before.
-    """
-    width = seconds * SECOND
-    own = batch.groupBy(micros(ts).alias("us")).agg(F.count(F.lit(1)).alias("n"))
-    counts = own if tail is None else own.unionByName(tail).groupBy("us").agg(F.sum("n").alias("n"))
-    slot = F.floor(F.col("us") / width)
-    visits = counts.select("us", "n", F.posexplode(F.array(slot, slot + 1)).alias("_copy", "_slot"))
-    w = Window.partitionBy("_slot").orderBy("us").rangeBetween(-(width - 1), 0)
-    rate = visits.withColumn("rps", F.sum("n").over(w) / seconds).filter("_copy = 0")
-    _, factor = load_bands(F.col("rps"), levels, CRITICAL_LOAD)
-    limits = rate.select(
-        F.col("us").alias("_us"),
-        factor.alias("load_factor"),
-        F.floor(F.lit(limit) * factor).cast("int").alias("max_requests"),
-        F.floor(F.lit(burst) * factor).cast("int").alias("max_burst"),
-    )
-    out = batch.join(limits, micros(ts) == limits["_us"]).drop("_us")
-    newest = counts.agg(F.max("us").alias("m")).scalar()
-    return out, counts.filter(F.col("us") > newest - width)
+    return _limited(keyed, window, burst_window, slot)
 
 
 def adaptive_limiter(
     requests: DataFrame,
-    name: str = "adaptive",
     ts: str = "created_at",
     limit: int = 60,
     burst: int = 10,
     burst_window: int = 10,
     seconds: int = 30,
+    step: int = 1,
     levels=LOAD_LEVELS,
+    delay: str = "1 minute",
 ) -> DataFrame:
-    """Limits follow the global request rate of the trailing window; the per-client window has its width.
+    """Limits follow the global request rate of the trailing ``seconds``; the per-client window has that width.
 
-    Two streams: the first writes each request with its limits, computed per time slot and not on one
-    global key; the second applies the limiter. Returns the second stream.
+    One query. The rate is a hopping count, summed by task before any shuffle, over the ``seconds`` that end where the
+    request's step of ``step`` seconds begins, so the factor lags by less than a step. Requests wait for it in a
+    stream join by step, and for their turn in the limiter; a step without any earlier request has rate 0.
     """
-    spark = requests.sparkSession
-    base = scratch_path(spark, name)
-
-    def limits(batch: DataFrame, batch_id: int) -> DataFrame:
-        before = None
-        if batch_id > 0:
-            before = spark.read.parquet(f"{base}/tail/batch={batch_id - 1}")
-        out, tail = with_load_limits(batch, before, ts, limit, burst, seconds, levels)
-        tail.write.mode("overwrite").parquet(f"{base}/tail/batch={batch_id}")
-        return out
-
-    each_batch(requests, f"{base}/limits", f"{base}/checkpoint", limits)
-    schema = T.StructType(
-        [
-            *requests.schema.fields,
-            T.StructField("load_factor", T.DoubleType()),
-            T.StructField("max_requests", T.IntegerType()),
-            T.StructField("max_burst", T.IntegerType()),
-        ]
+    hop, width = f"{step} seconds", f"{seconds} seconds"
+    stepped = _timed(requests, ts, delay).select(
+        F.concat_ws(":", F.col("client").cast("string"), "endpoint").alias("key"),
+        "request_id",
+        micros(ts).alias("us"),
+        F.window(ts, hop).alias("step"),
     )
-    stream = folder_stream(spark, f"{base}/limits", schema)
-    return rate_limiter(stream, ts, limit, burst, seconds, burst_window)
+    waiting = stepped.select("key", "request_id", "us", F.window_time("step").alias("step_end"))
+    # Counted one step later, so that a window ends with the step whose requests it limits.
+    later = requests.select((F.col(ts) + F.expr(f"INTERVAL {hop}")).alias("later")).withWatermark("later", delay)
+    rates = (
+        later.groupBy(F.window("later", width, hop).alias("w"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.window_time("w").alias("rate_end"), (F.col("n") / seconds).alias("rps"))
+    )
+    joined = waiting.join(rates, F.col("step_end") == F.col("rate_end"), "left")
+    _, factor = load_bands(F.coalesce("rps", F.lit(0.0)), levels, CRITICAL_LOAD)
+    keyed = joined.select(
+        "key",
+        "request_id",
+        "us",
+        F.floor(F.lit(limit) * factor).cast("int").alias("max_requests"),
+        F.floor(F.lit(burst) * factor).cast("int").alias("max_burst"),
+        "step_end",
+    )
+    return _limited(keyed, seconds, burst_window, step)
 
 
 BREAKER_OUTPUT = "service STRING, request_id BIGINT, us BIGINT, rejected BOOLEAN, state STRING, failures INT"
@@ -241,43 +310,114 @@ def trip(
     return out, state, failures, last
 
 
-class Breaker(StatefulProcessor):
-    def __init__(self, threshold: int, reset: int):
+class Breaker(InOrder):
+    columns = {"us": "BIGINT", "request_id": "BIGINT", "failed": "BOOLEAN"}
+
+    def __init__(self, threshold: int, reset: int, slot: int):
+        super().__init__(slot)
         self.threshold, self.reset = threshold, reset
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.memory = handle.getValueState("breaker", "state STRING, failures INT, last BIGINT")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        us, ids, failed = in_time_order(rows, ["us", "request_id", "failed"])
-        state, failures, last = self.memory.get() or ("CLOSED", 0, 0)
-        decisions, state, failures, last = trip(us, failed, state, failures, last, self.threshold, self.reset)
-        self.memory.update((state, failures, last))
+    def start(self, key) -> None:
+        self.now = self.memory.get() or ("CLOSED", 0, 0)
+
+    def decide(self, key, columns: list[np.ndarray]) -> dict:
+        us, ids, failed = columns
+        decisions, *self.now = trip(us, failed, *self.now, self.threshold, self.reset)
         rejected, states, counts = zip(*decisions)
-        yield pd.DataFrame(
-            {
-                "service": key[0],
-                "request_id": ids,
-                "us": us,
-                "rejected": list(rejected),
-                "state": list(states),
-                "failures": np.array(counts, dtype="int32"),
-            }
-        )
+        return {
+            "service": np.full(len(us), key[0], dtype=object),
+            "request_id": ids,
+            "us": us,
+            "rejected": np.array(rejected),
+            "state": np.array(states, dtype=object),
+            "failures": np.array(counts, dtype="int32"),
+        }
 
-    def close(self) -> None:
-        pass
+    def stop(self, key) -> None:
+        self.memory.update(tuple(self.now))
 
 
 def circuit_breaker(
-    requests: DataFrame, ts: str = "created_at", threshold: int = 5, reset_seconds: int = 60
+    requests: DataFrame,
+    ts: str = "created_at",
+    threshold: int = 5,
+    reset_seconds: int = 60,
+    delay: str = "1 minute",
+    slot: int = 1,
 ) -> DataFrame:
-    """State of the breaker after each request of a stream with ``service``, ``request_id``, ``failed``."""
-    use_rocksdb(requests.sparkSession)
-    keyed = requests.select("service", "request_id", micros(ts).alias("us"), "failed")
+    """State of the breaker after each request of a stream with ``service``, ``request_id``, ``failed``.
+
+    Requests are decided once the watermark has passed their slot of ``slot`` seconds; a null ``failed`` is no failure.
+    """
+    keyed = _timed(requests, ts, delay).select(
+        "service", "request_id", micros(ts).alias("us"), F.coalesce("failed", F.lit(False)).alias("failed"), ts
+    )
     return keyed.groupBy("service").transformWithStateInPandas(
-        statefulProcessor=Breaker(threshold, reset_seconds * SECOND),
+        statefulProcessor=Breaker(threshold, reset_seconds * SECOND, slot * SECOND),
         outputStructType=BREAKER_OUTPUT,
         outputMode="append",
+        timeMode="EventTime",
+    )
+
+
+class LastRows(StatefulProcessor):
+    """The newest ``n`` requests of a key: a ring of three numbers a row, whatever the stream has brought."""
+
+    def __init__(self, n: int, min_samples: int, names: list[str]):
+        self.n, self.min_samples, self.names = n, min_samples, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getValueState("ring", "us ARRAY<BIGINT>, ids ARRAY<BIGINT>, value ARRAY<DOUBLE>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.ring.get() or ([], [], [])
+        us, ids, value = (np.array(x, dtype=t) for x, t in zip(stored, ("i8", "i8", "f8")))
+        for chunk in rows:
+            us = np.concatenate([us, chunk["us"].to_numpy()])
+            ids = np.concatenate([ids, chunk["request_id"].to_numpy()])
+            value = np.concatenate([value, chunk["value"].to_numpy(dtype="f8")])
+            newest = np.lexsort((ids, -us))[: self.n]
+            us, ids, value = us[newest], ids[newest], value[newest]
+        self.ring.update((us.tolist(), ids.tolist(), value.tolist()))
+        if len(us) >= self.min_samples:
+            known = value[~np.isnan(value)]
+            yield pd.DataFrame(
+                {name: [k] for name, k in zip(self.names, key)}
+                | {"n_rows": [len(us)], "mean_value": [known.mean() if len(known) else None], "request_ids": [ids.tolist()]}
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def last_rows_stream(
+    log: DataFrame,
+    keys: list[str],
+    value: str,
+    ts: str = "created_at",
+    request_id: str = "request_id",
+    n: int = 1000,
+    min_samples: int = 100,
+) -> DataFrame:
+    """The newest ``n`` requests per key and the mean of their ``value``, after each batch that brings the key rows.
+
+    Keys with fewer than ``min_samples`` requests so far give nothing. Ties in time go to the smaller id. Rows without
+    a time or an id are left out; keys are text, a null one is the text ``null``. For update mode.
+    """
+    rows = log.filter(F.col(ts).isNotNull() & F.col(request_id).isNotNull()).select(
+        *[F.coalesce(F.col(k).cast("string"), F.lit("null")).alias(k) for k in keys],
+        micros(ts).alias("us"),
+        F.col(request_id).cast("long").alias("request_id"),
+        F.col(value).cast("double").alias("value"),
+    )
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=LastRows(n, min_samples, keys),
+        outputStructType=", ".join(f"{k} STRING" for k in keys)
+        + ", n_rows BIGINT, mean_value DOUBLE, request_ids ARRAY<BIGINT>",
+        outputMode="update",
         timeMode="None",
     )

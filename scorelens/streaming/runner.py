@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,42 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep stream state outside the heap, with changelogs in the checkpoint folder."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+#: Event time of the row that closes a bounded stream, later than all rows and all that waits for them.
+END = datetime(9000, 1, 1)
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state outside the heap; the caller's setting is put back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class BoundedStream:
+    """A stream that ends: ``rows`` has the source's rows and, once ``close`` was called, one more at ``END``.
+
+    The watermark waits behind the newest row, so the last windows and slots of a bounded source would stay open. The
+    closing row comes from a folder of its own, which is filled when the source has been read; a query started again
+    from its checkpoint then meets nothing but that row. It is null in all other columns, and as its own window never
+    closes it is in no result of a windowed or time-ordered operator.
+    """
+
+    def __init__(self, source: DataFrame, ts: str = "created_at"):
+        self.spark, self.ts = source.sparkSession, ts
+        self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in source.schema])
+        self.path = scratch_path(self.spark, "closing")
+        self.spark.createDataFrame([], self.schema).write.parquet(self.path)
+        self.rows = source.unionByName(self.spark.readStream.schema(self.schema).parquet(self.path))
+
+    def close(self) -> None:
+        at = self.schema.fieldNames().index(self.ts)
+        row = tuple(END if i == at else None for i in range(len(self.schema)))
+        self.spark.createDataFrame([row], self.schema).write.mode("append").parquet(self.path)
 
 
 def table_stream(
@@ -43,23 +78,28 @@ def event_time(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str, **trigger) -> None:
+def append_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", **trigger) -> None:
     """Append-mode file sink, which commits each batch exactly once."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    with state_in_rocksdb(stream.sparkSession):
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode(mode)
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
     query.awaitTermination()
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
+def run_append(stream: DataFrame, name: str, bounded: BoundedStream | None = None) -> DataFrame:
+    """All rows that the stream appends; with ``bounded``, those of the last windows as well."""
     spark = stream.sparkSession
     base = scratch_path(spark, name)
     append_to(stream, f"{base}/out", f"{base}/checkpoint")
+    if bounded is not None:
+        bounded.close()
+        append_to(stream, f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -74,13 +114,14 @@ def each_batch(
     def handle(batch: DataFrame, batch_id: int) -> None:
         write(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = (
-        stream.writeStream.foreachBatch(handle)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with state_in_rocksdb(stream.sparkSession):
+        query = (
+            stream.writeStream.foreachBatch(handle)
+            .outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
 
 
@@ -90,11 +131,15 @@ def run_each_batch(
     write: Callable[[DataFrame, int], DataFrame],
     schema: T.StructType,
     mode: str = "append",
+    bounded: BoundedStream | None = None,
 ) -> DataFrame:
-    """Rows of all batches with a ``batch`` column."""
+    """Rows of all batches with a ``batch`` column; with ``bounded``, those of the last windows as well."""
     spark = stream.sparkSession
     base = scratch_path(spark, name)
     each_batch(stream, f"{base}/out", f"{base}/checkpoint", write, mode)
+    if bounded is not None:
+        bounded.close()
+        each_batch(stream, f"{base}/out", f"{base}/checkpoint", write, mode)
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     return spark.read.schema(full).parquet(f"{base}/out")
 

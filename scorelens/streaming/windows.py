@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions.running import join_keys
@@ -79,18 +79,56 @@ def alert_stream(
     return marked.dropDuplicatesWithinWatermark(["type", "window_start"]).select("type", "window_start")
 
 
+#: The bin of values that a profile does not list by name.
+OTHER = "other"
+
+
+def level_bin(c: str, levels: Sequence[str]) -> Column:
+    """The value, ``"value:"`` before it, if it is one of ``levels``, else one bin for all others; NULL stays NULL."""
+    text = F.col(c).cast("string")
+    listed = F.array_contains(F.array(*[F.lit(x) for x in levels]), text) if levels else F.lit(False)
+    return F.when(text.isNotNull(), F.when(listed, F.concat(F.lit("value:"), text)).otherwise(F.lit(OTHER)))
+
+
+def profile_bins(edges: Mapping[str, Sequence[float]], levels: Mapping[str, Sequence[str]]) -> list[Column]:
+    numbers = [bin_number(c, e).cast("string").alias(c) for c, e in edges.items()]
+    return numbers + [level_bin(c, x).alias(c) for c, x in levels.items()]
+
+
+def frequent_levels(reference: DataFrame, columns: Sequence[str], most: int = 100) -> dict[str, list[str]]:
+    """Per column the ``most`` values that come most often (ties by value), which bounds profile and stream state."""
+    text = reference.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    counts = text.unpivot([], list(columns), "column", "value").filter("value IS NOT NULL").groupBy("column", "value").count()
+    order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+    kept = counts.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most)
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for row in kept.select("column", "value").collect():
+        found[row["column"]].append(row["value"])
+    return {c: sorted(x) for c, x in found.items()}
+
+
+def reference_profile(
+    reference: DataFrame, edges: Mapping[str, Sequence[float]], levels: Mapping[str, Sequence[str]] = {}
+) -> DataFrame:
+    """(column, bin, n_ref) of the reference: a row per bin and column."""
+    long = reference.select(*profile_bins(edges, levels)).unpivot([], [*edges, *levels], "column", "bin")
+    return long.filter("bin IS NOT NULL").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n_ref"))
+
+
 def drift_counts(
     current: DataFrame,
     edges: Mapping[str, Sequence[float]],
+    levels: Mapping[str, Sequence[str]] = {},
     ts: str = "created_at",
     width: str = "1 day",
     delay: str = "1 hour",
 ) -> DataFrame:
-    """Rows per window, column and reference bin: the whole state is windows x columns x bins."""
-    wide = current.withWatermark(ts, delay).select(
-        ts, *[bin_number(c, e).alias(c) for c, e in edges.items()]
-    )
-    long = wide.unpivot([ts], list(edges), "column", "bin").filter("bin IS NOT NULL")
+    """Rows per window, column and reference bin: the whole state is windows x columns x bins.
+
+    ``levels`` has the named values of text columns; a value it lacks adds to one bin, however many there are.
+    """
+    wide = current.withWatermark(ts, delay).select(ts, *profile_bins(edges, levels))
+    long = wide.unpivot([ts], [*edges, *levels], "column", "bin").filter("bin IS NOT NULL")
     counts = long.groupBy(F.window(ts, width).alias("w"), "column", "bin").agg(F.count(F.lit(1)).alias("n_cur"))
     return counts.select(F.col("w.start").alias("window_start"), "column", "bin", "n_cur")
 

@@ -3,12 +3,15 @@
 import pickle
 from collections import defaultdict
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from scorelens.operators import drift as R
 from scorelens.operators import evaluate as E
 from scorelens.operators import models as M
 from scorelens.session import scratch_path
@@ -117,21 +120,22 @@ def limiter_loop(rows, window, burst_window, limit_of):
 
 
 def test_limiter_over_batches_equals_a_loop(spark, requests):
-    stream = in_parts(spark, requests, 3, "created_at")
-    got = S.run_append(L.rate_limiter(stream, limit=6, burst=3), "limiter-test").collect()
+    stream = S.BoundedStream(in_parts(spark, requests, 3, "created_at"))
+    got = S.run_append(L.rate_limiter(stream.rows, limit=6, burst=3), "limiter-test", stream).collect()
     want = limiter_loop(micro(requests).values(), 60, 10, lambda r: (6, 3))
     assert {r.request_id: r.allowed for r in got} == want and 0 < sum(want.values()) < 400
 
 
 def test_adaptive_limiter_over_batches_equals_a_loop(spark, requests):
     levels = ((0.3, "low", 1.5), (0.4, "normal", 1.0), (0.5, "high", 0.5))
-    stream = in_parts(spark, requests, 3, "created_at")
-    got = S.run_append(L.adaptive_limiter(stream, limit=4, burst=3, levels=levels), "adaptive-test").collect()
+    stream = S.BoundedStream(in_parts(spark, requests, 3, "created_at"))
+    got = S.run_append(L.adaptive_limiter(stream.rows, limit=4, burst=3, levels=levels), "adaptive-test", stream).collect()
     rows = micro(requests)
     times = sorted(r.us for r in rows.values())
 
     def limit_of(r):
-        rps = sum(r.us - 30 * 10**6 < t <= r.us for t in times) / 30
+        step = r.us // 10**6 * 10**6  # the rate ends where the request's second begins
+        rps = sum(step - 30 * 10**6 <= t < step for t in times) / 30
         factor = next((f for top, _, f in levels if rps < top), 0.2)
         return int(4 * factor), int(3 * factor)
 
@@ -140,8 +144,8 @@ def test_adaptive_limiter_over_batches_equals_a_loop(spark, requests):
 
 
 def test_breaker_over_batches_equals_a_loop(spark, requests):
-    stream = in_parts(spark, requests.withColumn("service", F.col("client").cast("string")), 3, "created_at")
-    got = S.run_append(L.circuit_breaker(stream), "breaker-test").collect()
+    stream = S.BoundedStream(in_parts(spark, requests.withColumn("service", F.col("client").cast("string")), 3, "created_at"))
+    got = S.run_append(L.circuit_breaker(stream.rows), "breaker-test", stream).collect()
     state, want = defaultdict(lambda: ["CLOSED", 0, 0]), {}
     for r in sorted(micro(requests).values(), key=lambda r: (r.us, r.request_id)):
         s = state[r.client]
@@ -173,3 +177,195 @@ def test_alerts_are_written_once_per_window(spark, sf_dir):
     alerts = S.run_append(W.alert_stream(stream, F.col("processing_time_ms") > 50, F.lit("SLOW")), "alerts-test")
     want = log.filter("processing_time_ms > 50").select(F.date_trunc("hour", "created_at").alias("h")).distinct().count()
     assert alerts.count() == want == alerts.distinct().count()
+
+
+class FakeState:
+    """Value and map state of one key, and its timers, as plain objects."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers = {}, {}, set()
+
+    def getValueState(self, name, schema):
+        return FakeValue(self.values, name)
+
+    def getMapState(self, name, key, value):
+        return FakeMap(self.maps.setdefault(name, {}))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class FakeValue:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def get(self):
+        return self.store.get(self.name)
+
+    def update(self, value):
+        self.store[self.name] = value
+
+    def clear(self):
+        self.store.pop(self.name, None)
+
+
+class FakeMap:
+    def __init__(self, store):
+        self.store = store
+
+    def updateValue(self, key, value):
+        self.store[key] = value
+
+    def getValue(self, key):
+        return self.store[key]
+
+    def removeKey(self, key):
+        del self.store[key]
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def drive(machine, batches, watermarks):
+    """Feed batches of frames and let timers expire behind each batch, as the engine does."""
+    state = FakeState()
+    machine.init(state)
+    out = []
+    for batch, watermark in zip(batches, watermarks):
+        out += list(machine.handleInputRows(("k",), iter(batch), Clock(watermark)))
+        while due := [t for t in state.timers if t <= watermark]:
+            for t in sorted(due):
+                state.timers.discard(t)
+                out += list(machine.handleExpiredTimer(("k",), Clock(watermark), None))
+    return out, state
+
+
+def test_a_hot_key_is_decided_a_slot_at_a_time(monkeypatch):
+    rng = np.random.default_rng(2)
+    us = np.sort(rng.integers(0, 300 * 10**6, 9_000))
+    frame = pd.DataFrame({"us": us, "request_id": np.arange(len(us)), "max_requests": 40, "max_burst": 9})
+    mixed = frame.sample(frac=1, random_state=1)  # rows of a batch come in any order
+    batches = [[mixed[mixed.us < 150 * 10**6][:2_500], mixed[mixed.us < 150 * 10**6][2_500:]], [mixed[mixed.us >= 150 * 10**6]], []]
+    calls = []
+    one_slot = L.Limiter.decide
+    monkeypatch.setattr(L.Limiter, "decide", lambda self, key, c: (calls.append(len(c[0])), one_slot(self, key, c))[1])
+    out, state = drive(L.Limiter(60, 10, 10**6), batches, [120_000, 290_000, 10**9])
+    got = pd.concat(out).set_index("request_id")["allowed"].to_dict()
+    rows = [SimpleNamespace(us=int(t), request_id=i, client=0, endpoint="e") for i, t in enumerate(us)]
+    assert got == limiter_loop(rows, 60, 10, lambda r: (40, 9))
+    assert max(calls) == pd.Series(us // 10**6).value_counts().max() < 100 and sum(calls) == len(us)
+    assert max(len(f) for f in out) < L.PART + 100
+    # Nothing of the key is left once its window has passed.
+    assert state.values == {} and state.maps["waiting"] == {}
+
+
+def test_parts_of_a_slot_are_bounded_and_joined_in_order():
+    n = 3 * L.PART + 7
+    frame = pd.DataFrame({"us": np.arange(n)[::-1], "request_id": np.arange(n), "failed": False})
+    state = FakeState()
+    breaker = L.Breaker(5, 60 * 10**6, 10**6)
+    breaker.init(state)
+    list(breaker.handleInputRows(("k",), iter([frame]), Clock(0)))
+    assert [len(v[0]) for v in state.maps["waiting"].values()] == [L.PART] * 3 + [7]
+    out = pd.concat(breaker.handleExpiredTimer(("k",), Clock(1_000), None))
+    assert out.us.tolist() == list(range(n)) and state.maps["waiting"] == {}
+
+
+def test_late_and_unordered_batches_are_decided_by_event_time(spark, requests):
+    """The files come in no order; a long delay keeps every row."""
+    shuffled = requests.withColumn("order", F.xxhash64("request_id"))
+    source = in_parts(spark, shuffled, 4, "order")
+    stream = S.BoundedStream(source)
+    got = S.run_append(L.rate_limiter(stream.rows, limit=6, burst=3, delay="2 hours"), "unordered", stream).collect()
+    assert {r.request_id: r.allowed for r in got} == limiter_loop(micro(requests).values(), 60, 10, lambda r: (6, 3))
+
+
+def test_adaptive_limiter_is_one_query(spark, requests):
+    """Building it starts nothing; an hour without requests has rate 0."""
+    late = requests.withColumn("created_at", F.expr("created_at + make_interval(0, 0, 0, 0, request_id DIV 200)"))
+    stream = S.BoundedStream(in_parts(spark, late, 2, "created_at"))
+    before = {q.id for q in spark.streams.active}
+    out = L.adaptive_limiter(stream.rows, limit=4, burst=3, levels=((0.3, "low", 1.5),), delay="10 seconds")
+    assert {q.id for q in spark.streams.active} == before
+    got = {r.request_id: r for r in S.run_append(out, "adaptive-gap", stream).collect()}
+    assert len(got) == 400 and got[200].applied_limit == 6 == got[0].applied_limit
+
+
+def test_closing_a_bounded_stream_emits_every_window_once(spark, sf_dir):
+    log = prediction_log(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    open_end = S.run_append(W.tumbling_statistics(in_parts(spark, log, 3, "created_at")), "open-end").count()
+    stream = S.BoundedStream(in_parts(spark, log, 3, "created_at"))
+    out = S.run_append(W.tumbling_statistics(stream.rows), "closed-end", stream)
+    hours = log.groupBy(F.date_trunc("hour", "created_at").alias("h")).count()
+    assert open_end < hours.count() == out.count()
+    assert {(r.time_interval, r.request_count) for r in out.collect()} == {tuple(r) for r in hours.collect()}
+
+
+def test_an_empty_bounded_stream_gives_nothing(spark, requests):
+    path = scratch_path(spark, "none")
+    requests.limit(0).write.parquet(path)
+    stream = S.BoundedStream(S.folder_stream(spark, path, requests.schema))
+    assert S.run_append(L.rate_limiter(stream.rows), "none", stream).collect() == []
+
+
+def test_count_window_over_batches_equals_the_batch_form(spark, requests):
+    log = requests.withColumn("v", F.when(F.col("request_id") % 7 > 0, F.col("request_id") * 0.5))
+    source = in_parts(spark, log.withColumn("order", F.xxhash64("request_id")), 4, "order")
+    stream = L.last_rows_stream(source, ["client", "endpoint"], "v", n=60, min_samples=130)
+    last = S.run_updates(stream, "ring", ["client", "endpoint"]).collect()
+    want = R.last_rows(log, ["client", "endpoint"], "created_at", 60, 1, tie=["request_id"]).toPandas()
+    sizes = log.toPandas().groupby("client").size()
+    assert len(last) == sum(min(60, x) >= 130 for x in sizes)  # the gate is on rows kept, as in the batch form
+    stream = L.last_rows_stream(source, ["client", "endpoint"], "v", n=60, min_samples=50)
+    for row in S.run_updates(stream, "ring", ["client", "endpoint"]).collect():
+        mine = want[want.client == int(row.client)]
+        assert set(row.request_ids) == set(mine.request_id) and row.n_rows == 60
+        assert abs(row.mean_value - mine.v.mean()) < 1e-9
+
+
+def test_the_ring_never_grows(spark):
+    state = FakeState()
+    ring = L.LastRows(100, 10, ["k"])
+    ring.init(state)
+    for at in range(0, 5_000, 500):
+        frame = pd.DataFrame({"us": np.arange(at, at + 500) // 3, "request_id": np.arange(at, at + 500), "value": np.nan})
+        out = list(ring.handleInputRows(("a",), iter([frame[:250], frame[250:]]), Clock(0)))
+        assert all(len(x) == 100 for x in state.values["ring"]) and out[0]["n_rows"][0] == 100
+        assert out[0]["mean_value"][0] is None
+    # The third row of the last instant has no fellow; ties inside an instant go to the smaller id.
+    assert state.values["ring"][1][:4] == [4998, 4999, 4995, 4996]
+
+
+def test_daily_drift_of_text_equals_the_batch_form(spark, sf_dir):
+    log = prediction_log(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    log = log.withColumn("endpoint", F.when(F.col("request_id") % 50 > 0, F.col("endpoint")))
+    cut = F.lit(datetime(2024, 1, 21))
+    reference = log.filter(F.col("created_at") < cut)
+    levels = W.frequent_levels(reference, ["endpoint"])
+    stream = S.BoundedStream(in_parts(spark, log, 3, "created_at"))
+    counts = S.run_append(W.drift_counts(stream.rows, {}, levels), "text-drift", stream)
+    psi = {r.window_start.date(): r.psi for r in W.window_psi(counts, W.reference_profile(reference, {}, levels)).collect()}
+    for day in (datetime(2024, 1, 2), datetime(2024, 1, 30)):
+        current = log.filter(F.to_date("created_at") == F.lit(day.date()))
+        assert abs(psi[day.date()] - R.psi_drift(reference, current, categorical=["endpoint"]).first().psi) < 1e-9
+
+
+def test_rare_and_new_levels_share_one_bin(spark):
+    reference = spark.createDataFrame([("a",)] * 5 + [("b",)] * 4 + [("c",), ("d",), (None,)], "v STRING")
+    levels = W.frequent_levels(reference, ["v"], most=2)
+    assert levels == {"v": ["a", "b"]}
+    profile = {r.bin: r.n_ref for r in W.reference_profile(reference, {}, levels).collect()}
+    assert profile == {"value:a": 5, "value:b": 4, W.OTHER: 2}
+    assert W.frequent_levels(reference.limit(0), ["v"]) == {"v": []}
+
+
+def test_the_callers_state_store_setting_is_kept(spark, requests):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    S.run_updates(L.last_rows_stream(in_parts(spark, requests, 1, "created_at"), ["client"], "client"), "conf", ["client"])
+    assert spark.conf.get(key) == before != S.ROCKSDB
