@@ -60,8 +60,9 @@ def risk_level(
 
 
 def hash_bucket(c: str | Column, buckets: int = 1000) -> Column:
-    """Stable bucket for a category that the fit has not seen."""
-    return F.pmod(F.xxhash64(col(c)), F.lit(buckets)).cast("int")
+    """Stable bucket for a category that the fit has not seen: the first 32 bits of its MD5, so other tools agree."""
+    head = F.conv(F.substring(F.md5(col(c).cast("string")), 1, 8), 16, 10).cast("long")
+    return (head % F.lit(buckets)).cast("int")
 
 
 def fill_default(c: str | Column, default: float) -> Column:

@@ -108,3 +108,24 @@ def running_totals(
         *[F.col(f"tot_{s}") for s in sums],
     )
     return out
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """Rows with their place, from 0, in ``order`` over the whole table; no task orders more than its range.
+
+    Rows are dealt by ranges of the order and sorted there; the sizes of the earlier ranges, a row per partition, are
+    added. Rows that the order does not tell apart are numbered in any way.
+    """
+    at = F.monotonically_increasing_id()  # the partition, and behind 33 bits the place in it
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(ranged.withColumn("_at", at))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).count().orderBy("_part").collect()  # a row per partition
+    offsets, total = [], 0
+    for row in sizes:
+        offsets.append((row["_part"], total))
+        total += row["count"]
+    before = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part BIGINT, _before BIGINT"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.withColumn("_part", part).join(before, "_part")
+    return joined.select(*df.columns, (F.col("_before") + inside).alias(name))

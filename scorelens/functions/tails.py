@@ -26,27 +26,59 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2.0)), na_action="ignore")
 
 
-#: Up to here the tail is a finite sum; beyond, the normal form is within 1e-5 of it and takes constant time.
-EXACT_DEGREES = 20_000
+#: From this shape on the uniform expansion is used, whose error there is below 1e-9 and which takes constant time.
+LARGE_SHAPE = 10_000.0
 
 
-def _chi2_tail(x: float, df: int) -> float:
-    if df < 1:
-        return 1.0
-    half = x / 2.0
-    if half <= 0:
-        return 1.0
-    if df > EXACT_DEGREES:  # the cube root of a chi-square over its degrees is close to normal
-        spread = 2.0 / (9.0 * df)
-        return 0.5 * math.erfc(((x / df) ** (1.0 / 3.0) - (1.0 - spread)) / math.sqrt(2.0 * spread))
-    if df % 2 == 0:
-        total, steps, start = math.exp(-half), df // 2 - 1, 0.0
+def _uniform_tail(a: float, x: float) -> float:
+    """Q(a, x) for a large shape: the complementary error function and two terms of Temme's expansion."""
+    mu = x / a - 1.0
+    eta = math.copysign(math.sqrt(2.0 * max(0.0, mu - math.log1p(mu))), mu)
+    if abs(eta) < 1e-2:
+        first, second = -1.0 / 3.0 + eta / 12.0 - 2.0 * eta * eta / 135.0, -1.0 / 540.0
     else:
-        total, steps, start = math.erfc(math.sqrt(half)), (df - 1) // 2, 0.5
-    for i in range(1, steps + 1):
-        power = i if df % 2 == 0 else i - start
-        total += math.exp(power * math.log(half) - half - math.lgamma(power + 1))
-    return min(1.0, total)
+        first = 1.0 / mu - 1.0 / eta
+        second = 1.0 / eta**3 - 1.0 / mu**3 - 1.0 / mu**2 - 1.0 / (12.0 * mu)
+    rest = math.exp(-0.5 * a * eta * eta) / math.sqrt(2.0 * math.pi * a) * (first + second / a)
+    return 0.5 * math.erfc(eta * math.sqrt(a / 2.0)) + rest
+
+
+def upper_gamma(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function Q(a, x).
+
+    A series below the shape, a continued fraction above; both end after some sqrt(a) steps, and shapes from
+    ``LARGE_SHAPE`` on take the uniform expansion, so no degree costs more than about a thousand steps.
+    """
+    if x <= 0:
+        return 1.0
+    if a >= LARGE_SHAPE:
+        return min(1.0, max(0.0, _uniform_tail(a, x)))
+    scale = a * math.log(x) - x - math.lgamma(a)
+    if x < a + 1.0:
+        term = total = 1.0 / a
+        n = a
+        while term > total * 1e-17:
+            n += 1.0
+            term *= x / n
+            total += term
+        return max(0.0, 1.0 - total * math.exp(scale))
+    # Modified Lentz evaluation of the fraction with terms -i (i - a) and x + 2 i + 1 - a.
+    b = x + 1.0 - a
+    c, d = 1e300, 1.0 / b
+    value = d
+    for i in range(1, 100_000):
+        an = -i * (i - a)
+        b += 2.0
+        d = 1.0 / (an * d + b or 1e-300)
+        c = b + an / c or 1e-300
+        value *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return min(1.0, value * math.exp(scale))
+
+
+def _chi2_tail(x: float, df: int) -> float:
+    return 1.0 if df < 1 else upper_gamma(df / 2.0, x / 2.0)
 
 
 @F.pandas_udf(T.DoubleType())

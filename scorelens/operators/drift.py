@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelens.functions.binned import sketched_borders, with_bins
 from scorelens.functions.quantiles import grouped_quantiles
 from scorelens.functions.running import ROWS_PER_SLICE, join_keys, running_totals, value_bounds, with_slice
 from scorelens.functions.tails import chi2_tail, kolmogorov_tail, normal_two_sided
@@ -19,6 +20,8 @@ from scorelens.operators.quality import per_column, unpivot_numeric
 
 # Limits of the monitoring configuration.
 KS_LIMIT = 0.1
+#: Bins of the approximate distance: it lacks about a thousandth at most where no value is frequent.
+KS_BINS = 1_000
 PSI_LIMIT = 0.2
 DATA_DRIFT_LIMIT = 0.3
 CONCEPT_DRIFT_LIMIT = 0.2
@@ -50,9 +53,18 @@ def text_counts(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def ks_drift(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE
+    reference: DataFrame,
+    current: DataFrame,
+    columns: Sequence[str],
+    rows_per_slice: int = ROWS_PER_SLICE,
+    approximate: int | None = None,
 ) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value per numeric column."""
+    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value per numeric column.
+
+    ``approximate`` is a number of bins: ``binned_ks`` then stands in, which has a column ``error``.
+    """
+    if approximate:
+        return binned_ks(reference, current, columns, approximate)
     sides = two_sides(reference, current, columns)
     long = unpivot_numeric(sides, columns, ["side"])
     bounds = value_bounds(long, "value", rows_per_slice)
@@ -165,6 +177,36 @@ def chi2_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str])
     return chi2_of_counts(text_counts(two_sides(reference, current, columns), columns))
 
 
+def binned_ks(
+    reference: DataFrame,
+    current: DataFrame,
+    columns: Sequence[str],
+    bins: int = KS_BINS,
+    borders: Mapping[str, Sequence[float]] | None = None,
+) -> DataFrame:
+    """KS distance at the ends of bins, for columns with very many distinct values.
+
+    ``statistic`` is no more than the exact distance, and ``error``, the largest share of a side in one bin, bounds what
+    it may lack. At most ``bins`` rows per column leave a task. ``borders`` may be given; else a sketch of both sides.
+    """
+    sides = two_sides(reference, current, columns)
+    borders = borders or sketched_borders(sides, columns, bins)
+    numbers = with_bins(sides, {c: borders[c] for c in columns}).select("side", *[F.col(f"{c}_bin").alias(c) for c in columns])
+    long = numbers.unpivot(["side"], list(columns), "column", "bin").filter("bin IS NOT NULL")
+    counts = _both_counts(long, ["column", "bin"])
+    ranked = running_totals(counts, ["column"], ["bin"], ["n_ref", "n_cur"]).filter("tot_n_ref > 0 AND tot_n_cur > 0")
+    gap = F.abs(F.col("cum_n_ref") / F.col("tot_n_ref") - F.col("cum_n_cur") / F.col("tot_n_cur"))
+    share = F.greatest(F.col("n_ref") / F.col("tot_n_ref"), F.col("n_cur") / F.col("tot_n_cur"))
+    out = ranked.groupBy("column").agg(
+        F.max(gap).alias("statistic"),
+        F.max(share).alias("error"),
+        F.max("tot_n_ref").alias("n_ref"),
+        F.max("tot_n_cur").alias("n_cur"),
+    )
+    tail = kolmogorov_tail(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
+    return out.select("column", "statistic", "error", tail.alias("p_value"), "n_ref", "n_cur")
+
+
 def proportion_drift(reference: DataFrame, current: DataFrame, target: str) -> DataFrame:
     """Two-proportion z of a 0/1 column, pooled."""
     sides = two_sides(reference, current, [target]).filter(F.col(target).isNotNull())
@@ -195,15 +237,16 @@ def column_drift_report(
     ks_limit: float = KS_LIMIT,
     psi_limit: float = PSI_LIMIT,
     confidence: float | None = None,
+    approximate: int | None = None,
 ) -> DataFrame:
-    """Test, statistic, p-value, score and verdict per column.
+    """Test, statistic, p-value, score and verdict per column; numbers over ``approximate`` bins if given.
 
     The score of a number is its KS distance, that of a category its PSI; a column has drifted when the
     score exceeds its limit. With ``confidence`` the verdict is ``p_value < 1 - confidence`` instead.
     """
     parts = []
     if numeric:
-        ks = ks_drift(reference, current, numeric)
+        ks = ks_drift(reference, current, numeric, approximate=approximate)
         parts.append(
             ks.select(
                 "column",
@@ -289,11 +332,16 @@ def target_drift(
     return out.select("*", (F.col("target_drift_score") > limit).alias("target_drift_detected"))
 
 
-def prediction_drift(reference: DataFrame, current: DataFrame, column: str = "prediction") -> DataFrame:
-    """KS distance of the score column; zero where a side lacks it."""
+def prediction_drift(
+    reference: DataFrame, current: DataFrame, column: str = "prediction", approximate: int | None = None
+) -> DataFrame:
+    """KS distance of the score column, over ``approximate`` bins if given; zero where a side lacks it.
+
+    The concept drift score takes this table, so it has the same error.
+    """
     if column not in reference.columns or column not in current.columns:
         return reference.sparkSession.createDataFrame([(0.0,)], "prediction_drift_score DOUBLE")
-    ks = ks_drift(reference, current, [column])
+    ks = ks_drift(reference, current, [column], approximate=approximate)
     return ks.agg(F.coalesce(F.max("statistic"), F.lit(0.0)).alias("prediction_drift_score"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +33,26 @@ class NumericFit:
         return self.std if self.std else 1.0
 
 
+@dataclass(frozen=True)
+class WideLevels:
+    """Levels of a column that has too many for a list: a table (level, code), codes 0..n-1 in sorted order."""
+
+    n: int
+    codes: DataFrame
+
+
 @dataclass(frozen=True)
 class FittedPrep:
-    """Statistics of a fit. Levels are sorted; the first one is the dropped level of an encoding."""
+    """Statistics of a fit. Levels are sorted; the first one is the dropped level of an encoding.
+
+    A column of few levels has a list of them in ``levels`` and an indicator column for each. One of more levels has
+    its codes in a table, ``wide``, and the same indicators as one sparse vector, ``<column>_onehot``.
+    """
 
     numeric: dict[str, NumericFit] = field(default_factory=dict)
     levels: dict[str, list[str]] = field(default_factory=dict)
     modes: dict[str, str] = field(default_factory=dict)
+    wide: dict[str, WideLevels] = field(default_factory=dict)
 
     # -- expressions
 
@@ -63,32 +76,96 @@ class FittedPrep:
         levels = self.levels[c][1:] if drop_first else self.levels[c]
         return {f"{c}_{v}": F.coalesce((value == v).cast("double"), F.lit(0.0)) for v in levels}
 
-    def code(self, c: str) -> Column:
-        """Position of the level; an unseen level falls into a stable hash bucket."""
-        if c in self.wide:
-            return hash_bucket(c)
-        known = F.array_position(F.array(*[F.lit(v) for v in self.levels[c]]), F.col(c).cast("string"))
-        return F.when(F.col(c).isNull() | (known > 0), (known - 1).cast("int")).otherwise(hash_bucket(c))
+    def with_vectors(
+        self,
+        df: DataFrame,
+        columns: Sequence[str],
+        drop_first: bool = True,
+        impute: bool = True,
+        valid: Column | None = None,
+    ) -> DataFrame:
+        """Add ``<column>_onehot`` for wide columns; an unknown level, or a row that is not ``valid``, gives zeros.
+
+        Codes come by a join on the level, broadcast only where their table is small; the vector is Spark's encoder
+        over them, which needs no more than the number of levels.
+        """
+        columns = [c for c in columns if c in self.wide]
+        if not columns:
+            return df
+        have = df.columns
+        sizes = {c: self.wide[c].n - (1 if drop_first else 0) for c in columns}
+        for c in columns:
+            value = self.filled(c) if impute else F.col(c).cast("string")
+            if valid is not None:
+                value = F.when(valid, value)
+            codes = self.wide[c].codes.select(
+                F.col("level").alias(f"_{c}_level"), F.col("code").alias(f"_{c}_code")
+            )
+            keyed = df.withColumn(f"_{c}_value", value)
+            df = keyed.join(codes, F.col(f"_{c}_value") == F.col(f"_{c}_level"), "left")
+            place = F.col(f"_{c}_code") - (1 if drop_first else 0)
+            df = df.withColumn(f"_{c}_index", F.when(place >= 0, place).otherwise(sizes[c]).cast("double"))
+        encoder = _encoder(df.sparkSession, sizes)
+        return encoder.transform(df).select(*have, *[f"{c}_onehot" for c in columns])
 
     # -- tables
 
     @property
-    def wide(self) -> list[str]:
-        """Categorical columns with too many levels for a column each."""
-        return [c for c in self.modes if c not in self.levels]
+    def categorical(self) -> list[str]:
+        return list(dict.fromkeys([*self.modes, *self.levels, *self.wide]))
 
     def feature_names(self, drop_first: bool = True) -> list[str]:
-        names = [*self.numeric, *(f"{c}_bucket" for c in self.wide)]
-        for c, levels in self.levels.items():
-            names += [f"{c}_{v}" for v in (levels[1:] if drop_first else levels)]
+        """Columns of ``transform``; a wide column counts as one, a vector."""
+        names = [*self.numeric]
+        for c in self.categorical:
+            if c in self.wide:
+                names.append(f"{c}_onehot")
+            else:
+                names += [f"{c}_{v}" for v in self._kept(c, drop_first)]
         return names
 
-    def transform(self, df: DataFrame, keep: Sequence[str] = (), drop_first: bool = True) -> DataFrame:
-        """Impute, encode and scale: ``keep`` columns followed by ``feature_names``."""
-        cols = [self.scaled(c).alias(c) for c in self.numeric]
-        cols += [(hash_bucket(c) / 1000).alias(f"{c}_bucket") for c in self.wide]
-        for c in self.levels:
-            cols += [e.alias(n) for n, e in self.indicators(c, drop_first).items()]
+    def _kept(self, c: str, drop_first: bool) -> list[str]:
+        return self.levels.get(c, [])[1:] if drop_first else self.levels.get(c, [])
+
+    def named_positions(self, spark: SparkSession, drop_first: bool = True) -> DataFrame:
+        """(position, feature): the name of every element of ``vectors``, the levels of wide columns too."""
+        at, listed, tables = 0, [], []
+        for c in self.categorical:
+            if c in self.wide:
+                tables.append((c, len(self.numeric) + at))
+                at += self.wide[c].n - (1 if drop_first else 0)
+            else:
+                for v in self._kept(c, drop_first):
+                    listed.append((len(self.numeric) + at, f"{c}_{v}"))
+                    at += 1
+        listed = [*enumerate(self.numeric), *listed]
+        out = spark.createDataFrame(listed, "position INT, feature STRING")
+        first = 1 if drop_first else 0
+        for c, start in tables:
+            codes = self.wide[c].codes.filter(F.col("code") >= first)
+            out = out.unionByName(
+                codes.select(
+                    (F.col("code") + (start - first)).cast("int").alias("position"),
+                    F.concat(F.lit(f"{c}_"), "level").alias("feature"),
+                )
+            )
+        return out
+
+    def transform(
+        self, df: DataFrame, keep: Sequence[str] = (), drop_first: bool = True, valid: Column | None = None
+    ) -> DataFrame:
+        """Impute, encode and scale: ``keep`` columns followed by ``feature_names``. Rows not ``valid`` get zeros."""
+
+        def checked(e: Column) -> Column:
+            return e if valid is None else F.when(valid, e).otherwise(F.lit(0.0))
+
+        df = self.with_vectors(df, list(self.wide), drop_first, valid=valid)
+        cols = [checked(self.scaled(c)).alias(c) for c in self.numeric]
+        for c in self.categorical:
+            if c in self.wide:
+                cols.append(F.col(f"{c}_onehot"))
+            elif c in self.levels:
+                cols += [checked(e).alias(n) for n, e in self.indicators(c, drop_first).items()]
         return df.select(*keep, *cols)
 
     def vectors(self, df: DataFrame, keep: Sequence[str] = (), drop_first: bool = True) -> DataFrame:
@@ -106,13 +183,17 @@ class FittedPrep:
             rows += [("mean", c, i, None, n.mean), ("std", c, i, None, n.std), ("median", c, i, None, n.median)]
         for c, levels in self.levels.items():
             rows += [("level", c, i, v, None) for i, v in enumerate(levels)]
-        rows += [("mode", c, 0, v, None) for c, v in self.modes.items()]
+        rows += [("wide", c, i, None, float(x.n)) for i, (c, x) in enumerate(self.wide.items())]
+        rows += [("mode", c, i, v, None) for i, (c, v) in enumerate(self.modes.items())]
         return spark.createDataFrame(
             rows, "kind STRING, column STRING, position INT, text STRING, value DOUBLE"
         )
 
     def save(self, spark: SparkSession, path: str) -> None:
+        """Statistics under ``path``, the codes of wide columns under ``path.levels``, a folder each."""
         self.table(spark).coalesce(1).write.mode("overwrite").parquet(path)
+        for i, x in enumerate(self.wide.values()):
+            x.codes.write.mode("overwrite").parquet(f"{path}.levels/{i}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "FittedPrep":
@@ -125,10 +206,28 @@ class FittedPrep:
                 levels.setdefault(row["column"], []).append(row["text"])
             elif row["kind"] == "mode":
                 modes[row["column"]] = row["text"]
-            else:
+            elif row["kind"] != "wide":
                 parts.setdefault(row["column"], {})[row["kind"]] = row["value"]
         order = [r["column"] for r in stored if r["kind"] == "mean"]
-        return FittedPrep({c: NumericFit(**parts[c]) for c in order}, levels, modes)
+        tables = {
+            r["column"]: WideLevels(
+                int(r["value"]), spark.read.schema("level STRING, code INT").parquet(f"{path}.levels/{r['position']}")
+            )
+            for r in stored
+            if r["kind"] == "wide"
+        }
+        return FittedPrep({c: NumericFit(**parts[c]) for c in order}, levels, modes, tables)
+
+
+def _encoder(spark: SparkSession, sizes: Mapping[str, int]) -> OneHotEncoderModel:
+    """Spark's encoder for ``_<column>_index``, 0 to size - 1; the index ``size`` gives zeros.
+
+    The encoder takes the number of categories from the largest index of what it is fitted to: one row.
+    """
+    columns = [f"_{c}_index" for c in sizes]
+    largest = spark.createDataFrame([tuple(float(n - 1) for n in sizes.values())], ", ".join(f"`{c}` DOUBLE" for c in columns))
+    encoder = OneHotEncoder(inputCols=columns, outputCols=[f"{c}_onehot" for c in sizes], handleInvalid="keep")
+    return encoder.fit(largest)
 
 
 def fit_numeric(
@@ -162,15 +261,15 @@ def fit_numeric(
 
 def fit_levels(
     df: DataFrame, columns: Sequence[str], max_levels: int = SMALL_ROWS
-) -> tuple[dict[str, list[str]], dict[str, str]]:
-    """Sorted levels and most frequent level per column (the smallest one on a tie).
+) -> tuple[dict[str, list[str]], dict[str, str], dict[str, WideLevels]]:
+    """Sorted levels and most frequent level per column (the smallest one on a tie), and the codes of wide columns.
 
     A mode is one row per column whatever the number of levels. Columns with more than ``max_levels`` levels have no
-    list of them; ``FittedPrep`` encodes these by hash bucket.
+    list of them but a table of codes, written once.
     """
     columns = list(columns)
     if not columns:
-        return {}, {}
+        return {}, {}, {}
     counts = cut_lineage(category_counts(df, columns).filter("value IS NOT NULL"))
     per_column = counts.groupBy("column").agg(
         F.min_by("value", F.struct(-F.col("count"), "value")).alias("mode"), F.count(F.lit(1)).alias("n")
@@ -178,16 +277,24 @@ def fit_levels(
     found = {r["column"]: r for r in per_column.collect()}  # a row per column
     narrow = [c for c in columns if c not in found or found[c]["n"] <= max_levels]
     levels: dict[str, list[str]] = {c: [] for c in narrow}
-    for c in narrow:  # one column's levels at a time
-        rows = counts.filter(F.col("column") == c).select("value").limit(max_levels).toArrow()
-        levels[c] = sorted(rows["value"].to_pylist())
-    return levels, {c: found[c]["mode"] for c in columns if c in found}
+    if narrow:  # one job for the lists of all columns, each within the limit
+        listed = counts.filter(F.col("column").isin(*narrow)).select("column", "value").toArrow()
+        for c, value in zip(listed["column"].to_pylist(), listed["value"].to_pylist()):
+            levels[c].append(value)
+    wide = {
+        c: WideLevels(found[c]["n"], cut_lineage(_codes_of(counts, c))) for c in columns if c not in levels
+    }
+    return {c: sorted(x) for c, x in levels.items()}, {c: found[c]["mode"] for c in columns if c in found}, wide
+
 
+def _codes_of(counts: DataFrame, column: str) -> DataFrame:
+    return level_codes(counts.filter(F.col("column") == column), "value").select("level", F.col("code").cast("int"))
 
-def fit_prep(df: DataFrame, roles: Roles) -> FittedPrep:
+
+def fit_prep(df: DataFrame, roles: Roles, max_levels: int = SMALL_ROWS) -> FittedPrep:
     have = roles.existing(df)
-    levels, modes = fit_levels(df, have.categorical)
-    return FittedPrep(fit_numeric(df, have.numeric), levels, modes)
+    levels, modes, wide = fit_levels(df, have.categorical, max_levels)
+    return FittedPrep(fit_numeric(df, have.numeric), levels, modes, wide)
 
 
 def standardise(df: DataFrame, columns: Sequence[str], fit: FittedPrep | None = None) -> DataFrame:
@@ -200,12 +307,28 @@ def inverse_standardise(df: DataFrame, fit: FittedPrep, columns: Sequence[str])
 
 
 def one_hot(
-    df: DataFrame, columns: Sequence[str], drop_first: bool = True, fit: FittedPrep | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    drop_first: bool = True,
+    fit: FittedPrep | None = None,
+    max_levels: int = SMALL_ROWS,
 ) -> DataFrame:
-    fit = fit or FittedPrep(levels=fit_levels(df, columns)[0])
-    columns = [c for c in columns if c in fit.levels]
+    """An indicator column per level, in place of the column; unknown levels and NULL give zeros.
+
+    A column with more than ``max_levels`` levels gets the same indicators as one sparse vector, ``<column>_onehot``;
+    ``named_positions`` of the fit has the level of each element.
+    """
+    if fit is None:
+        levels, _, wide = fit_levels(df, columns, max_levels)
+        fit = FittedPrep(levels=levels, wide=wide)
     rest = [c for c in df.columns if c not in columns]
-    extra = [e.alias(n) for c in columns for n, e in fit.indicators(c, drop_first, impute=False).items()]
+    df = fit.with_vectors(df, columns, drop_first, impute=False)
+    extra = []
+    for c in columns:
+        if c in fit.wide:
+            extra.append(F.col(f"{c}_onehot"))
+        else:
+            extra += [e.alias(n) for n, e in fit.indicators(c, drop_first, impute=False).items()]
     return df.select(*rest, *extra)
 
 
@@ -304,8 +427,13 @@ def transform_requests(
     ranges: Mapping[str, tuple[float, float]] | None = None,
     allowed: Mapping[str, Sequence] | None = None,
     required: Sequence[str] = (),
+    unfitted: Sequence[str] = (),
 ) -> DataFrame:
-    """Check, order, encode, impute and scale a batch. An invalid row keeps its place with zeros."""
+    """Check, order, encode, impute and scale a batch. An invalid row keeps its place with zeros.
+
+    A text column that the fit does not know, one of ``unfitted``, becomes its bucket of 0 to 999, ``<column>_bucket``;
+    a NULL counts as the text ``missing``.
+    """
     numeric = list(fit.numeric)
     flags = [
         *P.required_flags(required),
@@ -315,5 +443,11 @@ def transform_requests(
     ]
     checked = P.with_errors(requests, flags)
     numbers = {c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in numeric}
-    features = fit.transform(checked.withColumns(numbers), keep=[key, "errors"])
-    return P.zero_fill_invalid(features, fit.feature_names())
+    valid = F.size("errors") == 0
+    buckets = {
+        f"{c}_bucket": F.when(valid, hash_bucket(F.coalesce(F.col(c).cast("string"), F.lit("missing")))).otherwise(0)
+        for c in unfitted
+    }
+    ready = checked.withColumns(numbers | {n: b.cast("double") for n, b in buckets.items()})
+    known = fit.transform(ready, keep=[key, "errors", *buckets], valid=valid)
+    return known.select(key, "errors", *fit.feature_names(), *buckets)

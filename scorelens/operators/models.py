@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.ml import Model
@@ -15,13 +16,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from scorelens.operators.sets import append_new
 from scorelens.operators.split import stratified_split
+from scorelens.session import cut_lineage
 
 # Default parameters of the forest and hidden layers of the network.
 FOREST = {"numTrees": 100, "maxDepth": 10, "seed": 42}
@@ -100,23 +102,28 @@ def with_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataF
 def _search(
     df: DataFrame, key: str, kind: str, grid: Sequence[Mapping[str, Any]], folds: int, parallelism: int, **params: Any
 ) -> DataFrame:
-    """Mean AUC per parameter set, best first."""
-    base = estimator(kind, width(df), **params)
-    maps = [{base.getParam(k): v for k, v in point.items()} for point in grid]
-    cv = CrossValidator(
-        estimator=base,
-        estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=42,
-    )
-    fitted = cv.fit(with_folds(df, key, folds))
-    order = sorted(range(len(grid)), key=lambda i: -fitted.avgMetrics[i])
+    """Mean AUC per parameter set over the folds, best first; draws of one score keep their order.
+
+    A set may hold whatever the estimator's builder takes, the layers of a network too. The fold table is written once;
+    ``parallelism`` fits run at a time, each a distributed job over it.
+    """
+    n = width(df)
+    stored = cut_lineage(with_folds(df, key, folds))
+    evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
+
+    def one(task: tuple[int, int]) -> float:
+        i, fold = task
+        model = estimator(kind, n, **{**params, **grid[i]}).fit(stored.filter(F.col("fold") != fold))
+        return evaluator.evaluate(model.transform(stored.filter(F.col("fold") == fold)))
+
+    tasks = [(i, fold) for i in range(len(grid)) for fold in range(folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(one), tasks))
+    aucs = [found[i * folds : (i + 1) * folds] for i in range(len(grid))]
+    means = [sum(x) / folds for x in aucs]
     rows = [
-        (place, str(dict(grid[i])), float(fitted.avgMetrics[i]), float(fitted.stdMetrics[i]))
-        for place, i in enumerate(order, 1)
+        (place, str(dict(grid[i])), means[i], (sum((a - means[i]) ** 2 for a in aucs[i]) / folds) ** 0.5)
+        for place, i in enumerate(sorted(range(len(grid)), key=lambda i: -means[i]), 1)
     ]
     return df.sparkSession.createDataFrame(rows, "place INT, params STRING, mean_auc DOUBLE, std_auc DOUBLE")
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelens.functions.binned import sketched_borders, with_bins
 from scorelens.functions.columns import col, micros
 from scorelens.functions.running import join_keys, running_totals, value_bounds, with_slice
 from scorelens.session import collect_small
@@ -143,14 +144,31 @@ def load_levels(
     )
 
 
-def empirical_cdf(df: DataFrame, keys: Sequence[str], value: str, rows_per_slice: int | None = None) -> DataFrame:
-    """Share of rows at or below each distinct value, per key."""
+def empirical_cdf(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    rows_per_slice: int | None = None,
+    approximate: int | None = None,
+    borders: Sequence[float] | None = None,
+) -> DataFrame:
+    """Share of rows at or below each distinct value, per key.
+
+    With ``approximate``, a number of bins, or with given ``borders``: only the largest value of each bin, for which the
+    share is exact; between two of them it is wrong by the share of one bin at most.
+    """
     src = df.select(*keys, F.col(value).cast("double").alias("value")).filter("value IS NOT NULL")
-    args = {} if rows_per_slice is None else {"rows_per_slice": rows_per_slice}
-    bounds = value_bounds(src, "value", **args)
-    counts = src.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    sliced = with_slice(counts, "value", bounds) if bounds else counts
-    ranked = running_totals(sliced, keys, ["value"], ["n"], slice_col="_slice" if bounds else None)
+    if approximate or borders is not None:
+        borders = sketched_borders(src, ["value"], approximate)["value"] if borders is None else borders
+        binned = with_bins(src, {"value": borders})
+        counts = binned.groupBy(*keys, "value_bin").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+        ranked = running_totals(counts, keys, ["value"], ["n"])
+    else:
+        args = {} if rows_per_slice is None else {"rows_per_slice": rows_per_slice}
+        bounds = value_bounds(src, "value", **args)
+        counts = src.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+        sliced = with_slice(counts, "value", bounds) if bounds else counts
+        ranked = running_totals(sliced, keys, ["value"], ["n"], slice_col="_slice" if bounds else None)
     return ranked.select(*keys, "value", "n", (F.col("cum_n") / F.col("tot_n")).alias("cdf"))
 
 

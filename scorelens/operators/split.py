@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.functions.running import join_keys
+from scorelens.functions.running import join_keys, numbered
 from scorelens.session import SMALL_ROWS, collect_small, cut_lineage, pin_small
 
 _SLICE_BITS = 16
@@ -51,9 +51,9 @@ def _class_goals(counts: DataFrame, fractions: Sequence[float]) -> DataFrame:
         exact = F.lit(wanted) * F.col("left") / F.lit(float(max(1, total)))
         shared = left.withColumn("q", F.floor(exact)).withColumn("rest", exact - F.col("q"))
         spare = wanted - shared.agg(F.coalesce(F.sum("q"), F.lit(0)).alias("s")).first()["s"]
-        extra = shared.orderBy(F.desc("rest"), F.col("_y").cast("string")).limit(spare)
-        extra = extra.select("_y", F.lit(1).alias("one"))
-        shared = join_keys(shared, extra, ["_y"], "left").withColumn("q", F.col("q") + F.coalesce("one", F.lit(0)))
+        # The classes with the largest remainders get one more; ties go by the class as text.
+        shared = numbered(shared, [F.desc("rest"), F.col("_y").cast("string")])
+        shared = shared.withColumn("q", F.col("q") + (F.col("rank") < spare).cast("long"))
         left = cut_lineage(
             shared.select("_y", (F.col("left") - F.col("q")).alias("left"), (F.col("goal") + F.col("q")).alias("goal"))
         )
@@ -85,7 +85,7 @@ def stratified_split(
         "_rank",
         F.col(key).alias("_id"),
     )
-    per_slice = narrow.groupBy("_y", "_slice").agg(F.count(F.lit(1)).alias("n"))
+    per_slice = cut_lineage(narrow.groupBy("_y", "_slice").agg(F.count(F.lit(1)).alias("n")))
     by_class = per_slice.groupBy("_y").agg(F.sum("n").alias("n"))
     table = collect_small(by_class, few_classes)
     if table is None:

@@ -30,6 +30,7 @@ def load_all() -> None:
         evaluate_queries,
         feature_queries,
         io_queries,
+        job_queries,
         log_queries,
         model_queries,
         quality_queries,

@@ -69,6 +69,25 @@ def m9_ranks(spark, d):
     return tidy(M.area_metrics(scored_labels(spark, d), "label", "s1", rows_per_slice=1000).select("roc_auc"))
 
 
+SCORE_BORDERS = [i / 25 for i in range(1, 25)]
+
+
+@query(
+    "m9_areas_binned",
+    f"""{LONG}, b AS (SELECT version, len(list_filter({SCORE_BORDERS}, lambda x: s >= x)) AS b, sum(label)::DOUBLE AS pos,
+      sum(1 - label)::DOUBLE AS neg FROM v WHERE label IS NOT NULL AND s IS NOT NULL GROUP BY 1, 2),
+    k AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER (PARTITION BY version) AS tp,
+      sum(neg) OVER (PARTITION BY version) AS tn FROM b WINDOW w AS (PARTITION BY version ORDER BY b DESC)),
+    e AS (SELECT *, cp / (cp + cn) AS used, coalesce(cp / nullif(cp + cn - neg, 0), 1) AS most, coalesce((cp - pos) / nullif(cp - pos + cn, 0), 0) AS least
+      FROM k)
+    SELECT version, {r('sum(neg * (cp - pos / 2)) / max(tp * tn)', 'roc_auc')}, {r('sum(pos * neg / 2) / max(tp * tn)', 'roc_auc_error')},
+    {r('sum(pos * used) / max(tp)', 'pr_auc')}, {r('sum(pos * greatest(most - used, used - least)) / max(tp)', 'pr_auc_error')} FROM e GROUP BY version""",
+)
+def m9_binned(spark, d):
+    """Areas over counted bins of scores, with bounds of their errors."""
+    return tidy(M.binned_areas(versions_long(spark, d), "label", "score", ["version"], borders=SCORE_BORDERS))
+
+
 @query(
     "m10_classification_metrics",
     f"""{LONG} SELECT version, {r('accuracy', 'accuracy')}, {r('precision', 'precision')}, {r('recall', 'recall')}, {r('f1', 'f1')},

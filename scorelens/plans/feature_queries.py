@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from scorelens.functions import columns as C
@@ -273,9 +274,12 @@ def f7(spark, d):
     return table(spark, d, "pages").select("page_id", F.substring("html", 1, 100).alias("query_key"))
 
 
-@query("f8_hash_bucket")
+@query(
+    "f8_hash_bucket",
+    "SELECT DISTINCT source, CAST(CAST('0x' || substr(md5(source), 1, 8) AS BIGINT) % 1000 AS INTEGER) AS bucket FROM documents",
+)
 def f8(spark, d):
-    """Stable bucket in 0..999 per category; the hash has no SQL twin."""
+    """Stable bucket in 0..999 per category."""
     docs = table(spark, d, "documents").select("source").distinct()
     return docs.select("source", C.hash_bucket("source").alias("bucket"))
 
@@ -376,6 +380,19 @@ def e3(spark, d):
     return E.one_hot(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
 
 
+@query(
+    "e3_one_hot_wide",
+    "SELECT c_custkey, "
+    + ", ".join(f"CAST(c_mktsegment = '{s}' AS DOUBLE) AS c_mktsegment_{s}" for s in SEGMENTS[1:])
+    + " FROM customer",
+)
+def e3_wide(spark, d):
+    """The sparse form, forced by a limit below the number of levels, opened up into columns."""
+    out = E.one_hot(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], max_levels=3)
+    opened = vector_to_array("c_mktsegment_onehot")
+    return out.select("c_custkey", *[opened[i].alias(f"c_mktsegment_{s}") for i, s in enumerate(SEGMENTS[1:])])
+
+
 @query(
     "e4_label_encode",
     "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS code FROM orders",
@@ -516,14 +533,79 @@ def e7(spark, d):
     return sums.select(F.col("column").alias("feature"), "rows", F.round("total", 2).alias("total"))
 
 
-@query("e12_transform_requests")
-def e12(spark, d):
-    """Fit on valid orders, transform a batch with broken rows; checked in the tests."""
+@query("e7_prepared_wide", f"WITH {APPLICATIONS_SQL} {_feature_sums()}")
+def e7_wide(spark, d):
+    """As above with every text column beyond the limit: sums over the elements of the assembled vectors."""
+    apps = cut_lineage(applications(spark, d).select(*APP_ROLES.features))
+    fit = E.fit_prep(apps, APP_ROLES, max_levels=1)
+    vectors = fit.vectors(apps)
+    n = vectors.count()
+    elements = vectors.select(F.posexplode(vector_to_array("features")).alias("position", "value"))
+    sums = elements.groupBy("position").agg(F.round(F.sum(F.abs("value")), 2).alias("total"))
+    return sums.join(fit.named_positions(spark), "position").select("feature", F.lit(n).alias("rows"), "total")
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _requests_sql() -> str:
+    """Median, mode and scale of the fit, the checks, and zeros for rows that fail one."""
+
+    def scaled(c: str) -> str:
+        fit = f"(SELECT quantile_cont({c}, 0.5) FROM so)", f"(SELECT avg({c}) FROM so)", f"(SELECT stddev_pop({c}) FROM so)"
+        return f"CASE WHEN errors = '' THEN (coalesce({c}, {fit[0]}) - {fit[1]}) / {fit[2]} ELSE 0 END"
+
+    mode = "(SELECT priority FROM so WHERE priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, priority LIMIT 1)"
+    levels = ", ".join(
+        f"CASE WHEN errors = '' AND coalesce(priority, {mode}) = '{p}' THEN 1.0 ELSE 0.0 END::DOUBLE AS \"priority_{p}\""
+        for p in PRIORITIES[1:]
+    )
+    bucket = "CAST('0x' || substr(md5(o_orderstatus), 1, 8) AS BIGINT) % 1000"
+    return f"""{SO}, f AS (SELECT *, concat_ws('; ', CASE WHEN priority IS NULL THEN 'priority is missing' END,
+        CASE WHEN totalprice < 20000 OR totalprice > 400000 THEN 'totalprice out of range [20000, 400000]' END) AS errors FROM so)
+    SELECT o_orderkey, errors, {r(scaled('totalprice'), 'totalprice')}, {r(scaled('cust_mod'), 'cust_mod')}, {levels},
+    CASE WHEN errors = '' THEN {bucket} ELSE 0 END::DOUBLE AS o_orderstatus_bucket FROM f"""
+
+
+def _requests(spark, d, max_levels: int):
     so = sparse_orders(spark, d)
-    fit = E.fit_prep(so, Roles(numeric=("totalprice", "cust_mod"), categorical=("priority",)))
-    return E.transform_requests(
-        so, fit, "o_orderkey", ranges={"totalprice": (20000, 400000)}, required=["priority"]
+    fit = E.fit_prep(so, Roles(numeric=("totalprice", "cust_mod"), categorical=("priority",)), max_levels)
+    out = E.transform_requests(
+        so,
+        fit,
+        "o_orderkey",
+        ranges={"totalprice": (20000, 400000)},
+        required=["priority"],
+        unfitted=["o_orderstatus"],
     )
+    return out.withColumn("errors", F.concat_ws("; ", "errors"))
+
+
+@query("e12_transform_requests", _requests_sql())
+def e12(spark, d):
+    """Fit on orders, transform a batch with broken rows and a column that the fit does not know."""
+    return tidy(_requests(spark, d, 10_000))
+
+
+@query("e12_transform_requests_wide", _requests_sql())
+def e12_wide(spark, d):
+    """The same with the text column beyond the limit of levels."""
+    out = _requests(spark, d, 2)
+    opened = vector_to_array("priority_onehot")
+    levels = [opened[i].alias(f"priority_{p}") for i, p in enumerate(PRIORITIES[1:])]
+    return tidy(out.select("o_orderkey", "errors", "totalprice", "cust_mod", *levels, "o_orderstatus_bucket"))
+
+
+@query(
+    "e8_split_many_classes",
+    f"""WITH {_quota_sql('orders', 'o_orderkey', "CAST(o_custkey % 97 AS VARCHAR)", 0.2, 0.25)},
+    x AS (SELECT id, k.y, t, v, row_number() OVER (PARTITION BY k.y ORDER BY rk, id) AS rn FROM k JOIN z ON k.y = z.y)
+    SELECT id AS o_orderkey, y AS class, CASE WHEN rn <= t THEN 'test' WHEN rn <= v THEN 'validation' ELSE 'train' END AS split FROM x""",
+)
+def e8_many(spark, d):
+    """More classes than are shared out on the driver."""
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 97).cast("string").alias("class"))
+    return X.train_val_test(orders, "class", "o_orderkey", 0.2, 0.25, rank=_rank(), rank_bits=32, few_classes=10)
 
 
 @query(

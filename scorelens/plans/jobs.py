@@ -29,6 +29,31 @@ def state_of(
     return pin_small(state), report, decay
 
 
+#: Columns of ``monitor`` and their types, which are the same whether or not anything was measured.
+MONITOR_COLUMNS = {
+    "status": "string",
+    "checked_at": "timestamp",
+    "data_drift_score": "double",
+    "drifted_columns_count": "bigint",
+    "total_columns": "bigint",
+    "data_drift_status": "string",
+    "concept_drift_score": "double",
+    "target_drift_detected": "boolean",
+    "concept_drift_status": "string",
+    "current_samples": "bigint",
+    "reference_samples": "bigint",
+    "coverage_percentage": "double",
+    "tests": "bigint",
+    "failed": "bigint",
+    "failed_tests": "array<string>",
+    "all_passed": "boolean",
+    "alerts": "bigint",
+    "critical": "bigint",
+    "reasons": "array<string>",
+    "should_retrain": "boolean",
+}
+
+
 def monitor(
     reference: DataFrame,
     current: DataFrame,
@@ -49,7 +74,8 @@ def monitor(
         F.coalesce(F.sum(1 - F.col("side")), F.lit(0)).alias("reference_samples"),
     )
     sizes = pin_small(sizes)
-    enough = sizes.first()["current_samples"] >= min_samples
+    if sizes.first()["current_samples"] < min_samples:
+        return _not_measured(sizes, as_of)
     state, report, decay = state_of(reference, current, roles, reference_metrics, score)
     tests = R.test_verdict(R.drift_tests(report, current, roles.numeric, important=important, bounds=bounds))
     alerts = D.drift_alerts(state, decay, as_of).agg(
@@ -58,13 +84,12 @@ def monitor(
     board = D.dashboard(D.one_row(state, sizes), "current_samples", "reference_samples")
     decision = D.retrain_decision(state).select("reasons", "should_retrain")
     out = D.one_row(board, tests, alerts, decision)
-    out = out.select(F.lit("completed").alias("status"), F.lit(as_of).alias("checked_at"), "*")
-    if enough:
-        return out
-    known = {"status": F.lit("insufficient_data"), "checked_at": F.lit(as_of)}
-    known |= {c: F.col(c) for c in sizes.columns}
-    blank = [known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in out.schema]
-    return sizes.select(*blank)
+    return out.select(F.lit("completed").alias("status"), F.lit(as_of).alias("checked_at"), "*")
+
+
+def _not_measured(sizes: DataFrame, as_of: datetime) -> DataFrame:
+    known = {"status": F.lit("insufficient_data"), "checked_at": F.lit(as_of)} | {c: F.col(c) for c in sizes.columns}
+    return sizes.select(*[known.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in MONITOR_COLUMNS.items()])
 
 
 def daily_report(

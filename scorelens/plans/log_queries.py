@@ -459,6 +459,21 @@ def w9(spark, d):
     return tidy(W.empirical_cdf(prediction_log(spark, d), ["endpoint"], "probability"))
 
 
+PROBABILITY_BORDERS = [i / 20 for i in range(1, 20)]
+
+
+@query(
+    "w9_empirical_cdf_binned",
+    f"""{LOG}, c AS (SELECT endpoint, len(list_filter({PROBABILITY_BORDERS}, lambda x: probability >= x)) AS b, max(probability) AS value, count(*) AS n
+      FROM log WHERE probability IS NOT NULL GROUP BY 1, 2)
+    SELECT endpoint, {r('value', 'value')}, n, {r('sum(n) OVER (PARTITION BY endpoint ORDER BY value)::DOUBLE / sum(n) OVER (PARTITION BY endpoint)', 'cdf')}
+    FROM c""",
+)
+def w9_binned(spark, d):
+    """One exact point per bin and endpoint."""
+    return tidy(W.empirical_cdf(prediction_log(spark, d), ["endpoint"], "probability", borders=PROBABILITY_BORDERS))
+
+
 @query(
     "w10_violation_examples",
     f"""SELECT l_returnflag, l_orderkey, l_partkey, l_quantity,

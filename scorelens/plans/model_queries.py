@@ -1,4 +1,4 @@
-"""Model fits, scoring and the monitoring jobs. Fits have no SQL form; the tests check their results."""
+"""Model fits and scoring. Fits have no SQL form; the tests check their results."""
 
 from __future__ import annotations
 
@@ -14,12 +14,10 @@ from scorelens.operators import models as M
 from scorelens.operators.explain import linear_contributions
 from scorelens.operators.features import fit_numeric
 from scorelens.operators.split import stratified_split
-from scorelens.plans import jobs
 from scorelens.plans.catalog import query
 from scorelens.plans.tidy import tidy
 from scorelens.roles import Roles
-from scorelens.sources.readers import DEFAULT_METRICS, metric_rows
-from scorelens.sources.views import AS_OF, CUT, prediction_log, table
+from scorelens.sources.views import CUT, prediction_log, table
 
 
 def vectors(spark, d):
@@ -128,7 +126,14 @@ def m12(spark, d):
 @query("m13_random_search")
 def m13(spark, d):
     space = {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]}
-    return tidy(M.random_search(vectors(spark, d), "vec_id", "logistic_regression", space, draws=5, folds=3))
+    return tidy(M.random_search(vectors(spark, d), "vec_id", "logistic_regression", space))
+
+
+@query("m13_network_search")
+def m13_network(spark, d):
+    """Layers, rounds and step of the network, drawn from lists."""
+    space = {"hidden": [(16,), (32,), (32, 16), (16, 8, 8)], "maxIter": [10, 25, 50], "solver": ["l-bfgs", "gd"], "stepSize": [0.03, 0.1]}
+    return tidy(M.random_search(vectors(spark, d), "vec_id", "neural_network", space))
 
 
 @query("m14_feature_importance")
@@ -178,28 +183,6 @@ def monitored_sides(spark, d):
     return log.filter(F.col("created_at") < cut), log.filter(F.col("created_at") >= cut)
 
 
-@query("d27_daily_report")
-def d27(spark, d):
-    ref, cur = monitored_sides(spark, d)
-    return tidy(jobs.daily_report(ref, cur, MONITORED))
-
-
-@query("d28_monitor")
-def d28(spark, d):
-    ref, cur = monitored_sides(spark, d)
-    out = jobs.monitor(
-        ref,
-        cur,
-        MONITORED,
-        metric_rows(spark, DEFAULT_METRICS),
-        AS_OF,
-        important=["probability"],
-        bounds={"probability": (0.0, 1.0)},
-    )
-    joined = {c: F.array_join(c, "; ") for c in ("failed_tests", "reasons")}
-    return tidy(out.withColumns(joined))
-
-
 @query(
     "d28_monitor_inputs",
     """WITH x AS (SELECT ts, event_type = 'error' AS bad, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS p FROM events WHERE ts >= TIMESTAMP '2024-01-21')

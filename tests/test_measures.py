@@ -3,11 +3,14 @@
 import math
 import random
 from datetime import datetime
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scorelens.functions import tails
+from scorelens.functions.binned import sketched_borders, with_bins
 from scorelens.functions.quantiles import grouped_quantiles
 from scorelens.functions.running import running_totals
 from scorelens.functions.tails import _chi2_tail
@@ -222,15 +225,116 @@ def test_alerts_append(spark):
     assert append_alerts(alerts, path).count() == 2
 
 
-def test_chi_square_tail_of_many_degrees_takes_constant_time(monkeypatch):
-    from scorelens.functions import tails
-
-    for x in (19_500.0, 20_000.0, 20_600.0):
-        exact = tails._chi2_tail(x, 20_000)
-        monkeypatch.setattr(tails, "EXACT_DEGREES", 10)
-        assert abs(tails._chi2_tail(x, 20_000) - exact) < 1e-5
-        monkeypatch.undo()
-    assert 0.4 < tails._chi2_tail(3e12, 3_000_000_000_000) < 0.6
+def poisson_tail(half, shape):
+    """Q(shape, half) for a whole shape: a Poisson sum, in decimals."""
+    with localcontext() as context:
+        context.prec = 60
+        term = total = Decimal(1)
+        for i in range(1, shape):
+            term *= Decimal(half) / i
+            total += term
+        return float(total * Decimal(-half).exp())
+
+
+@pytest.mark.parametrize("df", [2, 4, 10, 100, 1_000, 19_998, 20_000, 20_002, 40_000])
+def test_chi_square_tail_at_even_degrees_is_the_poisson_sum(df):
+    for z in (-6, -2, -0.5, -0.001, 0, 0.001, 0.5, 2, 6):
+        x = max(0.01, df + z * math.sqrt(2 * df))
+        assert _chi2_tail(x, df) == pytest.approx(poisson_tail(x / 2, df // 2), abs=1e-9)
+
+
+def test_chi_square_tail_at_odd_degrees_follows_its_recurrence():
+    """Q(a + 1, x) = Q(a, x) + x^a e^-x / Gamma(a + 1), from Q(1/2, x) = erfc(sqrt(x))."""
+    for x in (0.1, 1.0, 7.5, 40.0, 300.0):
+        value, shape = math.erfc(math.sqrt(x)), 0.5
+        for df in range(1, 600, 2):
+            assert _chi2_tail(2 * x, df) == pytest.approx(value, abs=1e-10)
+            value += math.exp(shape * math.log(x) - x - math.lgamma(shape + 1))
+            shape += 1
+
+
+def test_chi_square_tail_takes_no_longer_for_any_degree():
+    assert 0.49 < _chi2_tail(3e12, 3_000_000_000_000) < 0.51
+    assert _chi2_tail(0.0, 5) == 1.0 == _chi2_tail(3.0, 0) and _chi2_tail(1e6, 5) == 0.0
+    # Both forms agree where one takes over from the other.
+    for z in (-3, -1, 0, 1, 3):
+        x = tails.LARGE_SHAPE + z * math.sqrt(tails.LARGE_SHAPE)
+        assert tails._uniform_tail(tails.LARGE_SHAPE, x) == pytest.approx(tails.upper_gamma(tails.LARGE_SHAPE - 1e-9, x), abs=1e-8)
+
+
+@pytest.fixture(scope="module")
+def skewed_sides(spark):
+    """Continuous values and one that a third of the rows share; nulls, NaN, and a column that is empty on one side."""
+    v = "CASE WHEN id % 3 = 0 THEN 7.0D WHEN id % 101 = 1 THEN NULL WHEN id % 103 = 1 THEN double('NaN') ELSE {} END AS v"
+    base = spark.range(20_000)
+    ref = base.selectExpr("id", v.format("exp(3 * rand(1))"), "cast(null AS DOUBLE) AS gone", "rand(5) AS u")
+    cur = base.selectExpr("id", v.format("exp(3 * rand(2)) + 0.4"), "1.0D AS gone", "rand(6) AS u")
+    return ref, cur
+
+
+@pytest.mark.parametrize("bins", [2, 10, 200, 5_000])
+def test_binned_distance_is_within_its_error(skewed_sides, bins):
+    exact = {r.column: r.statistic for r in R.ks_drift(*skewed_sides, ["v", "u", "gone"]).collect()}
+    rough = {r.column: r for r in R.ks_drift(*skewed_sides, ["v", "u", "gone"], approximate=bins).collect()}
+    assert set(exact) == set(rough) == {"v", "u"}
+    for c, row in rough.items():
+        assert exact[c] - row.error - 1e-12 <= row.statistic <= exact[c] + 1e-12
+    if bins >= 200:  # without frequent values the error is about one bin
+        assert rough["u"].error < 3 / bins + 1e-3
+
+
+def test_approximate_form_reaches_reports_and_scores(skewed_sides):
+    ref, cur = (x.withColumn("prediction", F.col("u")).withColumn("t", (F.col("id") % 2).cast("int")) for x in skewed_sides)
+    exact = R.prediction_drift(ref, cur).first()[0]
+    assert abs(R.prediction_drift(ref, cur, approximate=500).first()[0] - exact) < 0.01
+    report = {r.column: r for r in R.column_drift_report(ref, cur, ["u"], ["t"], approximate=500).collect()}
+    assert report["u"].test_name == "ks" and report["t"].statistic == 0.0
+    concept = R.concept_drift(R.target_drift(ref, cur, "t"), R.prediction_drift(ref, cur, approximate=500)).first()
+    assert abs(concept.concept_drift_score - exact) < 0.01
+
+
+@pytest.mark.parametrize("bins", [2, 20, 1_000])
+def test_binned_areas_are_within_their_errors(spark, bins):
+    df = spark.range(6_000).selectExpr(
+        "id % 2 AS k", "CAST(rand(3) < 0.3 AS INT) AS y", "CASE WHEN id % 5 = 0 THEN 0.5D ELSE rand(4) END AS s"
+    ).withColumn("s", F.when(F.col("y") == 1, F.least(F.lit(1.0), F.col("s") + 0.1)).otherwise(F.col("s")))
+    exact = {r.k: r for r in M.area_metrics(df, "y", "s", ["k"]).collect()}
+    for row in M.area_metrics(df, "y", "s", ["k"], approximate=bins).collect():
+        assert abs(row.roc_auc - exact[row.k].roc_auc) <= row.roc_auc_error + 1e-12
+        assert abs(row.pr_auc - exact[row.k].pr_auc) <= row.pr_auc_error + 1e-12
+    if bins == 1_000:
+        assert row.roc_auc_error < 0.05
+
+
+def test_approximate_distribution_is_part_of_the_exact_one(spark):
+    df = spark.range(5_000).selectExpr("id % 3 AS k", "CASE WHEN id % 4 = 0 THEN 0.25D ELSE rand(9) END AS v")
+    exact = {(r.k, r.value): r.cdf for r in W.empirical_cdf(df, ["k"], "v").collect()}
+    rough = W.empirical_cdf(df, ["k"], "v", approximate=50).collect()
+    assert 100 < len(rough) <= 150 and all(exact[r.k, r.value] == r.cdf for r in rough)
+    assert {r.k for r in rough if r.cdf == 1.0} == {0, 1, 2} and sum(r.n for r in rough) == 5_000
+    assert W.empirical_cdf(df.limit(0), ["k"], "v", approximate=50).collect() == []
+
+
+def test_bins_of_odd_columns(spark):
+    df = spark.createDataFrame([(None, 1), (float("nan"), 2), (3.0, 3), (3.0, 4)], "v DOUBLE, i INT")
+    assert sketched_borders(df, ["v", "i"], 4) == {"v": [3.0], "i": [1.0, 2.0, 3.0]}
+    got = with_bins(df, {"v": [3.0], "i": []}).collect()
+    assert [(r.v_bin, r.i_bin) for r in got] == [(None, 0), (None, 0), (1, 0), (1, 0)]
+    assert sketched_borders(df.limit(0), ["v"], 4) == {"v": []}
+
+
+def test_monitor_columns_are_the_same_with_too_few_rows(spark):
+    df = spark.range(300).selectExpr(
+        "id % 7 * 1.0D AS processing_time_ms", "id % 10 / 10.0D AS probability", "'a' AS endpoint", "'v' AS model_version",
+        "CAST(id % 3 = 0 AS INT) AS class", "id % 10 / 10.0D AS prediction",
+    )
+    full = jobs.monitor(df, df, MONITORED, metric_rows(spark, DEFAULT_METRICS), datetime(2024, 1, 1))
+    few = jobs.monitor(df, df.limit(5), MONITORED, metric_rows(spark, DEFAULT_METRICS), datetime(2024, 1, 1))
+    kinds = {f.name: f.dataType.simpleString() for f in full.schema}
+    assert kinds == {f.name: f.dataType.simpleString() for f in few.schema} == jobs.MONITOR_COLUMNS
+    assert few.first().asDict() | {"status": None} == dict.fromkeys(kinds) | {
+        "checked_at": datetime(2024, 1, 1), "current_samples": 5, "reference_samples": 300
+    }
 
 
 def test_slices_follow_the_count(spark):

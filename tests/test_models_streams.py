@@ -65,6 +65,18 @@ def test_search_orders_by_score(separable):
     assert rows[0].mean_auc >= rows[1].mean_auc
 
 
+def test_network_search_varies_layers_and_is_repeatable(separable):
+    space = {"hidden": [(4,), (8,), (4, 3)], "maxIter": [5, 20]}
+    first, again = (
+        M.random_search(separable, "id", "neural_network", space, draws=5, folds=2, seed=3).collect() for _ in range(2)
+    )
+    assert first == again and len(first) == 5
+    assert len({r.params for r in first}) > 2 and all("hidden" in r.params for r in first)
+    assert [r.mean_auc for r in first] == sorted((r.mean_auc for r in first), reverse=True)
+    boosted = M.random_search(separable, "id", "xgboost", {"maxIter": [2], "stepSize": [0.1, 0.3]}, draws=2, folds=2).collect()
+    assert all(r.mean_auc > 0.9 for r in boosted)
+
+
 def test_user_model(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0), (2, 0.0, 0.0)], "id INT, a DOUBLE, b DOUBLE")
 

@@ -1,5 +1,6 @@
 """Features, splits, checks and readers on small hand-made tables."""
 
+import hashlib
 import uuid
 from datetime import datetime
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelens.functions import columns as C
+from scorelens.functions.running import numbered
 from scorelens.operators import features as E
 from scorelens.operators import lookups as J
 from scorelens.operators import quality as Q
@@ -268,16 +270,74 @@ def test_splits_of_many_classes_follow_the_same_rule(spark):
     assert few.exceptAll(many).count() == 0 and many.count() == 3000
 
 
-def test_columns_with_many_levels_have_modes_and_buckets(spark):
-    rows = [(f"v{i % 40}", "a" if i % 3 else "b", float(i)) for i in range(400)]
-    df = spark.createDataFrame(rows, "wide STRING, narrow STRING, x DOUBLE")
-    levels, modes = E.fit_levels(df, ["wide", "narrow"], max_levels=10)
-    assert set(levels) == {"narrow"} and modes == {"wide": "v0", "narrow": "a"}
-    prep = E.FittedPrep(E.fit_numeric(df, ["x"]), levels, modes)
-    out = prep.transform(df)
-    assert out.columns == prep.feature_names() == ["x", "wide_bucket", "narrow_b"]
-    assert out.select("wide_bucket").distinct().count() > 10
-    assert df.select(prep.code("wide").alias("c")).filter("c NOT BETWEEN 0 AND 999").count() == 0
+@pytest.fixture(scope="module")
+def wide_rows(spark):
+    rows = [(i, f"v{i * 7 % 40}" if i % 9 else None, "a" if i % 3 else "b", float(i)) for i in range(400)]
+    return spark.createDataFrame(rows, "id INT, wide STRING, narrow STRING, x DOUBLE")
+
+
+def named_values(spark, fit, df, drop_first=True):
+    vectors = fit.vectors(df, keep=["id"], drop_first=drop_first)
+    names = {r.position: r.feature for r in fit.named_positions(spark, drop_first).collect()}
+    return {r.id: {names[i]: v for i, v in enumerate(r.features.toArray())} for r in vectors.collect()}
+
+
+@pytest.mark.parametrize("drop_first", [True, False])
+def test_wide_columns_have_the_same_indicators_as_narrow_ones(spark, wide_rows, drop_first):
+    """On both sides of the limit, for levels, nulls and unknown levels."""
+    roles = Roles(("x",), ("wide", "narrow"))
+    listed, coded, mixed = (E.fit_prep(wide_rows, roles, n) for n in (100, 1, 10))
+    assert (set(listed.wide), set(coded.wide), set(mixed.wide)) == (set(), {"wide", "narrow"}, {"wide"})
+    assert coded.modes == listed.modes and coded.feature_names() == ["x", "wide_onehot", "narrow_onehot"]
+    asked = wide_rows.union(spark.createDataFrame([(900, "new", "c", None), (901, None, None, 1.0)], wide_rows.schema))
+    want = named_values(spark, listed, asked, drop_first)
+    assert len(want[0]) == 1 + 40 + 2 - 2 * drop_first
+    assert named_values(spark, coded, asked, drop_first) == want == named_values(spark, mixed, asked, drop_first)
+    assert sum(want[900].values()) == want[900]["x"]
+
+
+def test_sparse_one_hot_leaves_nulls_and_unknown_levels_at_zero(spark, wide_rows):
+    fit = E.FittedPrep(wide=E.fit_levels(wide_rows, ["wide"], 5)[2])
+    df = spark.createDataFrame([(1, "v3"), (2, None), (3, "other"), (4, "v0")], "id INT, wide STRING")
+    out = {r.id: r.wide_onehot for r in E.one_hot(df, ["wide"], fit=fit).collect()}
+    assert {i: v.numNonzeros() for i, v in out.items()} == {1: 1, 2: 0, 3: 0, 4: 0} and out[1].size == 39
+    assert E.one_hot(wide_rows, ["wide"], max_levels=5).columns == ["id", "narrow", "x", "wide_onehot"]
+
+
+def test_wide_fit_round_trip(spark, wide_rows):
+    fit = E.fit_prep(wide_rows, Roles(("x",), ("narrow", "wide")), 10)
+    path = scratch_path(spark, "prep")
+    fit.save(spark, path)
+    again = E.FittedPrep.load(spark, path)
+    assert (again.numeric, again.levels, again.modes) == (fit.numeric, fit.levels, fit.modes)
+    assert named_values(spark, again, wide_rows) == named_values(spark, fit, wide_rows)
+
+
+def test_unfitted_columns_become_buckets_and_invalid_rows_zeros(spark, wide_rows):
+    fit = E.fit_prep(wide_rows, Roles(("x",), ("wide",)), 10)
+    df = spark.createDataFrame(
+        [(1, "v3", "3", "p"), (2, "v3", "oops", "p"), (3, "v4", None, None)], "id INT, wide STRING, x STRING, extra STRING"
+    )
+    out = {r.id: r for r in E.transform_requests(df, fit, "id", unfitted=["extra"]).collect()}
+    bucket = lambda v: int(hashlib.md5(v.encode()).hexdigest()[:8], 16) % 1000
+    assert (out[1].extra_bucket, out[2].extra_bucket, out[3].extra_bucket) == (bucket("p"), 0.0, bucket("missing"))
+    assert out[1].wide_onehot.numNonzeros() == 1 and out[2].wide_onehot.numNonzeros() == 0 == out[2].x
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    df = spark.range(5000).select("id", F.expr("pmod(hash(id), 50)").alias("a"))
+    for n in (df, df.repartition(1), df.limit(0)):
+        got = [(r.a, r.id, r["rank"]) for r in numbered(n, [F.desc("a"), "id"]).collect()]
+        want = sorted(((r.a, r.id) for r in n.collect()), key=lambda x: (-x[0], x[1]))
+        assert sorted(got, key=lambda x: x[2]) == [(*x, i) for i, x in enumerate(want)]
+
+
+def test_many_classes_of_one_size_share_spare_rows_by_name(spark):
+    """All remainders tie, so the order of the names decides; both sides of the limit agree."""
+    df = spark.range(700).selectExpr("id", "concat('c', id % 100) AS y")
+    few = X.stratified_split(df, "y", "id", (("test", 0.25),))
+    many = X.stratified_split(df, "y", "id", (("test", 0.25),), few_classes=7)
+    assert few.exceptAll(many).count() == 0 and many.filter("split = 'test'").count() == 175
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster():
