@@ -23,12 +23,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Callable, Hashable, Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelens.llm.common import per_worker
 from scorelens.session import cut_lineage
 
 #: Turns that share a block; a turn with more rows than this, or rows with more characters than that, is cut as well.
@@ -134,7 +134,6 @@ def agenda(
     return final
 
 
-@lru_cache(maxsize=10_000)
 def block_items(signs: tuple[str, ...]) -> list[dict]:
     """Lightest derivations over a block, for every pair of states that has one.
 
@@ -170,6 +169,16 @@ def block_items(signs: tuple[str, ...]) -> list[dict]:
     return out
 
 
+def _known_items(signs: tuple[str, ...]) -> list[dict]:
+    """``block_items``, kept by worker for some thousands of short blocks, as most conversations look alike."""
+    kept = per_worker("repairs", dict)
+    if signs not in kept:
+        if len(kept) >= 10_000:
+            kept.clear()
+        kept[signs] = block_items(signs)
+    return kept[signs]
+
+
 def _block(key: tuple, part: int, rows: list[tuple]) -> dict:
     """rows: (turn, role, text, must be a duplicate)."""
     signs, faults = [], {"blank": 0, "duplicate": 0, "truncated": 0}
@@ -193,7 +202,7 @@ def _block(key: tuple, part: int, rows: list[tuple]) -> dict:
         "illegal": sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])),
         "first": initials[0],
         "last": initials[-1],
-        "items": block_items(tuple(signs)),
+        "items": _known_items(tuple(signs)),
         "roles": [r for _, r, _, _ in rows],
         "texts": [t for _, _, t, _ in rows],
     }

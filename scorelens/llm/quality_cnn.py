@@ -168,14 +168,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 def scorer(df: DataFrame, model: QualityModel):
     """A column function that scores whole texts; for use in ``select`` and ``filter``."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast((model.params, model.constant))  # workers need not have this package
 
     @F.arrow_udf(DoubleType())
     def run(column: pa.Array) -> pa.Array:
         out = [np.zeros(0)]
         for at in range(0, len(column), 256):
             raws = [(t or "").encode() for t in column.slice(at, 256).to_pylist()]
-            out.append(predict(shared.value, raws))
+            out.append(predict(QualityModel(*shared.value), raws))
         return pa.array(np.concatenate(out), pa.float64())
 
     return run
@@ -185,11 +185,11 @@ def score(
     df: DataFrame, model: QualityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast((model.params, model.constant))  # workers need not have this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches, 256):
-            got = predict(shared.value, [t.encode() for t in b.column(1).to_pylist()])
+            got = predict(QualityModel(*shared.value), [t.encode() for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
 
     return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, score double").select(

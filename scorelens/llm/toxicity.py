@@ -54,6 +54,10 @@ class ToxicityModel:
     bias: float
     constant: float | None = None
 
+    def plain(self) -> tuple[np.ndarray, float, float | None]:
+        """What is broadcast: workers need not have this package."""
+        return self.weights, self.bias, self.constant
+
     def key(self) -> int:
         return zlib.crc32(self.weights.tobytes()) ^ hash((self.bias, self.constant))
 
@@ -205,11 +209,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
 def scorer(df: DataFrame, model: ToxicityModel):
     """A column function that scores whole texts; for use in ``select`` and ``filter``."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model.plain())
 
     @F.arrow_udf(DoubleType())
     def run(column: pa.Array) -> pa.Array:
-        s = per_worker(("toxicity", shared.value.key()), lambda: _Scorer(shared.value))
+        model = ToxicityModel(*shared.value)
+        s = per_worker(("toxicity", model.key()), lambda: _Scorer(model))
         return pa.array([s.score(t or "") for t in column.to_pylist()], pa.float64())
 
     return run
@@ -217,10 +222,11 @@ def scorer(df: DataFrame, model: ToxicityModel):
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, n_sentences): n_sentences are those at 0.5 or above."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model.plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_worker(("toxicity", shared.value.key()), lambda: _Scorer(shared.value))
+        model = ToxicityModel(*shared.value)
+        scorer = per_worker(("toxicity", model.key()), lambda: _Scorer(model))
         for b in rows(batches):
             all_texts = b.column(1).to_pylist()
             got = [scorer.score(t) for t in all_texts]
@@ -242,10 +248,11 @@ def offending_sentences(
     df: DataFrame, model: ToxicityModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, start, end, score, sentence): a row per sentence at or above the threshold, by characters."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model.plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_worker(("toxicity", shared.value.key()), lambda: _Scorer(shared.value))
+        model = ToxicityModel(*shared.value)
+        scorer = per_worker(("toxicity", model.key()), lambda: _Scorer(model))
         for b in rows(batches):
             out = [
                 (doc, start, end, p, text[start:end])

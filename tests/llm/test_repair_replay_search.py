@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -289,3 +292,24 @@ def test_op13_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.QUERIES["op13_norm_buckets"](spark, sf)
     assert compare(got, connect(sf), queries.ORACLES["op13_norm_buckets"]) is None
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """From another folder, where a worker could not import anything of this repository."""
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"""
+import sys
+sys.path.insert(0, {os.getcwd()!r})
+import __spark_entry__
+from scorelens.session import local_session
+spark = local_session(2, 2)
+for name, query in __spark_entry__.queries().items():
+    if name.startswith(("op1_", "op4_", "op11_", "op12_", "op13_")):
+        print(name, query(spark, "/root/testdata/sf0.001").count())
+"""
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert len(done.stdout.split()) == 10 and "op12_merge_replay 200" in done.stdout
