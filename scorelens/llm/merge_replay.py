@@ -216,6 +216,19 @@ class _Words:
                 break
 
 
+def runs_of_blanks(batch: list[str]) -> list[bool]:
+    """Whether a text has a space beside other white space or at an end, so that it is not cut at every space.
+
+    A part between spaces then is empty or starts with white space; distinct parts are looked at once.
+    """
+    parts: set[str] = set()
+    for text in batch:
+        parts.update(text.split(" ")[1:])
+    odd = {p for p in parts if p[:1].isspace() or not p}
+    parts.clear()
+    return [text[:1] == " " or not odd.isdisjoint(text.split(" ")[1:]) for text in batch]
+
+
 class Kept:
     """Ids by string in two generations: strings in use move to the young one, the rest is forgotten with the old."""
 
@@ -262,7 +275,7 @@ class Replayer:
 
     def split(self, chunk: str) -> list[str]:
         """Matches of the pattern. Plain letters, with or without one sign behind, need no search."""
-        if max(chunk) < "\u0250":
+        if chunk.isascii() or max(chunk) < "\u0250":
             word = chunk[1:] if chunk[0] == " " else chunk
             if word.isalpha():
                 return [chunk]
@@ -275,23 +288,24 @@ class Replayer:
         self.spaced.renew()
         self.bare.renew()
         chunks = [" " + c for c in self.spaced.lacking(spaced)]
-        chunks += [c for c in self.bare.lacking(bare)]
+        chunks += self.bare.lacking(bare)
         split = {c: self.split(c) for c in chunks}
         words = set().union(*split.values())
-        self.spaced.lacking({w[1:] for w in words if w[0] == " "})
-        self.bare.lacking({w for w in words if w[0] != " "})
-        new = [w for w in words if self._get(w) is None]
-        for word, ids in zip(new, self.merges.replay([w.encode() for w in new])):
-            self._put(word, ids)
+        after_space = list(self.spaced.lacking({w[1:] for w in words if w[0] == " "}))
+        others = list(self.bare.lacking({w for w in words if w[0] != " "}))
+        ids = self.merges.replay([(" " + w).encode() for w in after_space] + [w.encode() for w in others])
+        self.spaced.young.update(zip(after_space, ids))
+        self.bare.young.update(zip(others, ids[len(after_space) :]))
         for chunk, parts in split.items():
             if len(parts) > 1:
                 self._put(chunk, b"".join(map(self._get, parts)))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Texts are cut before single spaces, where no match of the pattern crosses, once to learn and once to encode."""
+        odd = runs_of_blanks(batch)
         spaced, bare = set(), set()
-        for text in batch:
-            first, *rest = pieces(text)
+        for text, runs in zip(batch, odd):
+            first, *rest = pieces(text) if runs else text.split(" ")
             if first[:1] == " ":
                 spaced.add(first[1:])
             elif first:
@@ -299,8 +313,8 @@ class Replayer:
             spaced.update(rest)
         self._learn(spaced, bare)
         tail, out = self.spaced.young.__getitem__, []
-        for text in batch:
-            first, *rest = pieces(text)
+        for text, runs in zip(batch, odd):
+            first, *rest = pieces(text) if runs else text.split(" ")
             out.append((self._get(first) if first else b"") + b"".join(map(tail, rest)))
         return out
 
@@ -345,8 +359,8 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
             )
 
         for _, held in _slices(batches):
-            for text in held:
-                first, *rest = pieces(text)
+            for text, runs in zip(held, runs_of_blanks(held)):
+                first, *rest = pieces(text) if runs else text.split(" ")
                 bare[first] += 1
                 spaced.update(rest)
             if len(spaced) + len(bare) > KEPT:
