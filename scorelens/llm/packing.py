@@ -41,10 +41,10 @@ def cut_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("words", path, False), lambda: WordEncoder(path, spaces=False))
         end = end_id.to_bytes(4, "little")
-        for b in rows(batches, 256):
+        for b in rows(batches, 512):
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encoder.encode(text) + end
+            for doc, got in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist())):
+                ids = got + end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     row = doc, k, at // 4, len(part) // 4, zlib.crc32(part), part

@@ -136,7 +136,7 @@ def encode_ids(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
         encoder = per_worker(("words", path), lambda: WordEncoder(path))
         end = struct.pack("<I", end_id)
         for b in rows(batches):
-            got = [encoder.encode(t) + end for t in b.column(1).to_pylist()]
+            got = [ids + end for ids in encoder.encode_all(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary())],
                 ["doc_id", "n_tokens", "ids"],

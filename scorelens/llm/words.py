@@ -10,9 +10,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable
+
+import numpy as np
 
 _RUNS = r" \s|^ | $"
 _SINGLE = r"(?<=\S) (?=\S)"
+#: Words that the library is given as one text.
+JOINED = 200
 
 
 def pieces(text: str) -> list[str]:
@@ -39,12 +44,44 @@ class WordEncoder:
         self.old: dict[str, bytes] = {}
         self.limit = limit
         self.tails = {c: self._ids(self.tok.encode(c, add_special_tokens=False)) for c in ".,"}
+        # Letters that the normaliser turns into something else, to which a sign behind may be joined.
+        normal = self.tok.normalizer.normalize_str if self.tok.normalizer else str
+        self.odd = {c for c in map(chr, range(0x250)) if c.isalpha() and not normal(c).isalpha()}
+        # Tokens that begin a word (they have its space) or that end one.
+        vocabulary = self.tok.get_vocab()
+        self.border = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, k in vocabulary.items():
+            self.border[k] = token.startswith("\u0120") if spaces else token.endswith("</w>")
 
     @staticmethod
     def _ids(found) -> bytes:
         return array("I", found.ids).tobytes()
 
-    def _fill(self, parts: list[str]) -> None:
+    def _plain(self, word: str) -> bool:
+        """Whether the word has one border among its tokens, the first of a spaced word, the last of another."""
+        if self.spaces:
+            return "<" not in word and word.split() == [word]
+        return word.isalpha() and max(word) < "\u0250" and self.odd.isdisjoint(word)
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Plain words go to the library many to a text, which is cut at the borders again."""
+        plain = [w for w in words if self._plain(w)]
+        found: dict[str, bytes] = {}
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        joined = ["".join(" " + w for w in g) if self.spaces else " ".join(g) for g in groups]
+        for some, got in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(self.border[ids])
+            bounds = [*cuts.tolist(), len(ids)] if self.spaces else [0, *(cuts + 1).tolist()]
+            if len(cuts) == len(some) and bounds[0] == 0 and bounds[-1] == len(ids):
+                raw = ids.tobytes()
+                found.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]))
+        rest = [w for w in words if w not in found]
+        alone = self.tok.encode_batch_fast([" " + p for p in rest] if self.spaces else rest, add_special_tokens=False)
+        found.update(zip(rest, map(self._ids, alone)))
+        return [found[w] for w in words]
+
+    def _fill(self, parts: Iterable[str]) -> None:
         """Entries for the words that have none. A full stop or comma behind Latin letters is a token of its own."""
         young, old, stems, new = self.young, self.old, {}, set()
         for p in set(parts):
@@ -55,7 +92,7 @@ class WordEncoder:
                 young[p] = known
                 continue
             stem = p[:-1]
-            if p[-1:] in self.tails and stem.isalpha() and max(stem) < "\u0250":
+            if p[-1:] in self.tails and stem.isalpha() and max(stem) < "\u0250" and self.odd.isdisjoint(stem):
                 stems[p] = stem
                 known = old.get(stem)
                 if known is not None:
@@ -65,14 +102,27 @@ class WordEncoder:
             else:
                 new.add(p)
         words = list(new)
-        found = self.tok.encode_batch_fast([" " + p for p in words] if self.spaces else words, add_special_tokens=False)
-        young.update(zip(words, map(self._ids, found)))
+        young.update(zip(words, self._encode_words(words)))
         for p, stem in stems.items():
             young[p] = young[stem] + self.tails[p[-1]]
 
-    def encode(self, text: str) -> bytes:
+    def _renew(self) -> None:
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
+
+    def encode_all(self, batch: list[str]) -> list[bytes]:
+        """The ids of each text; new words of all texts go to the library together."""
+        self._renew()
+        parts: set[str] = set()
+        for text in batch:
+            parts.update(pieces(text)[1:] if self.spaces else text.split(" "))
+        parts.difference_update(self.young)
+        if parts:
+            self._fill(parts)
+        return [self.encode(text) for text in batch]
+
+    def encode(self, text: str) -> bytes:
+        self._renew()
         if not self.spaces:
             parts, head = text.split(" "), b""
         else:

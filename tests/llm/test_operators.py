@@ -333,6 +333,19 @@ def test_words_encode_like_whole_texts(texts):
             assert np.frombuffer(words.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
+def test_words_joined_for_the_library_are_cut_apart_again(path, spaces):
+    """Every letter below U+0250 before a sign, special strings, and words that hide a border."""
+    tok, rnd = Tokenizer.from_file(path), random.Random(4)
+    batch = [f"x{chr(c)}{s} {chr(c)}{s} {chr(c)}y" for c in range(0x250) for s in ".,"]
+    batch += ["".join(rnd.choice("abcdeTH '\n.İßжx1 Ġ<,\x1c\x85|") for _ in range(rnd.randrange(120))) for _ in range(2_000)]
+    batch += [t for t in EDGES if t is not None] + ["a <|endoftext|>b <|endoftext|> c</w> </w>", "  ", " İ."]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+    assert WordEncoder(path, spaces).encode_all(batch) == want
+    few = WordEncoder(path, spaces, limit=20)  # generations change all the time
+    assert [x for at in range(0, len(batch), 7) for x in few.encode_all(batch[at : at + 7])] == want
+
+
 def test_the_store_gives_back_what_was_written(spark, sf_dir, texts):
     got = run("op6_token_store", spark, sf_dir)
     tok, at = Tokenizer.from_file(BYTE), 0
