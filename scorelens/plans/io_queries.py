@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from scorelens.operators import features as E
+from scorelens.operators.lookups import extra_columns
 from scorelens.plans.catalog import query
 from scorelens.plans.tidy import r, t, tidy
 from scorelens.session import scratch_path
@@ -134,3 +135,29 @@ def e11(spark, d):
     orders = table(spark, d, "orders")
     fit = E.FittedPrep(E.fit_numeric(E.run_steps(orders, steps), ["price"]))
     return tidy(E.run_steps(orders, steps, fit, keep=["o_orderkey"]))
+
+
+def _columns_sql(name: str) -> str:
+    kinds = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "INTEGER": "int", "TIMESTAMP": "timestamp_ntz", "DATE": "date"}
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in kinds.items())
+    return f"SELECT column_name, CASE column_type {cases} ELSE column_type END AS data_type FROM (DESCRIBE {name})"
+
+
+@query(
+    "s13_describe_table",
+    f"SELECT CAST(row_number() OVER () AS INTEGER) AS position, column_name, data_type, 1 AS is_nullable FROM ({_columns_sql('orders')})",
+)
+def s13(spark, d):
+    return tidy(S.describe_table(table(spark, d, "orders")))
+
+
+@query(
+    "j3_schema_compatibility",
+    """SELECT column_name, 'current' AS only_in FROM (DESCRIBE labels) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE documents))
+    UNION ALL SELECT column_name, 'reference' FROM (DESCRIBE documents) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE labels))""",
+)
+def j3(spark, d):
+    """Columns that the labels have and the documents lack, and the other way round."""
+    current, reference = extra_columns(table(spark, d, "documents"), table(spark, d, "labels"))
+    rows = [(c, "current") for c in sorted(current)] + [(c, "reference") for c in sorted(reference)]
+    return spark.createDataFrame(rows, "column_name STRING, only_in STRING")
