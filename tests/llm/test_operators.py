@@ -444,6 +444,30 @@ def test_peeling_recovers_differences_of_any_size():
     assert paragraph_sketch.Sketch(x, 24).minus(paragraph_sketch.Sketch(x[:0], 24)).peel() is None
 
 
+def test_many_pairs_are_peeled_at_once_and_from_any_first_size():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (0, 1, 40, 700, 0, 5000)]
+    sets += [np.concatenate([sets[3][:600], sets[2]]), sets[5][:-1], sets[5]]
+    items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    want = [(set(sets[a].tolist()), set(sets[b].tolist())) for a, b in zip(left, right)]
+    for size in (None, 24):  # by the estimate, and doubled from the smallest sketch
+        digest, pair, side = paragraph_sketch.differences(items, owner, left, right, len(sets), size)
+        for k, (a, b) in enumerate(want):
+            of = lambda sign: set(digest[(pair == k) & (side == sign)].tolist())  # noqa: B023, E731
+            assert of(1) == a - b and of(-1) == b - a
+    like = paragraph_sketch.likeness(items, owner, left, right, len(sets))
+    assert np.allclose(like, [len(a & b) / len(a | b) if a | b else 1.0 for a, b in want])
+
+
+def test_digests_of_a_text_do_not_depend_on_its_neighbours():
+    digests, many = paragraph_sketch.Digests(), ["", "a b\nc", " \n", "x" * 5000, "a b\nc", "a b\nc\na b", "é 日本 " * 40, "b\na"]
+    items, owner = digests.of_all(many)
+    for k, t in enumerate(many):
+        assert items[owner == k].tolist() == paragraph_sketch.Digests().of(t).tolist()
+    assert len(set(digests.of("a b\nc\na b").tolist())) == 3 and set(digests.of("a\nb")) == set(digests.of("b\n a"))
+
+
 # -- 9: repeats
 
 
