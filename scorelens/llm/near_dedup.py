@@ -9,9 +9,10 @@
 4. In a bucket every text is compared with one hub. Pairs whose collision-corrected estimate is within five standard
    errors of the threshold are verified on the full sets, and links are merged into components.
 5. A bucket stays open while its other texts lie in different components. Its hubs are done with; the next round
-   takes four times as many, those of the smallest components first. A large bucket in which hardly any estimate is
-   high holds unlike texts that share a passage: it is cut, each text entering one new bucket per further band, in
-   which it meets those that also agree there. Rounds go on until no bucket is open, so nothing is capped.
+   takes four times as many, those of the smallest components first. A bucket that still holds more than 64 texts
+   outside its largest component after one hub is a line or passage that unlike texts share. Its texts are dealt anew by
+   an exact prefix of all their shingles for each pair of sizes, the rarest among these texts first, so that what they
+   share comes last and only texts that meet elsewhere, or share enough, are compared. Rounds go on until no bucket is open, so nothing is capped.
 
 A band misses a pair at similarity 0.75 with probability 0.68, all 32 bands with 5 in a million, and less above it.
 
@@ -23,6 +24,7 @@ empty table; other columns are ignored. Texts of any length are handled whole.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,10 @@ from scorelens.session import cut_lineage
 #: Hash functions, buckets of each, bits kept behind the leading zeros, registers in a band, sizes that use prefixes.
 HASHES, BUCKETS, MANTISSA, BAND, FEW = 4, 32, 10, 4, 128
 REGISTERS = HASHES * BUCKETS
-#: A shingle of more prefixes is common. Open buckets of more texts are cut where one pair in twenty or fewer may be similar.
+#: A shingle of more prefixes is common. Buckets with more texts outside their largest component are dealt anew.
 _COMMON, _LARGE = 100, 64
+#: Ratio of the sizes at which classes of sizes begin.
+_CLASS = 1.06
 #: Ids that may be sent to all executors to pick texts for verification; more are joined by a shuffle.
 _SENT = 500_000
 
@@ -195,26 +199,61 @@ def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= _SENT else ids, "doc_id")
 
 
+def _shingles_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, id, n): a row for each shingle of the texts with some ids (doc_id); n is the size of the text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = per_worker("shingles", Shingles)
+        for b in rows(batches, 256):
+            found = [shingle_keys(shingles.of(t)) for t in b.column(1).to_pylist()]
+            size = np.array([len(x) for x in found], np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat), pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(np.repeat(size, size))],
+                ["key", "id", "n"],
+            )
+
+    return _texts_of(ids, docs).select("doc_id", "text").mapInArrow(run, "key long, id long, n long")
+
+
+def _ordered(marked: DataFrame, order: str) -> DataFrame:
+    """(id, n, all): the shingles of each set in the order of a column; a task holds one text's at a time."""
+    return marked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(order, "key"))).alias("all"))
+
+
+def _dealt(ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(key, id, side) for texts with some ids: prefixes of all shingles, the rarest among these texts first.
+
+    Sets of sizes a and b must share percent / (100 + percent) of a + b, and so one of the shingles that come before the
+    last so many of either, in any order that is the same for all. Sizes fall in classes, and a text enters the buckets
+    of each pair of classes that its size allows with the prefix for that pair, so no pair is lost, and texts whose
+    common part is just too small never meet. Side 1 has the smaller class of a pair, side 2 the larger one, 0 both.
+    A shingle that no other text has counts in the prefix and needs no bucket.
+    """
+    ids = cut_lineage(ids)
+    counts = _shingles_of(ids, docs).groupBy("key").count().filter("count > 1")
+    shared = cut_lineage(counts.select("key", F.floor(F.log2("count")).alias("level")))
+    marked = _shingles_of(ids, docs).join(shared, "key", "left").fillna(0, ["level"])
+    longest = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    found = _ordered(marked, "level").select("id", "n", F.posexplode(F.slice("all", F.lit(1), longest)).alias("place", "k"))
+    found = found.filter("k.level > 0").withColumn("own", F.floor(F.log("n") / math.log(_CLASS)).cast("int"))
+    reach = math.ceil(math.log(100 / percent) / math.log(_CLASS))
+    found = found.withColumn("other", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
+    least = F.greatest(F.floor(F.pow(F.lit(_CLASS), "other")), F.ceil(F.col("n") * percent / 100))
+    found = found.filter(F.col("place") <= F.col("n") - F.ceil((F.col("n") + least) * percent / (100 + percent)))
+    return found.select(
+        F.xxhash64("k.key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
+        "id",
+        F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0).alias("side"),
+    )
+
+
 def _buckets(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(key, id): bands, and prefixes in an order of shingles that puts common ones last."""
     bands = sets.select(F.explode("bands").alias("key"), "id")
     short = sets.select(F.explode("prefix").alias("key"), "id")
     common = short.groupBy("key").count().filter(F.col("count") > _COMMON).select("key")
 
-    def shingles_of(ids: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingles = per_worker("shingles", Shingles)
-            for b in rows(batches, 256):
-                found = [shingle_keys(shingles.of(t)) for t in b.column(1).to_pylist()]
-                size = np.array([len(x) for x in found], np.int64)
-                flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat), pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(np.repeat(size, size))],
-                    ["key", "id", "n"],
-                )
-
-        return _texts_of(ids, docs).select("doc_id", "text").mapInArrow(run, "key long, id long, n long")
-
     def having(some: DataFrame) -> DataFrame:
         return cut_lineage(short.join(some, "key", "left_semi").select(F.col("id").alias("doc_id")).distinct())
 
@@ -222,14 +261,12 @@ def _buckets(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     if concerned.isEmpty():
         return bands.unionAll(short)
     often = cut_lineage(
-        shingles_of(concerned).groupBy("key").count().filter(F.col("count") > _COMMON).select("key")
+        _shingles_of(concerned, docs).groupBy("key").count().filter(F.col("count") > _COMMON).select("key")
     )
     concerned = having(often)
-    marked = shingles_of(concerned).join(often.withColumn("often", F.lit(True)), "key", "left")
-    # A text has at most FEW * 100 / percent shingles here.
-    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(False)).alias("often"), "key")))
+    marked = _shingles_of(concerned, docs).join(often.withColumn("often", F.lit(True)), "key", "left")
     size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    anew = marked.groupBy("id", "n").agg(ordered.alias("all"))
+    anew = _ordered(marked.fillna(False, ["often"]), "often")
     anew = anew.select(F.explode(F.slice("all", F.lit(1), size)).alias("k"), "id").select("k.key", "id")
     same = short.join(concerned.select(F.col("doc_id").alias("id")), "id", "left_anti").select("key", "id")
     return bands.unionAll(same).unionAll(anew)
@@ -258,25 +295,6 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _cut(opened: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each text of a bucket in one new bucket per band that it has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
-            keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for key, i, regs in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                bands, used = band_keys(np.frombuffer(regs, np.uint16))
-                with np.errstate(over="ignore"):
-                    new = _mix(bands[used] + np.uint64(key % 2**64))
-                keys.append(new)
-                ids.append(np.full(len(new), i, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"]
-            )
-
-    return opened.join(sets.select("id", "regs"), "id").select("key", "id", "regs").mapInArrow(run, "key long, id long")
-
-
 def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; see the module's text."""
     docs = texts(df, id_col, text_col)
@@ -293,16 +311,16 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     )
     labels: DataFrame | None = None
 
-    def link(pairs: DataFrame) -> DataFrame:
-        """Verify those pairs that lie in different components, and merge; gives the pairs that the estimate left."""
+    def link(pairs: DataFrame) -> None:
+        """Verify those pairs that lie in different components, and merge."""
         nonlocal labels
         apart = _labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb")
         likely = cut_lineage(_likely(apart.select("a", "b"), sets, percent))
         if likely.isEmpty():
-            return likely
+            return
         links = cut_lineage(verify(likely, docs, percent))
         if links.isEmpty():
-            return likely
+            return
         between = _labelled(_labelled(links, labels, "a", "ca"), labels, "b", "cb")
         roots = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         if labels is not None:
@@ -310,10 +328,12 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
             old = labels.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
             roots = old.unionAll(roots).groupBy("node").agg(F.min("root").alias("root"))
         labels = cut_lineage(roots)
-        return likely
 
-    def round_(buckets: DataFrame, hubs: int) -> DataFrame:
-        """Compare the texts of each bucket with its hubs; the other texts of the buckets that stay open."""
+    def round_(buckets: DataFrame) -> DataFrame:
+        """Compare the texts of each bucket with its hubs; the other texts of the buckets that stay open.
+
+        ``outside`` counts a bucket's texts that are not in its largest component.
+        """
         sized = _labelled(buckets, labels, "id", "c")
         if labels is not None:  # the smallest components first: the fewest texts have to be compared with all others
             weight = labels.groupBy("root").agg(F.count("*").alias("w")).withColumnRenamed("root", "c")
@@ -321,41 +341,38 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
         else:
             sized = sized.withColumn("w", F.lit(1))
         # One hub for each remainder, so that hubs are grouped minima and no bucket is sorted.
-        picked = sized.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(hubs)).alias("part")).agg(
-            F.min_by(F.struct("id", "c"), F.struct("w", "id")).alias("hub"), F.count("*").alias("m")
+        able = F.when(F.col("side") < 2, F.struct("w", "id"))
+        picked = sized.groupBy("key", "many", F.pmod(F.xxhash64("id"), F.col("many")).alias("part")).agg(
+            F.min_by(F.struct("id", "c"), able).alias("hub"), F.count("*").alias("m")
         )
-        chosen = picked.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("m").alias("m")).filter("m > 1")
-        members = cut_lineage(sized.select("key", "id", "c").join(chosen.select("key", "hubs"), "key"))
+        chosen = picked.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("m").alias("m"))
+        chosen = chosen.filter((F.col("m") > 1) & (F.size("hubs") > 0)).select("key", "hubs")
+        members = cut_lineage(sized.select("key", "many", "id", "side", "c").join(chosen, "key"))
         # Only hubs of another component are left to compare with.
         apart = F.filter("hubs", lambda h: h["c"] != F.col("c"))
-        compared = members.select("id", F.explode(F.transform(apart, lambda h: h["id"])).alias("hub"))
-        likely = link(compared.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
-        others = members.filter(~F.exists("hubs", lambda h: h["id"] == F.col("id"))).select("key", "id")
+        compared = members.filter("side <> 1").select("id", F.explode(F.transform(apart, lambda h: h["id"])).alias("hub"))
+        link(compared.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
+        others = members.filter(~F.exists("hubs", lambda h: h["id"] == F.col("id"))).select("key", "many", "id", "side")
         left = _labelled(others, labels, "id", "c")
-        state = left.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"))
-        opened = left.join(state.filter("c1 < c2").select("key", "m"), "key").select("key", "id", "m")
-        # One hub shows what kind of bucket it is.
-        near = members.join(opened.filter(F.col("m") > _LARGE).select("key").distinct(), "key", "left_semi")
-        near = near.select("key", "id", "c", F.get("hubs", F.lit(0)).alias("hub")).filter("id <> hub.id")
-        near = near.select(
-            "key",
-            (F.col("c") == F.col("hub.c")).cast("int").alias("linked"),
-            F.greatest("id", "hub.id").alias("a"),
-            F.least("id", "hub.id").alias("b"),
+        sides = (F.count_if(F.col("side") < 2).alias("able"), F.count_if(F.col("side") != 1).alias("asked"))
+        state = left.groupBy("key", "c").agg(F.count("*").alias("m"), *sides).groupBy("key").agg(
+            F.count("*").alias("parts"),
+            (F.sum("m") - F.max("m")).alias("outside"),
+            F.sum("able").alias("able"),
+            F.sum("asked").alias("asked"),
         )
-        near = near.join(likely.withColumn("near", F.lit(1)), ["a", "b"], "left").groupBy("key")
-        near = near.agg(F.avg(F.coalesce("near", "linked")).alias("near"))
-        return cut_lineage(opened.join(near, "key", "left").fillna(1.0, ["near"]))
-
-    buckets, hubs = cut_lineage(_buckets(sets, docs, percent)), 1
-    while True:
-        opened = round_(buckets, hubs)
-        if opened.isEmpty():
-            break
-        mixed = (F.col("m") > _LARGE) & (F.col("near") <= 0.05)
-        cut = _cut(opened.filter(mixed), sets).distinct()
-        buckets = cut_lineage(opened.filter(~mixed).select("key", "id").unionAll(cut))
-        hubs *= 4
+        state = state.filter("parts > 1 AND able > 0 AND asked > 0").select("key", "outside")
+        return cut_lineage(left.join(state, "key").select("key", "many", "id", "side", "outside"))
+
+    once, more = F.lit(1).alias("many"), (F.col("many") * 4).alias("many")
+    opened = round_(cut_lineage(_buckets(sets, docs, percent)).select("key", once, "id", F.lit(0).alias("side")))
+    mixed = opened.filter(F.col("outside") > _LARGE).select(F.col("id").alias("doc_id")).distinct()
+    buckets = opened.filter(F.col("outside") <= _LARGE).select("key", more, "id", "side")
+    if not mixed.isEmpty():
+        dealt = cut_lineage(_dealt(mixed, docs, percent))
+        buckets = buckets.unionAll(dealt.select("key", once, "id", "side"))
+    while not buckets.isEmpty():
+        buckets = round_(buckets).select("key", more, "id", "side")
 
     rooted = _labelled(sets.select("hi", "lo", "id"), labels, "id", "c").select("hi", "lo", "c")
     found = named.select("doc_id", "n_shingles", "hi", "lo").join(rooted, ["hi", "lo"])

@@ -212,6 +212,27 @@ def test_groups_of_unlike_texts_with_a_common_passage(spark):
     assert got == brute_components(docs)
 
 
+def test_unlike_texts_that_share_a_passage_are_not_compared_in_pairs(spark, monkeypatch):
+    rng, seen, plain = random.Random(8), [], near_dedup._likely
+
+    def counted(pairs, sets, percent):
+        seen.append(pairs.count())
+        return plain(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "_likely", counted)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage, made = words(150), {}
+    for n in (200, 800):
+        seen.clear()
+        texts = [f"{words(60)} {passage} {words(60)}" for _ in range(n)]
+        near = [t.rsplit(" ", 3)[0] for t in texts[:20]]  # each is linked with its own text alone
+        df = spark.createDataFrame(list(enumerate(texts + near)), "doc_id LONG, text STRING")
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+        assert got == {i: i - n if i >= n else i for i in range(n + 20)}
+        made[n] = sum(seen)
+    assert made[800] < 8 * made[200] and made[800] < 800 * 799 // 2 // 10
+
+
 def test_registers_estimate_the_similarity():
     rng = np.random.default_rng(5)
     errors = []
