@@ -73,33 +73,30 @@ def trailing_counts(
 ) -> DataFrame:
     """Earlier requests of the same key inside the last ``seconds``, the row itself not counted.
 
-    The window is partitioned by key and by a time slot as wide as the longest span; a row also visits
-    the next slot as context. A key that holds a third of all rows is thus spread over all slots.
+    The window is partitioned by key and by a time slot as wide as the longest span. A row enters a span once and leaves
+    it a span later, so a count is a running total per key and slot, which starts with what the slot before has left. A
+    key that holds a third of all rows is thus spread over all slots.
     """
     spans = [seconds] if isinstance(seconds, int) else list(seconds)
     names = names or [f"prior_{s}s" for s in spans]
     width = max(spans) * 1_000_000
-    at = df.withColumn("_us", micros(ts))
-    slot = F.floor(F.col("_us") / width)
-    visits = at.select(
-        "*",
-        F.explode(
-            F.array(
-                F.struct(slot.alias("slot"), F.lit(True).alias("own")),
-                F.struct((slot + 1).alias("slot"), F.lit(False).alias("own")),
-            )
-        ).alias("_v"),
-    ).select("*", F.col("_v.slot").alias("_slot"), F.col("_v.own").alias("_own"))
-    w = Window.partitionBy(*keys, "_slot").orderBy("_us")
-    counted = visits.select(
-        *df.columns,
-        "_own",
-        *[
-            (F.count(F.lit(1)).over(w.rangeBetween(-(s * 1_000_000 - 1), 0)) - 1).alias(n)
-            for s, n in zip(spans, names)
-        ],
-    )
-    return counted.filter("_own").drop("_own")
+    at = df.withColumn("_us", micros(ts)).withColumn("_first", F.floor(F.col("_us") / width))
+    # Span 0 is the row itself, the others are its way out of a span.
+    visits = at.select("*", F.posexplode(F.array(*[F.lit(s * 1_000_000) for s in [0, *spans]])).alias("_span", "_later"))
+    changes = visits.withColumn("_us", F.col("_us") + F.col("_later")).withColumn("_slot", F.floor(F.col("_us") / width))
+    inside = Window.partitionBy(*keys, "_slot")
+    until = inside.orderBy("_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.col("_span") == 0
+
+    def inside_span(i: int) -> Column:
+        leaves = F.col("_span") == i
+        # Rows without a time never leave; both of their copies count.
+        change = F.when(own, 1).when(leaves & F.col("_us").isNotNull(), -1)
+        carried = F.when(leaves & (F.col("_us").isNull() | (F.col("_slot") != F.col("_first"))), 1)
+        return F.sum(change).over(until) + F.coalesce(F.sum(carried).over(inside), F.lit(0)) - 1
+
+    counted = changes.select(*df.columns, "_span", *[inside_span(i).alias(n) for i, n in enumerate(names, 1)])
+    return counted.filter(own).drop("_span")
 
 
 # Requests per second at which the load level changes, and the factor of each level.
@@ -121,18 +118,25 @@ def load_levels(
 ) -> DataFrame:
     """Global request rate over the trailing window and the limit it leads to, per request instant.
 
-    Requests of one instant are counted first; the window then runs per time slot, not over all rows.
+    Requests of one instant are counted first. An instant enters the window once and leaves it a window's width later, so
+    the rate is a running total per time slot, which starts with what the slot before it has left; no frame is summed anew.
     """
     width = seconds * 1_000_000
     instants = df.groupBy(micros(ts).alias("us")).agg(F.count(F.lit(1)).alias("n"))
     slot = F.floor(F.col("us") / width)
-    visits = instants.select(
-        "us",
+    visits = instants.select("us", "n", F.posexplode(F.array(slot, slot + 1)).alias("_left", "_slot"))
+    changes = visits.select(
+        (F.col("us") + F.col("_left") * width).alias("us"),
         "n",
-        F.posexplode(F.array(slot, slot + 1)).alias("_copy", "_slot"),
+        "_left",
+        "_slot",
+        # Requests without a time never leave; both of their copies count.
+        F.when(F.col("_left") == 0, F.col("n")).when(F.col("us").isNotNull(), -F.col("n")).alias("_change"),
     )
-    w = Window.partitionBy("_slot").orderBy("us").rangeBetween(-(width - 1), 0)
-    rate = visits.withColumn("rps", F.sum("n").over(w) / seconds).filter("_copy = 0")
+    inside = Window.partitionBy("_slot")
+    until = inside.orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.coalesce(F.sum(F.when(F.col("_left") == 1, F.col("n"))).over(inside), F.lit(0))
+    rate = changes.withColumn("rps", (before + F.sum("_change").over(until)) / seconds).filter("_left = 0")
     level, factor = load_bands(F.col("rps"), levels)
     return rate.select(
         "us",

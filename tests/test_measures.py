@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime
 from decimal import Decimal, localcontext
 
@@ -169,6 +170,25 @@ def test_trailing_counts_match_brute_force(spark):
         assert got[i] == want
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trailing_windows_are_running_totals(spark):
+    """A frame with a moving lower end is summed anew for every row: the square of a window's rows."""
+    rows = [(i, "a", s) for i, s in enumerate((0, 0, 5, 9, 10, 19, 20, 59, 60, 69, 119, 120, 121, 400))]
+    df = spark.createDataFrame(rows, "id INT, k STRING, sec INT").withColumn("ts", F.timestamp_seconds("sec"))
+    counts = W.trailing_counts(df, ["k"], "ts", [60, 10], ["w60", "w10"])
+    rates = W.load_levels(df, "ts", 60, 60)
+    for out in (counts, rates):
+        assert "RangeFrame" in plan_of(out) and not re.search(r"RangeFrame, -\d", plan_of(out))
+    got = {r.us // 1_000_000: (r.requests, round(r.rps * 60)) for r in rates.collect()}
+    secs = [s for *_, s in rows]
+    assert got == {s: (secs.count(s), sum(s - 60 < x <= s for x in secs)) for s in set(secs)}
+    for r in counts.collect():
+        assert (r.w60, r.w10) == tuple(sum(r.sec - w < x <= r.sec for x in secs) - 1 for w in (60, 10))
+
+
 def test_load_bands(spark):
     df = spark.createDataFrame([(9.9,), (10.0,), (99.0,), (100.0,)], "rps DOUBLE")
     level, factor = W.load_bands(F.col("rps"))
