@@ -1,10 +1,13 @@
 """Keyed state machines: sliding-window rate limiter, adaptive limiter, circuit breaker and count window.
 
 The decision on a request depends on the earlier decisions for its key, so rows of a key are decided in time order.
-They wait in map state by time slot, in parts of bounded size, and are decided slot by slot when the watermark has
-passed: rows may come in any order and in any number of batches within the delay, and a call never holds more of a key
-than one slot. State of a decided key is bounded: at most ``limit`` accepted times, or one breaker row. One timer is
-kept per key, at the end of its earliest slot.
+Few rows wait together in one value. More wait in map state by time slot, in parts of bounded size, and are decided slot
+by slot when the watermark has passed: rows may come in any order and in any number of batches within the delay, and a
+call never holds more of a key than one slot, or those few. State of a decided key is bounded: at most ``limit`` accepted
+times, or one breaker row. One timer is kept per key, at the end of its earliest slot.
+
+Each access to state is a message between Python and the JVM, and each key a call. The limiters therefore keep a fixed
+number of groups of keys as their state keys, so that the messages grow with groups and slots and not with requests.
 """
 
 from __future__ import annotations
@@ -60,11 +63,18 @@ def decide(
 PART = 1024
 
 
+#: Keys of the limiters' state; each holds many clients' requests.
+GROUPS = 4096
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key by event time, a slot at a time. ``columns`` has names and types, time and request id first."""
 
     columns: dict[str, str] = {}
 
+    #: Rows that may wait in one value; beyond that they go to map state.
+    few = PART
+
     def __init__(self, slot: int):
         self.slot = slot
 
@@ -72,7 +82,7 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         arrays = ", ".join(f"{name} ARRAY<{kind}>" for name, kind in self.columns.items())
         self.waiting = handle.getMapState("waiting", "slot BIGINT, part INT", arrays)
-        self.open = handle.getValueState("open", "slots ARRAY<BIGINT>, parts ARRAY<INT>, due BIGINT")
+        self.open = handle.getValueState("open", f"slots ARRAY<BIGINT>, parts ARRAY<INT>, due BIGINT, {arrays}")
 
     def start(self, key) -> None:
         """Load what earlier decisions of the key have left."""
@@ -87,71 +97,99 @@ class InOrder(StatefulProcessor):
     def rest(self, key, now: int) -> None:
         """No row of the key waits; ``now`` is the watermark in microseconds."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _arrays(self, lists) -> list[np.ndarray]:
+        return [np.array(x, dtype=object if kind == "STRING" else None) for x, kind in zip(lists, self.columns.values())]
+
+    def _load(self) -> tuple[dict[int, int], int | None, list[np.ndarray] | None]:
+        """Slots in map state with their parts, the time of the timer, and the rows that wait in the value."""
         stored = self.open.get()
-        parts = dict(zip(stored[0], stored[1])) if stored else {}
-        due = stored[2] if stored else None
+        if not stored:
+            return {}, None, None
+        return dict(zip(stored[0], stored[1])), stored[2], self._arrays(stored[3:]) if stored[3] else None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts, due, few = self._load()
+        held = [] if few is None else [few]
         for chunk in rows:
-            slots = chunk["us"].to_numpy() // self.slot
-            order = np.argsort(slots, kind="stable")
-            values = [chunk[name].to_numpy()[order] for name in self.columns]
-            found, starts = np.unique(slots[order], return_index=True)
-            for slot, begin, end in zip(found.tolist(), starts, [*starts[1:], len(slots)]):
-                for at in range(begin, end, PART):
-                    part = parts.get(slot, 0)
-                    self.waiting.updateValue((slot, part), tuple(v[at : min(end, at + PART)].tolist() for v in values))
-                    parts[slot] = part + 1
-        self._keep(parts, due)
+            held.append([chunk[name].to_numpy() for name in self.columns])
+            if parts or sum(len(columns[0]) for columns in held) > self.few:
+                self._file(_joined(held), parts)
+                held = []
+        self._keep(parts, _joined(held) if held else None, due)
         return iter(())
 
-    def _keep(self, parts: dict[int, int], due: int | None) -> None:
+    def _file(self, columns: list[np.ndarray], parts: dict[int, int]) -> None:
+        """Put rows into map state by slot."""
+        slots = columns[0] // self.slot
+        order = np.argsort(slots, kind="stable")
+        values = [c[order] for c in columns]
+        found, starts = np.unique(slots[order], return_index=True)
+        for slot, begin, end in zip(found.tolist(), starts, [*starts[1:], len(slots)]):
+            for at in range(begin, end, PART):
+                part = parts.get(slot, 0)
+                self.waiting.updateValue((slot, part), tuple(v[at : min(end, at + PART)].tolist() for v in values))
+                parts[slot] = part + 1
+
+    def _keep(self, parts: dict[int, int], few: list[np.ndarray] | None, due: int | None) -> None:
         """Store the open slots; a timer ends the earliest, unless ``due`` is one that comes before."""
-        end = -((min(parts) + 1) * self.slot // -1000)
+        first = min(parts) if few is None else int(few[0].min() // self.slot)
+        end = -((first + 1) * self.slot // -1000)
         if due is None or end < due:
             self.handle.registerTimer(end)
             due = end
-        self.open.update((list(parts), list(parts.values()), due))
+        lists = [[] for _ in self.columns] if few is None else [c.tolist() for c in few]
+        self.open.update((list(parts), list(parts.values()), due, *lists))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        stored = self.open.get()
-        parts = dict(zip(stored[0], stored[1])) if stored else {}
+        parts, _, few = self._load()
         closed = sorted(s for s in parts if (s + 1) * self.slot <= now)
-        if closed:
+        ended = few is not None and (few[0] // self.slot + 1) * self.slot <= now
+        decided = bool(closed) or bool(np.any(ended))
+        if decided:
             self.start(key)
             out, held = [], 0
             for slot in closed:
                 loaded = [self.waiting.getValue((slot, k)) for k in range(parts[slot])]
                 for k in range(parts.pop(slot)):
                     self.waiting.removeKey((slot, k))
-                columns = [np.concatenate([np.array(x[i]) for x in loaded]) for i in range(len(self.columns))]
-                order = np.lexsort((columns[1], columns[0]))
-                out.append(self.decide(key, [c[order] for c in columns]))
-                held += len(order)
+                out.append(self._decide_all(key, _joined([self._arrays(x) for x in loaded])))
+                held += len(out[-1]["us"])
                 if held >= PART:
                     yield _frame(out)
                     out, held = [], 0
+            if np.any(ended):
+                out.append(self._decide_all(key, [c[ended] for c in few]))
+                few = None if ended.all() else [c[~ended] for c in few]
             if out:
                 yield _frame(out)
             self.stop(key)
-        if parts:
-            if closed or not stored:
-                self._keep(parts, None)
+        if parts or few is not None:
+            if decided:
+                self._keep(parts, few, None)
         else:
-            if closed:
+            if decided:
                 self.open.clear()
             self.rest(key, now)
 
+    def _decide_all(self, key, columns: list[np.ndarray]) -> dict:
+        order = np.lexsort((columns[1], columns[0]))
+        return self.decide(key, [c[order] for c in columns])
+
     def close(self) -> None:
         pass
 
 
+def _joined(pieces: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return pieces[0] if len(pieces) == 1 else [np.concatenate(columns) for columns in zip(*pieces)]
+
+
 def _frame(slots: list[dict]) -> pd.DataFrame:
     return pd.DataFrame({name: np.concatenate([s[name] for s in slots]) for name in slots[0]})
 
 
 class Limiter(InOrder):
-    """Accepted times per key; they are dropped once the window has passed without a request."""
+    """The limiter of one key. Its accepted times are dropped once the window has passed without a request."""
 
     columns = {"us": "BIGINT", "request_id": "BIGINT", "max_requests": "INT", "max_burst": "INT"}
 
@@ -192,6 +230,66 @@ class Limiter(InOrder):
             self.handle.registerTimer((stored[0][-1] + self.window * SECOND) // 1000 + 1)
 
 
+class Limiters(InOrder):
+    """The limiters of all keys of a group. A key's accepted times are dropped with the window of the last one."""
+
+    columns = {**Limiter.columns, "key": "STRING"}
+
+    few = 16 * PART
+
+    def __init__(self, window: int, burst_window: int, slot: int):
+        super().__init__(slot)
+        self.window, self.burst_window = window * SECOND, burst_window * SECOND
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.accepted = handle.getValueState("accepted", "names ARRAY<STRING>, times ARRAY<ARRAY<BIGINT>>")
+
+    def start(self, key) -> None:
+        stored = self.accepted.get()
+        self.seen = {name: list(times) for name, times in zip(*stored)} if stored else {}
+        self.newest = None
+
+    def decide(self, key, columns: list[np.ndarray]) -> dict:
+        codes, names = pd.factorize(columns[4])
+        order = np.argsort(codes, kind="stable")
+        us, ids, limits, bursts, keys = (c[order] for c in columns)
+        ends = np.cumsum(np.bincount(codes, minlength=len(names))).tolist()
+        decisions = []
+        for name, begin, end in zip(names, [0, *ends], ends):
+            own = slice(begin, end)
+            made, times = decide(us[own], self.seen.get(name, []), self.window, self.burst_window, limits[own], bursts[own])
+            decisions += made
+            if times:
+                self.seen[name] = times
+            else:
+                self.seen.pop(name, None)
+        self.newest = int(us.max())
+        allowed, applied, left, reset = zip(*decisions)
+        return {
+            "key": keys,
+            "request_id": ids,
+            "us": us,
+            "allowed": np.array(allowed),
+            "applied_limit": np.array(applied, dtype="int32"),
+            "remaining": np.array(left, dtype="int32"),
+            "reset_in": np.array(reset, dtype="int32"),
+        }
+
+    def stop(self, key) -> None:
+        """No later request comes before the newest decided one."""
+        live = {name: times for name, times in self.seen.items() if self.newest - times[-1] < self.window}
+        self.accepted.update((list(live), list(live.values())))
+
+    def rest(self, key, now: int) -> None:
+        stored = self.accepted.get()
+        newest = max((times[-1] for times in stored[1]), default=None) if stored else None
+        if newest is None or now - newest >= self.window:
+            self.accepted.clear()
+        else:
+            self.handle.registerTimer((newest + self.window) // 1000 + 1)
+
+
 def _timed(requests: DataFrame, ts: str, delay: str) -> DataFrame:
     """Watermarked rows without the one that only closes a stream; a request without an id has the id -1.
 
@@ -202,8 +300,9 @@ def _timed(requests: DataFrame, ts: str, delay: str) -> DataFrame:
 
 
 def _limited(keyed: DataFrame, window: int, burst_window: int, slot: int) -> DataFrame:
-    return keyed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Limiter(window, burst_window, slot * SECOND),
+    grouped = keyed.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)))
+    return grouped.groupBy("group").transformWithStateInPandas(
+        statefulProcessor=Limiters(window, burst_window, slot * SECOND),
         outputStructType=LIMITER_OUTPUT,
         outputMode="append",
         timeMode="EventTime",

@@ -276,6 +276,32 @@ def test_a_hot_key_is_decided_a_slot_at_a_time(monkeypatch):
     assert state.values == {} and state.maps["waiting"] == {}
 
 
+def test_keys_of_a_group_share_their_messages(monkeypatch):
+    """Each access to state is a message; they must not grow with the requests. Few rows wait in a value, many in the map."""
+    messages = []
+    for kind in (FakeValue, FakeMap):
+        for name in [n for n in vars(kind) if not n.startswith("_")]:
+            plain = getattr(kind, name)
+            monkeypatch.setattr(kind, name, lambda self, *a, plain=plain: (messages.append(1), plain(self, *a))[1])
+    rng = np.random.default_rng(3)
+    us = rng.integers(0, 300 * 10**6, 6_000)
+    keys = rng.integers(0, 50, len(us))
+    frame = pd.DataFrame({"us": us, "request_id": np.arange(len(us)), "max_requests": 4, "max_burst": 2, "key": keys.astype(str)})
+    early = frame[frame.us < 150 * 10**6]
+    batches = [[early[:2_500], early[2_500:]], [frame[frame.us >= 150 * 10**6]], []]
+    rows = [SimpleNamespace(us=int(t), request_id=i, client=k, endpoint="e") for i, (t, k) in enumerate(zip(us, keys))]
+    want = limiter_loop(rows, 60, 10, lambda r: (4, 2))
+    for few in (L.Limiters.few, 2_000):
+        monkeypatch.setattr(L.Limiters, "few", few)
+        messages.clear()
+        out, state = drive(L.Limiters(60, 10, 10**6), batches, [120_000, 290_000, 10**9])
+        got = pd.concat(out).set_index("request_id")
+        assert got["allowed"].to_dict() == want and 0 < sum(want.values()) < len(us)
+        assert (got["key"].astype(int) == keys[got.index]).all()
+        assert len(messages) < (40 if few > len(us) else len(us) // 3)
+        assert state.values == {} and state.maps["waiting"] == {}
+
+
 def test_parts_of_a_slot_are_bounded_and_joined_in_order():
     n = 3 * L.PART + 7
     frame = pd.DataFrame({"us": np.arange(n)[::-1], "request_id": np.arange(n), "failed": False})
