@@ -155,6 +155,18 @@ def test_adaptive_limiter_over_batches_equals_a_loop(spark, requests):
     assert {r.request_id: r.allowed for r in got} == want and 0 < sum(want.values()) < 400
 
 
+def test_adaptive_limiter_keeps_clients_of_a_group_apart(spark, requests, monkeypatch):
+    """The state's keys are groups, and not clients, whose number grows with the requests."""
+    monkeypatch.setattr(L, "GROUPS", 2)
+    many = requests.withColumn("client", F.col("request_id").cast("int") % 9)
+    stream = S.BoundedStream(in_parts(spark, many, 2, "created_at"))
+    levels = ((1000.0, "low", 1.5),)
+    got = S.run_append(L.adaptive_limiter(stream.rows, limit=2, burst=1, levels=levels), "adaptive-groups", stream).collect()
+    want = limiter_loop(micro(many).values(), 30, 10, lambda r: (3, 1))
+    assert {r.request_id: r.allowed for r in got} == want and 0 < sum(want.values()) < 400
+    assert {r.request_id: r.key for r in got} == {i: f"{i % 9}:e" for i in range(400)}
+
+
 def test_breaker_over_batches_equals_a_loop(spark, requests):
     stream = S.BoundedStream(in_parts(spark, requests.withColumn("service", F.col("client").cast("string")), 3, "created_at"))
     got = S.run_append(L.circuit_breaker(stream.rows), "breaker-test", stream).collect()
