@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -334,6 +335,35 @@ def rate_limiter(
     return _limited(keyed, window, burst_window, slot)
 
 
+def _packed(requests: DataFrame, ts: str, step: int) -> DataFrame:
+    """(newest, keys, ids, times): requests with a time, those of a step and of one batch of rows in one row.
+
+    A row's step is that of its ``newest`` time. The closing row has a step of its own.
+    """
+    rows = requests.select(
+        F.concat_ws(":", F.col("client").cast("string"), "endpoint").alias("keys"),
+        F.coalesce(F.col("request_id").cast("long"), F.lit(-1)).alias("ids"),
+        micros(ts).alias("times"),
+    ).filter("times IS NOT NULL")
+    width = step * SECOND
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            us = batch.column(2).to_numpy()
+            order = np.argsort(us // width, kind="stable")
+            us = us[order]
+            starts = np.flatnonzero(np.diff(us // width, prepend=us[0] // width - 1))
+            ends = pa.array(np.append(starts, len(us)), pa.int32())
+            newest = pa.array(np.maximum.reduceat(us, starts))
+            lists = [pa.ListArray.from_arrays(ends, c) for c in batch.take(pa.array(order)).columns]
+            yield pa.RecordBatch.from_arrays([newest, *lists], ["newest", *batch.schema.names])
+
+    packs = rows.mapInArrow(pack, "newest BIGINT, keys ARRAY<STRING>, ids ARRAY<BIGINT>, times ARRAY<BIGINT>")
+    return packs.withColumn("newest", F.timestamp_micros("newest"))
+
+
 def adaptive_limiter(
     requests: DataFrame,
     ts: str = "created_at",
@@ -349,16 +379,14 @@ def adaptive_limiter(
 
     One query. The rate is a hopping count, summed by task before any shuffle, over the ``seconds`` that end where the
     request's step of ``step`` seconds begins, so the factor lags by less than a step. Requests wait for it in a
-    stream join by step, and for their turn in the limiter; a step without any earlier request has rate 0.
+    stream join by step, many to a row of its state, and for their turn in the limiter; a step without any earlier
+    request has rate 0.
     """
     hop, width = f"{step} seconds", f"{seconds} seconds"
-    stepped = _timed(requests, ts, delay).select(
-        F.concat_ws(":", F.col("client").cast("string"), "endpoint").alias("key"),
-        "request_id",
-        micros(ts).alias("us"),
-        F.window(ts, hop).alias("step"),
-    )
-    waiting = stepped.select("key", "request_id", "us", F.window_time("step").alias("step_end"))
+    # As in _timed, the closing row must meet the watermark.
+    packs = _packed(requests, ts, step).withWatermark("newest", delay).filter(F.col("newest") < F.lit(END))
+    stepped = packs.select("keys", "ids", "times", F.window("newest", hop).alias("step"))
+    waiting = stepped.select("keys", "ids", "times", F.window_time("step").alias("step_end"))
     # Counted one step later, so that a window ends with the step whose requests it limits.
     later = requests.select((F.col(ts) + F.expr(f"INTERVAL {hop}")).alias("later")).withWatermark("later", delay)
     rates = (
@@ -368,14 +396,20 @@ def adaptive_limiter(
     )
     joined = waiting.join(rates, F.col("step_end") == F.col("rate_end"), "left")
     _, factor = load_bands(F.coalesce("rps", F.lit(0.0)), levels, CRITICAL_LOAD)
-    keyed = joined.select(
-        "key",
-        "request_id",
-        "us",
+    each = joined.select(
+        F.explode(F.arrays_zip("keys", "ids", "times")).alias("r"),
         F.floor(F.lit(limit) * factor).cast("int").alias("max_requests"),
         F.floor(F.lit(burst) * factor).cast("int").alias("max_burst"),
         "step_end",
     )
+    keyed = each.select(
+        F.col("r.keys").alias("key"),
+        F.col("r.ids").alias("request_id"),
+        F.col("r.times").alias("us"),
+        "max_requests",
+        "max_burst",
+        "step_end",
+    )
     return _limited(keyed, seconds, burst_window, step)
 
 

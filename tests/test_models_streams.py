@@ -167,6 +167,23 @@ def test_adaptive_limiter_keeps_clients_of_a_group_apart(spark, requests, monkey
     assert {r.request_id: r.key for r in got} == {i: f"{i % 9}:e" for i in range(400)}
 
 
+def test_adaptive_limiter_keeps_many_requests_in_one_row_of_the_join(spark, requests):
+    """The state of the join by step grows with steps and batches of rows, not with requests."""
+    same = requests.withColumn("created_at", F.lit(datetime(2024, 1, 1, 0, 0, 5)))
+    stream = S.BoundedStream(in_parts(spark, same, 1, "created_at"))
+    out = L.adaptive_limiter(stream.rows, limit=4, burst=3, levels=((1000.0, "low", 1.5),))
+    base = scratch_path(spark, "adaptive-packed")
+    with S.state_in_rocksdb(spark):
+        writer = out.writeStream.option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"] if "Join" in o["operatorName"]]
+    assert 0 < max(kept) < 50
+    got = S.run_append(out, "adaptive-same", stream).collect()
+    want = limiter_loop(micro(same).values(), 30, 10, lambda r: (6, 4))
+    assert {r.request_id: r.allowed for r in got} == want and sum(want.values()) == 12
+
+
 def test_breaker_over_batches_equals_a_loop(spark, requests):
     stream = S.BoundedStream(in_parts(spark, requests.withColumn("service", F.col("client").cast("string")), 3, "created_at"))
     got = S.run_append(L.circuit_breaker(stream.rows), "breaker-test", stream).collect()
