@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -59,3 +60,18 @@ def rows(batches: Iterator[pa.RecordBatch], size: int = 1024) -> Iterator[pa.Rec
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 1024) -> Iterator[None]:
+    """Jobs started inside hand Python at most so many rows at once; the caller's setting is put back.
+
+    A batch of 10,000 rows of texts, or of pairs of them, stands in the buffers of the executor and of Python at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(most, int(before)) if int(before) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import per_worker, rows, texts
+from scorelens.llm.common import per_worker, rows, small_batches, texts
 from scorelens.llm.components import components
 from scorelens.session import cut_lineage
 
@@ -297,7 +297,11 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; see the module's text."""
-    docs = texts(df, id_col, text_col)
+    with small_batches(df.sparkSession):
+        return _near_duplicates(texts(df, id_col, text_col), percent)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     signed = cut_lineage(signatures(docs, percent=percent))
     named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = cut_lineage(

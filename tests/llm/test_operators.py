@@ -573,3 +573,20 @@ def test_entry_has_the_eleven():
 
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+
+
+# -- memory of the workers
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def test_near_duplicates_hands_python_few_rows_at_once(spark, monkeypatch):
+    """A batch of texts, or of pairs of them, stands in the buffers of both sides at once."""
+    seen, before = [], spark.conf.get(BATCH)
+    for name in ("signatures", "verify"):
+        step = getattr(near_dedup, name)
+        monkeypatch.setattr(near_dedup, name, lambda *a, _step=step, **k: seen.append(spark.conf.get(BATCH)) or _step(*a, **k))
+    rows = [(i, " ".join(f"w{k}" for k in range(40)) + f" v{i}") for i in range(4)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["component_id"] for r in got.collect()} == {0}
+    assert len(seen) >= 2 and {int(x) for x in seen} == {1024} and spark.conf.get(BATCH) == before
