@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import per_worker, rows, texts
+from scorelens.llm.common import per_worker, rows, small_batches, texts
 from scorelens.llm.words import WordEncoder
 from scorelens.session import scratch_path
 
@@ -129,16 +129,21 @@ class Coder:
         return out.reshape(-1)[: max(0, min(n, end * lanes) - first * EVERY * lanes)]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """The ids of some rows (doc_id, text) at a time, with the end id."""
+    encoder = per_worker(("words", path), lambda: WordEncoder(path))
+    end = struct.pack("<I", end_id)
+    for b in rows(batches):
+        yield b.column(0), [ids + end for ids in encoder.encode_all(b.column(1).to_pylist())]
+
+
 def encode_ids(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids with the end id as little-endian unsigned 32-bit bytes, in the order of the rows."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(("words", path), lambda: WordEncoder(path))
-        end = struct.pack("<I", end_id)
-        for b in rows(batches):
-            got = [ids + end for ids in encoder.encode_all(b.column(1).to_pylist())]
+        for doc_ids, got in _encoded(batches, path, end_id):
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary())],
+                [doc_ids, pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary())],
                 ["doc_id", "n_tokens", "ids"],
             )
 
@@ -154,21 +159,22 @@ def write_store(
     plain = scratch_path(spark, "ids")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Narrow the ids, and say where each document starts in its partition.
+        # Encode, narrow the ids, and say where each document starts in its partition, all in one worker a task: of two,
+        # each would come to keep the words.
         at = 0
-        for b in batches:
-            n = b.column(1).to_numpy()
+        for doc_ids, got in _encoded(batches, path, end_id):
+            found = [np.frombuffer(x, "<u4") for x in got]
+            n = np.array([len(x) for x in found], np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
-            short = [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
-            short = [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() for x in short]
+            short = [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() for x in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(short, pa.binary()), pa.array(starts, pa.int64())],
-                ["doc_id", "n_tokens", "ids", "at"],
+                [doc_ids, pa.array(n), pa.array(short, pa.binary()), pa.array(starts)], ["doc_id", "n_tokens", "ids", "at"]
             )
 
-    encoded = encode_ids(ordered, path, end_id).mapInArrow(number, "doc_id long, n_tokens long, ids binary, at long")
-    encoded.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(plain)
+    encoded = ordered.mapInArrow(number, "doc_id long, n_tokens long, ids binary, at long")
+    with small_batches(spark):
+        encoded.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(plain)
     plain_ids = spark.read.schema("doc_id long, n_tokens long, ids binary, at long, part int").parquet(plain)
 
     # One row per partition: the sums reach the driver, the documents don't.

@@ -590,3 +590,20 @@ def test_near_duplicates_hands_python_few_rows_at_once(spark, monkeypatch):
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["component_id"] for r in got.collect()} == {0}
     assert len(seen) >= 2 and {int(x) for x in seen} == {1024} and spark.conf.get(BATCH) == before
+
+
+def test_token_store_encodes_and_numbers_in_one_worker(spark, tmp_path, monkeypatch):
+    """No step in Python feeds another one in the same task: both workers of the task would keep the words."""
+    rows = [(i, f"one text {i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, chained, made = type(df).mapInArrow, [], []
+
+    def step(self, *args, **kwargs):
+        chained.append(any(self is x for x in made))
+        made.append(plain(self, *args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(type(df), "mapInArrow", step)
+    token_store.write_store(df, str(tmp_path / "store"), BYTE)
+    assert chained and not any(chained)
+    assert [r["doc_id"] for r in token_store.read_store(spark, str(tmp_path / "store")).orderBy("start").collect()] == [0, 1, 2, 3, 4]
