@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -43,6 +44,7 @@ _NONE, _FAR = -1, 2**31 - 1
 _MANY = 24
 #: Signs that are a token of their own behind a letter.
 _SIGNS = ".,!?;:"
+_BLANKS = re.compile(r" \s")
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -62,6 +64,9 @@ class Merges:
         self.tokens = read_ranks(path)
         rank = {t: k for k, t in enumerate(self.tokens)}
         self.rank = rank
+        self.flat = np.frombuffer(b"".join(self.tokens), "u1")
+        self.sizes = np.array([len(t) for t in self.tokens], "i8")
+        self.starts = np.cumsum(self.sizes) - self.sizes
         # pairs[left].get(right): the rank of the pair
         none: dict[int, int] = {}
         self.pairs = [none] * len(self.tokens)
@@ -219,14 +224,32 @@ class _Words:
 def runs_of_blanks(batch: list[str]) -> list[bool]:
     """Whether a text has a space beside other white space or at an end, so that it is not cut at every space.
 
-    A part between spaces then is empty or starts with white space; distinct parts are looked at once.
+    White space other than spaces is not printable, so most texts need no search for it.
     """
-    parts: set[str] = set()
-    for text in batch:
-        parts.update(text.split(" ")[1:])
-    odd = {p for p in parts if p[:1].isspace() or not p}
-    parts.clear()
-    return [text[:1] == " " or not odd.isdisjoint(text.split(" ")[1:]) for text in batch]
+    return [
+        text[:1] == " " or text[-1:] == " " or "  " in text or bool(not text.isprintable() and _BLANKS.search(text))
+        for text in batch
+    ]
+
+
+class _Codes(dict):
+    """Numbers of strings, in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> bytes:
+    """The stretches of ``flat`` with some codes, one behind the other; so many at a time that the places stay few."""
+    out = []
+    for at in range(0, len(codes), 1 << 18):
+        some = codes[at : at + (1 << 18)]
+        n = sizes[some]
+        ends = np.cumsum(n)
+        if len(ends):
+            out.append(flat[np.repeat(starts[some] - ends + n, n) + np.arange(ends[-1])].tobytes())
+    return b"".join(out)
 
 
 class Kept:
@@ -287,11 +310,14 @@ class Replayer:
         """Entries for what follows a space and for what does not, all new words replayed at once."""
         self.spaced.renew()
         self.bare.renew()
-        chunks = [" " + c for c in self.spaced.lacking(spaced)]
+        lacking = self.spaced.lacking(spaced)
+        # Letters behind a space are one match, and so need no split.
+        plain = {c for c in lacking if c.isascii() and c.isalpha()}
+        chunks = [" " + c for c in lacking - plain]
         chunks += self.bare.lacking(bare)
         split = {c: self.split(c) for c in chunks}
         words = set().union(*split.values())
-        after_space = list(self.spaced.lacking({w[1:] for w in words if w[0] == " "}))
+        after_space = list(plain | self.spaced.lacking({w[1:] for w in words if w[0] == " "}))
         others = list(self.bare.lacking({w for w in words if w[0] != " "}))
         ids = self.merges.replay([(" " + w).encode() for w in after_space] + [w.encode() for w in others])
         self.spaced.young.update(zip(after_space, ids))
@@ -301,25 +327,31 @@ class Replayer:
                 self._put(chunk, b"".join(map(self._get, parts)))
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        """Texts are cut before single spaces, where no match of the pattern crosses, once to learn and once to encode."""
-        odd = runs_of_blanks(batch)
-        spaced, bare = set(), set()
-        for text, runs in zip(batch, odd):
-            first, *rest = pieces(text) if runs else text.split(" ")
+        """Texts are cut before single spaces, where no match of the pattern crosses. What follows one gets a number, by
+        which its ids are put together when all are learnt.
+        """
+        codes, bare, heads, tails = _Codes(), set(), [], []
+        code = codes.__getitem__
+        for text, runs in zip(batch, runs_of_blanks(batch)):
+            parts = pieces(text) if runs else text.split(" ")
+            first = parts.pop(0)
             if first[:1] == " ":
-                spaced.add(first[1:])
+                code(first[1:])
             elif first:
                 bare.add(first)
-            spaced.update(rest)
-        self._learn(spaced, bare)
-        tail, out = self.spaced.young.__getitem__, []
-        for text, runs in zip(batch, odd):
-            first, *rest = pieces(text) if runs else text.split(" ")
-            out.append((self._get(first) if first else b"") + b"".join(map(tail, rest)))
-        return out
+            heads.append(first)
+            tails.append(np.fromiter(map(code, parts), "i4", len(parts)))
+        self._learn(set(codes), bare)
+        found = list(map(self.spaced.young.__getitem__, codes))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), "i8", len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        return [
+            (self._get(first) if first else b"") + _gather(flat, starts, sizes, tail) for first, tail in zip(heads, tails)
+        ]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.merges.tokens.__getitem__, ids.tolist()))
+        return _gather(self.merges.flat, self.merges.starts, self.merges.sizes, ids)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], chars: int = 16_000_000) -> Iterator[tuple[list, list[str]]]:
@@ -351,8 +383,11 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
             words: Counter[str] = Counter()
             for before, chunks in ((" ", spaced), ("", bare)):
                 for chunk, n in chunks.items():
-                    for word in find(before + chunk):
-                        words[word] += n
+                    if chunk.isascii() and chunk.isalpha():
+                        words[before + chunk] += n
+                    else:
+                        for word in find(before + chunk):
+                            words[word] += n
                 chunks.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"]
@@ -360,9 +395,9 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
         for _, held in _slices(batches):
             for text, runs in zip(held, runs_of_blanks(held)):
-                first, *rest = pieces(text) if runs else text.split(" ")
-                bare[first] += 1
-                spaced.update(rest)
+                parts = pieces(text) if runs else text.split(" ")
+                bare[parts.pop(0)] += 1
+                spaced.update(parts)
             if len(spaced) + len(bare) > KEPT:
                 yield flush()
         yield flush()

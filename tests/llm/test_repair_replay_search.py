@@ -219,6 +219,24 @@ def test_op12_equals_the_library(spark, library):
     assert not got
 
 
+def test_replay_cuts_a_text_once(library):
+    """Splitting is most of the work on known words; texts with runs of white space are cut by a search instead."""
+
+    class Text(str):
+        cuts = 0
+
+        def split(self, *args):
+            Text.cuts += 1
+            return super().split(*args)
+
+    encoder = merge_replay.Replayer(RANKS, public_tokenizers.PATTERN)
+    texts = ["w1 w2, it's n0", "a\tb c", "", "one", "a \n b", " a", "a ", "a  b", "a \u00a0b", "日本 語"]
+    got = encoder.encode([Text(t) for t in texts])
+    assert Text.cuts == 5
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode_ordinary(t) for t in texts]
+    assert [encoder.decode(np.frombuffer(x, "<u4")).decode() for x in got] == texts
+
+
 # -- 13: ranked search
 
 
