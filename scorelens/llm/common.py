@@ -32,15 +32,21 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def per_worker(key: Any, make: Callable[[], Any]) -> Any:
+def per_worker(key: Any, make: Callable[[], Any], alone: bool = False) -> Any:
     """One object per Python worker process, kept between its tasks: a tokenizer or a cache.
 
-    Functions of this package travel by value, so a module's globals are new in every task.
+    Functions of this package travel by value, so a module's globals are new in every task. ``alone`` drops what other
+    operators have left in the worker before the object is made: Spark hands one job's workers to the next, and each
+    would come to hold the caches of all of them.
     """
     store = sys.modules.setdefault("_scorelens_worker", types.ModuleType("_scorelens_worker")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    kept = store.setdefault("kept", {})
+    if key not in kept:
+        if alone and kept:
+            kept.clear()
+            pa.default_memory_pool().release_unused()
+        kept[key] = make()
+    return kept[key]
 
 
 class WordCache:

@@ -34,14 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from scorelens.llm.common import texts
+from scorelens.llm.common import per_worker, rows, texts
 from scorelens.session import cut_lineage
 
 #: Length of a repeat, of a sampled name, and of the names that rank whole windows.
 REPEAT, GRAM, LONG = 100, 32, 64
 _SPAN = REPEAT - GRAM + 1
-#: Bytes that are worked on together, besides a text that is longer; documents whose spans may be sent to all executors.
-_TOGETHER, _SENT = 1 << 21, 500_000
+#: Bytes that are worked on together, besides a text that is longer (a dozen arrays hold 8 bytes for each); rows of
+#: texts that are; documents whose spans may be sent to all executors.
+_TOGETHER, _ROWS, _SENT = 1 << 18, 512, 500_000
 #: Open stretches of one name that a task compares in memory.
 _HELD = 20_000
 _A, _B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -129,7 +130,8 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     """(gram, stretch, doc_id, at): ``at`` is the first window's place, times 256, plus the number of further windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        per_worker("repeats", dict, alone=True)
+        for b in rows(batches, _ROWS):
             for ids, raw, starts in groups(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 d, first, last, gram, stretch = anchors(raw, starts)
                 k = _first_inside(d, gram, stretch)
@@ -190,7 +192,7 @@ def _stretch_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
     """(gram, doc_id, at, bytes) of every open anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rows(batches, _ROWS):
             grams, ids, ats, parts = [], [], [], []
             for i, text, found in zip(*(b.column(k).to_pylist() for k in range(3))):
                 raw = text.encode()
@@ -247,7 +249,7 @@ def _window_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
     """(rank, doc_id, place) of every window of the open anchors; the rank is that of all 100 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rows(batches, _ROWS):
             lists = b.column(2).to_pylist()
             k = 0
             for ids, raw, starts in groups(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -354,13 +356,16 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     @F.arrow_udf(StringType())
     def cut(column: pa.Array, known: pa.Array, spans: pa.Array) -> pa.Array:
-        values, known = column.to_pylist(), known.to_pylist()
-        done = cut_texts([t if t and k else "" for t, k in zip(values, known)], spans.to_pylist())
-        left = [
-            rest.decode(errors="ignore") if t and k and n else t
-            for t, k, (_, rest, n) in zip(values, known, done)
-        ]
-        return pa.array(left, pa.string())
+        parts = []
+        for at in range(0, len(column), _ROWS):
+            values, named = (x.slice(at, _ROWS).to_pylist() for x in (column, known))
+            done = cut_texts([t if t and k else "" for t, k in zip(values, named)], spans.slice(at, _ROWS).to_pylist())
+            left = [
+                rest.decode(errors="ignore") if t and k and n else t
+                for t, k, (_, rest, n) in zip(values, named, done)
+            ]
+            parts.append(pa.array(left, pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     joined = df.join(F.broadcast(lists) if small else lists, on, "left")
     known = F.col(id_col).isNotNull()
@@ -378,7 +383,7 @@ def remove_repeats(
     lists = cut_lineage(repeated_spans(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rows(batches, _ROWS):
             out: tuple[list, ...] = ([], [], [], [], [])
             for raw, left, n in cut_texts(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 kept = left.decode(errors="ignore") if with_text else ""

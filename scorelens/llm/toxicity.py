@@ -214,7 +214,7 @@ def scorer(df: DataFrame, model: ToxicityModel):
     @F.arrow_udf(DoubleType())
     def run(column: pa.Array) -> pa.Array:
         model = ToxicityModel(*shared.value)
-        s = per_worker(("toxicity", model.key()), lambda: _Scorer(model))
+        s = per_worker(("toxicity", model.key()), lambda: _Scorer(model), alone=True)
         return pa.array([s.score(t or "") for t in column.to_pylist()], pa.float64())
 
     return run
@@ -226,7 +226,7 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ToxicityModel(*shared.value)
-        scorer = per_worker(("toxicity", model.key()), lambda: _Scorer(model))
+        scorer = per_worker(("toxicity", model.key()), lambda: _Scorer(model), alone=True)
         for b in rows(batches):
             all_texts = b.column(1).to_pylist()
             got = [scorer.score(t) for t in all_texts]
@@ -252,7 +252,7 @@ def offending_sentences(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ToxicityModel(*shared.value)
-        scorer = per_worker(("toxicity", model.key()), lambda: _Scorer(model))
+        scorer = per_worker(("toxicity", model.key()), lambda: _Scorer(model), alone=True)
         for b in rows(batches):
             out = [
                 (doc, start, end, p, text[start:end])

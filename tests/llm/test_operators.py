@@ -29,6 +29,7 @@ from scorelens.llm import (
     token_store,
     toxicity,
 )
+from scorelens.llm.common import per_worker
 from scorelens.llm.components import components
 from scorelens.llm.labelled import labelled_sample
 from scorelens.llm.words import WordEncoder
@@ -607,3 +608,23 @@ def test_token_store_encodes_and_numbers_in_one_worker(spark, tmp_path, monkeypa
     token_store.write_store(df, str(tmp_path / "store"), BYTE)
     assert chained and not any(chained)
     assert [r["doc_id"] for r in token_store.read_store(spark, str(tmp_path / "store")).orderBy("start").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_a_worker_keeps_the_objects_of_one_operator():
+    """Spark hands workers on, and each would come to hold the caches of every operator of a pipeline."""
+    per_worker("first", dict)
+    kept = per_worker("second", dict, alone=True)
+    assert per_worker("second", dict, alone=True) is kept
+    kept["used"] = True
+    assert per_worker("first", lambda: {"new": True}) == {"new": True} and per_worker("second", dict)["used"]
+
+
+def test_repeats_work_on_few_bytes_at_once(monkeypatch):
+    """Names, minima and places are arrays of eight bytes for each byte that is worked on."""
+    seen, plain = [], repeats.names
+    monkeypatch.setattr(repeats, "names", lambda raw: seen.append(len(raw)) or plain(raw))
+    rnd = random.Random(3)
+    values = ["".join(rnd.choices("abcdefg ", k=1_000)) for _ in range(1_000)] + ["xy" * 400_000]
+    done = list(repeats.cut_texts(values, [None] * len(values)))
+    assert [raw.decode() for raw, _, _ in done] == values and [left for _, left, _ in done[:-1]] == [t.encode() for t in values[:-1]]
+    assert max(seen[:-1]) <= 1 << 18 and seen[-1] == 800_000
