@@ -39,7 +39,7 @@ def cut_pieces(
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(("words", path, False), lambda: WordEncoder(path, spaces=False))
+        encoder = per_worker(("words", path, False), lambda: WordEncoder(path, spaces=False), alone=True)
         end = end_id.to_bytes(4, "little")
         for b in rows(batches, 512):
             out: tuple[list, ...] = ([], [], [], [], [], [])

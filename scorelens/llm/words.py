@@ -10,23 +10,30 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable
 
 import numpy as np
 
-_RUNS = r" \s|^ | $"
-_SINGLE = r"(?<=\S) (?=\S)"
+_RUNS = re.compile(r" \s")
+_SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: Words that the library is given as one text.
 JOINED = 200
 
 
 def pieces(text: str) -> list[str]:
     """The text at its safe spaces; ``" ".join(pieces(text))`` is the text."""
-    if re.search(_RUNS, text):
-        return re.split(_SINGLE, text)
+    if text[:1] == " " or text[-1:] == " " or _RUNS.search(text):
+        return _SINGLE.split(text)
     return text.split(" ")
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    letters = dict(zip(shown, map(chr, shown))) | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return [letters[b] for b in range(256)]
+
+
 class WordEncoder:
     """Token ids as ``tokenizers`` gives them, without added special tokens, as little-endian unsigned 32-bit bytes.
 
@@ -47,6 +54,15 @@ class WordEncoder:
         # Letters that the normaliser turns into something else, to which a sign behind may be joined.
         normal = self.tok.normalizer.normalize_str if self.tok.normalizer else str
         self.odd = {c for c in map(chr, range(0x250)) if c.isalpha() and not normal(c).isalpha()}
+        # Words of other letters are one word for any rule that splits a text, so the model alone gives their ids.
+        self.model = tokenizers.Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+        shown = byte_letters()
+        self.spelled = {
+            ord(c): "".join(shown[b] for b in normal(c).encode())
+            for c in map(chr, range(0x250))
+            if c.isalpha() and c not in self.odd
+        }
         # Tokens that begin a word (they have its space) or that end one.
         vocabulary = self.tok.get_vocab()
         self.border = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -57,79 +73,71 @@ class WordEncoder:
     def _ids(found) -> bytes:
         return array("I", found.ids).tobytes()
 
-    def _plain(self, word: str) -> bool:
-        """Whether the word has one border among its tokens, the first of a spaced word, the last of another."""
+    def _lettered(self, word: str) -> bool:
+        """Whether the word is only letters that the model's own spelling is known for."""
+        return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and self.odd.isdisjoint(word)))
+
+    def _encode_words(self, words: list[str], lettered: list[str]) -> None:
+        """Entries for words. Those of letters go to the model many to a text, which is cut at the words' borders again."""
+        young, rest = self.young, list(words)
+        groups = [lettered[at : at + JOINED] for at in range(0, len(lettered), JOINED)]
+        joined = [" ".join(g).translate(self.spelled) for g in groups]
         if self.spaces:
-            return "<" not in word and word.split() == [word]
-        return word.isalpha() and max(word) < "\u0250" and self.odd.isdisjoint(word)
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Plain words go to the library many to a text, which is cut at the borders again."""
-        plain = [w for w in words if self._plain(w)]
-        found: dict[str, bytes] = {}
-        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
-        joined = ["".join(" " + w for w in g) if self.spaces else " ".join(g) for g in groups]
-        for some, got in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False)):
+            joined = ["\u0120" + text.replace(" ", " \u0120") for text in joined]
+        for some, got in zip(groups, self.model.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(got.ids, "<u4")
-            cuts = np.flatnonzero(self.border[ids])
-            bounds = [*cuts.tolist(), len(ids)] if self.spaces else [0, *(cuts + 1).tolist()]
-            if len(cuts) == len(some) and bounds[0] == 0 and bounds[-1] == len(ids):
+            cuts = np.flatnonzero(self.border[ids]) * 4
+            bounds = [*cuts.tolist(), 4 * len(ids)] if self.spaces else [0, *(cuts + 4).tolist()]
+            if len(cuts) == len(some) and bounds[0] == 0 and bounds[-1] == 4 * len(ids):
                 raw = ids.tobytes()
-                found.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]))
-        rest = [w for w in words if w not in found]
+                young.update(zip(some, [raw[a:b] for a, b in zip(bounds, bounds[1:])]))
+            else:
+                rest += some
         alone = self.tok.encode_batch_fast([" " + p for p in rest] if self.spaces else rest, add_special_tokens=False)
-        found.update(zip(rest, map(self._ids, alone)))
-        return [found[w] for w in words]
-
-    def _fill(self, parts: Iterable[str]) -> None:
-        """Entries for the words that have none. A full stop or comma behind Latin letters is a token of its own."""
-        young, old, stems, new = self.young, self.old, {}, set()
-        for p in set(parts):
-            if p in young:
-                continue
-            known = old.get(p)
+        young.update(zip(rest, map(self._ids, alone)))
+
+    def _fill(self, parts: set[str]) -> None:
+        """Entries for words that have none. A full stop or comma behind Latin letters is a token of its own."""
+        young, old = self.young, self.old
+        stems: dict[str, str] = {}
+        words, lettered = [], set()
+        for p, known in zip(parts, map(old.get, parts)):
             if known is not None:
                 young[p] = known
-                continue
-            stem = p[:-1]
-            if p[-1:] in self.tails and stem.isalpha() and max(stem) < "\u0250" and self.odd.isdisjoint(stem):
-                stems[p] = stem
-                known = old.get(stem)
-                if known is not None:
-                    young[stem] = known
-                if stem not in young:
-                    new.add(stem)
+            elif self._lettered(p):
+                lettered.add(p)
+            elif p[-1:] in self.tails and self._lettered(p[:-1]):
+                stems[p] = p[:-1]
+            else:
+                words.append(p)
+        for stem in set(stems.values()).difference(young, lettered):
+            known = old.get(stem)
+            if known is not None:
+                young[stem] = known
             else:
-                new.add(p)
-        words = list(new)
-        young.update(zip(words, self._encode_words(words)))
+                lettered.add(stem)
+        self._encode_words(words, list(lettered))
         for p, stem in stems.items():
             young[p] = young[stem] + self.tails[p[-1]]
 
-    def _renew(self) -> None:
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-
     def encode_all(self, batch: list[str]) -> list[bytes]:
         """The ids of each text; new words of all texts go to the library together."""
-        self._renew()
-        parts: set[str] = set()
-        for text in batch:
-            parts.update(pieces(text)[1:] if self.spaces else text.split(" "))
-        parts.difference_update(self.young)
-        if parts:
-            self._fill(parts)
-        return [self.encode(text) for text in batch]
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        split = [pieces(text) if self.spaces else text.split(" ") for text in batch]
+        heads = [b""] * len(split)
+        if self.spaces:
+            firsts = [parts.pop(0) for parts in split]
+            heads = list(map(self._ids, self.tok.encode_batch_fast(firsts, add_special_tokens=False)))
+        words = [p for parts in split for p in parts]
+        found = list(map(self.young.get, words))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if missing:
+            self._fill({words[k] for k in missing})
+            for k in missing:
+                found[k] = self.young[words[k]]
+        ends = np.cumsum([0, *map(len, split)]).tolist()
+        return [head + b"".join(found[a:b]) for head, a, b in zip(heads, ends, ends[1:])]
 
     def encode(self, text: str) -> bytes:
-        self._renew()
-        if not self.spaces:
-            parts, head = text.split(" "), b""
-        else:
-            first, *parts = pieces(text)
-            head = self._ids(self.tok.encode(first, add_special_tokens=False))
-        try:
-            return head + b"".join(map(self.young.get, parts))
-        except TypeError:  # a word without an entry
-            self._fill(parts)
-            return head + b"".join(map(self.young.__getitem__, parts))
+        return self.encode_all([text])[0]

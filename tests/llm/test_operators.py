@@ -628,3 +628,39 @@ def test_repeats_work_on_few_bytes_at_once(monkeypatch):
     done = list(repeats.cut_texts(values, [None] * len(values)))
     assert [raw.decode() for raw, _, _ in done] == values and [left for _, left, _ in done[:-1]] == [t.encode() for t in values[:-1]]
     assert max(seen[:-1]) <= 1 << 18 and seen[-1] == 800_000
+
+
+# -- work of the encoders
+
+
+class Recorder:
+    """Passes calls on and keeps the texts that ``names`` were called with."""
+
+    def __init__(self, to, *names):
+        self.to, self.names, self.texts, self.calls = to, names, [], 0
+
+    def __getattr__(self, name):
+        found = getattr(self.to, name)
+        if name not in self.names:
+            return found
+
+        def call(some, *args, **kwargs):
+            self.calls += 1
+            self.texts += [some] if isinstance(some, str) else some
+            return found(some, *args, **kwargs)
+
+        return call
+
+
+@pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
+def test_words_of_letters_skip_the_rule_that_splits_texts(path, spaces):
+    rnd, fills = random.Random(6), []
+    word = lambda: "".join(rnd.choices("abcdefgéèßŁXYZ", k=rnd.randrange(2, 12)))
+    batch = [" ".join(["a", *(word() + rnd.choice(["", "", ",", "."]) for _ in range(40)), "it's"]) for _ in range(300)]
+    words, tok = WordEncoder(path, spaces, limit=2_000), Tokenizer.from_file(path)
+    words.tok = seen = Recorder(words.tok, "encode", "encode_batch", "encode_batch_fast")
+    fill = words._fill
+    words._fill = lambda parts: fills.append(len(parts)) or fill(parts)
+    got = [x for at in range(0, 300, 100) for x in words.encode_all(batch[at : at + 100])]
+    assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+    assert {t.strip() for t in seen.texts} <= {"a", "it's"} and len(fills) == 3
