@@ -131,7 +131,7 @@ class Coder:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """The ids of some rows (doc_id, text) at a time, with the end id."""
-    encoder = per_worker(("words", path), lambda: WordEncoder(path))
+    encoder = per_worker(("words", path), lambda: WordEncoder(path), alone=True)
     end = struct.pack("<I", end_id)
     for b in rows(batches):
         yield b.column(0), [ids + end for ids in encoder.encode_all(b.column(1).to_pylist())]
@@ -163,11 +163,16 @@ def write_store(
         # each would come to keep the words.
         at = 0
         for doc_ids, got in _encoded(batches, path, end_id):
-            found = [np.frombuffer(x, "<u4") for x in got]
-            n = np.array([len(x) for x in found], np.int64)
+            n = np.array([len(x) // 4 for x in got], np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
-            short = [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() for x in found]
+            ids, ends = np.frombuffer(b"".join(got), "<u4"), np.cumsum([0, *n])
+            if not len(ids) or ids.max() < 65536:
+                raw = ids.astype("<u2").tobytes()
+                short = [raw[2 * a : 2 * b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            else:
+                found = [ids[a:b] for a, b in zip(ends, ends[1:])]
+                short = [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() for x in found]
             yield pa.RecordBatch.from_arrays(
                 [doc_ids, pa.array(n), pa.array(short, pa.binary()), pa.array(starts)], ["doc_id", "n_tokens", "ids", "at"]
             )
@@ -185,8 +190,11 @@ def write_store(
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
+            both: tuple[list[bytes], list[bytes]] = ([], [])
             for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen = np.bincount(np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4"))
+                both[len(x) != 2 * n].append(x)
+            for some, kind in zip(both, ("<u2", "<u4")):
+                seen = np.bincount(np.frombuffer(b"".join(some), kind))
                 if len(seen) > len(total):
                     total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
                 total[: len(seen)] += seen
