@@ -149,9 +149,10 @@ class OffsetEncoder:
             spec = value if field == 3 else spec
         self.normalizer = Normalizer(spec)
         names = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        self.bytes_of = [
-            1 if self.sp.is_byte(i) else len(names[i].encode()) - 2 * names[i].count(MARK) for i in range(len(names))
-        ]
+        self.bytes_of = np.array(
+            [1 if self.sp.is_byte(i) else len(names[i].encode()) - 2 * names[i].count(MARK) for i in range(len(names))]
+        )
+        self.decimal = [b"%d" % i for i in range(len(names))]
         n = self.normalizer
         self.by_word = (
             not n.map.units
@@ -178,39 +179,49 @@ class OffsetEncoder:
         first = np.concatenate([[0], last[:-1]]).astype(np.int64)
         return ids, starts[first], np.maximum.accumulate(ends[last - 1])
 
-    def _word(self, ids: list[int]) -> tuple[bytes, bytes, int, bytes]:
-        ends, at = array("q"), 0
-        for i in ids:
-            at += self.bytes_of[i]
-            ends.append(at)
-        return array("I", ids).tobytes(), ends.tobytes(), at, b" ".join(b"%d" % i for i in ids)
-
-    def words(self, text: str) -> list[tuple[bytes, bytes, int, bytes]] | None:
-        """Per word, with the space before it: ids, ends of the pieces, bytes, ids in decimal. None: not by words."""
-        if not self.by_word or not text or text[0] == " " or text[-1] == " " or "  " in text or MARK in text:
-            return None
-        data, parts = self.cache.room(), text.split(" ")
-        out = list(map(data.get, parts))
-        if None in out:
-            new = [p for p in set(parts) if p not in data]
-            for p, ids in zip(new, self.sp.encode(new, num_threads=1)):
-                data[p] = self._word(ids)
-            out = list(map(data.__getitem__, parts))
+    def words(self, batch: list[str]) -> list[bytes | None]:
+        """Per text the ids, joined from those of its words with the space before them. None: not by words."""
+        out: list[bytes | None] = [None] * len(batch)
+        if not self.by_word:
+            return out
+        able = [
+            k
+            for k, text in enumerate(batch)
+            if text and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text
+        ]
+        data = self.cache.room()
+        split = [batch[k].split(" ") for k in able]
+        parts = [p for some in split for p in some]
+        found = list(map(data.get, parts))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if missing:
+            new = list({parts[k] for k in missing})
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                data.update(zip(some, [array("I", ids).tobytes() for ids in self.sp.encode(some, num_threads=1)]))
+            for k in missing:
+                found[k] = data[parts[k]]
+        ends = np.cumsum([0, *map(len, split)]).tolist()
+        for k, a, b in zip(able, ends, ends[1:]):
+            out[k] = b"".join(found[a:b])
         return out
 
+    def encode_all(self, batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text its ids, and start and end of the source bytes of each piece."""
+        for text, got in zip(batch, self.words(batch)):
+            if got is None:
+                ids, starts, ends = self._aligned(text)
+                yield np.array(ids, np.uint32), starts, ends
+                continue
+            found = np.frombuffer(got, "<u4")
+            # The first word's space is the one that the model puts in front, which has no bytes of its own.
+            ends = np.cumsum(self.bytes_of[found]) - 1
+            yield found, np.concatenate([[0], ends[:-1]]), ends
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
         """Ids, and start and end of the source bytes of each piece; the ids in decimal, joined by spaces."""
-        got = self.words(text)
-        if got is None:
-            ids, starts, ends = self._aligned(text)
-            return np.array(ids, np.uint32), starts, ends, b" ".join(b"%d" % i for i in ids)
-        ids = np.frombuffer(b"".join([w[0] for w in got]), "<u4")
-        each = np.array([len(w[0]) // 4 for w in got])
-        size = np.array([w[2] for w in got])
-        # The first word's space is the one that the model puts in front, which has no bytes of its own.
-        base = np.concatenate([[0], np.cumsum(size)[:-1]]) - 1
-        ends = np.frombuffer(b"".join([w[1] for w in got]), "<i8") + np.repeat(base, each)
-        return ids, np.concatenate([[0], ends[:-1]]), ends, b" ".join([w[3] for w in got])
+        ids, starts, ends = next(self.encode_all([text]))
+        return ids, starts, ends, b" ".join(map(self.decimal.__getitem__, ids.tolist()))
 
 
 def encode_offsets(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +230,7 @@ def encode_offsets(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("offset pieces", path), lambda: OffsetEncoder(path))
         for b in rows(batches, 256):
-            got = [encoder.encode(t) for t in b.column(1).to_pylist()]
+            got = list(encoder.encode_all(b.column(1).to_pylist()))
             lists = [
                 pa.array([x[k].tolist() for x in got], pa.list_(kind))
                 for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))
@@ -259,11 +270,11 @@ def offset_digests(
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in rows(batches, 256):
             n, of_ids, of_text, of_spans = [], [], [], []
-            for t in b.column(1).to_pylist():
-                ids, starts, ends, decimal = encoder.encode(t)
-                n.append(len(ids) + 1)
-                of_ids.append(sha(decimal + b" " + last if decimal else last))
-                of_text.append(sha(encoder.sp.decode([*ids.tolist(), end_id]).encode()))
+            for ids, starts, ends in encoder.encode_all(b.column(1).to_pylist()):
+                listed = ids.tolist()
+                n.append(len(listed) + 1)
+                of_ids.append(sha(b" ".join([*map(encoder.decimal.__getitem__, listed), last])))
+                of_text.append(sha(encoder.sp.decode([*listed, end_id]).encode()))
                 of_spans.append(sha(starts.tobytes() + ends.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text), pa.array(of_spans)],

@@ -664,3 +664,12 @@ def test_words_of_letters_skip_the_rule_that_splits_texts(path, spaces):
     got = [x for at in range(0, 300, 100) for x in words.encode_all(batch[at : at + 100])]
     assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
     assert {t.strip() for t in seen.texts} <= {"a", "it's"} and len(fills) == 3
+
+
+def test_offset_pieces_ask_the_library_once_for_the_new_words_of_a_batch(texts):
+    encoder, sp = offset_pieces.OffsetEncoder(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    batch = [t for t in list(texts.values())[:60] if t and t == t.strip(" ") and "  " not in t and offset_pieces.MARK not in t]
+    encoder.sp = seen = Recorder(encoder.sp, "encode")
+    got = list(encoder.encode_all([*batch, *batch]))
+    assert [x[0].tolist() for x in got] == [sp.encode(t) for t in [*batch, *batch]]
+    assert len(batch) > 20 and seen.calls == 1 and len(seen.texts) == len(set(seen.texts))
