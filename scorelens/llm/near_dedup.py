@@ -9,7 +9,7 @@
 4. In a bucket every text is compared with one hub. Pairs whose collision-corrected estimate is within five standard
    errors of the threshold are verified on the full sets, and links are merged into components.
 5. A bucket stays open while its other texts lie in different components. Its hubs are done with; the next round
-   takes four times as many, those of the smallest components first. A bucket that still holds more than 64 texts
+   takes four times as many, those of the smallest components first. A bucket that still holds more than 16 texts
    outside its largest component after one hub is a line or passage that unlike texts share. Its texts are dealt anew by
    an exact prefix of all their shingles for each pair of sizes, the rarest among these texts first, so that what they
    share comes last and only texts that meet elsewhere, or share enough, are compared. Rounds go on until no bucket is open, so nothing is capped.
@@ -40,7 +40,7 @@ from scorelens.session import cut_lineage
 HASHES, BUCKETS, MANTISSA, BAND, FEW = 4, 32, 10, 4, 128
 REGISTERS = HASHES * BUCKETS
 #: A shingle of more prefixes is common. Buckets with more texts outside their largest component are dealt anew.
-_COMMON, _LARGE = 100, 64
+_COMMON, _LARGE = 100, 16
 #: Ratio of the sizes at which classes of sizes begin.
 _CLASS = 1.06
 #: Ids that may be sent to all executors to pick texts for verification; more are joined by a shuffle.
@@ -138,7 +138,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([none, *values]).view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = per_worker("shingles", Shingles)
+        shingles = per_worker("shingles", Shingles, alone=True)
         for b in rows(batches):
             n, hi, lo, regs, bands, prefix = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
@@ -203,7 +203,7 @@ def _shingles_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(key, id, n): a row for each shingle of the texts with some ids (doc_id); n is the size of the text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = per_worker("shingles", Shingles)
+        shingles = per_worker("shingles", Shingles, alone=True)
         for b in rows(batches, 256):
             found = [shingle_keys(shingles.of(t)) for t in b.column(1).to_pylist()]
             size = np.array([len(x) for x in found], np.int64)
@@ -222,13 +222,14 @@ def _ordered(marked: DataFrame, order: str) -> DataFrame:
 
 
 def _dealt(ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(key, id, side) for texts with some ids: prefixes of all shingles, the rarest among these texts first.
+    """(key, id, side, n, rest) for texts with some ids: prefixes of all shingles, the rarest among these texts first.
 
     Sets of sizes a and b must share percent / (100 + percent) of a + b, and so one of the shingles that come before the
     last so many of either, in any order that is the same for all. Sizes fall in classes, and a text enters the buckets
     of each pair of classes that its size allows with the prefix for that pair, so no pair is lost, and texts whose
     common part is just too small never meet. Side 1 has the smaller class of a pair, side 2 the larger one, 0 both.
-    A shingle that no other text has counts in the prefix and needs no bucket.
+    A shingle that no other text has counts in the prefix and needs no bucket. ``rest`` counts a text's shingles from the
+    bucket's one on. Two texts whose first common shingle this is share no more than the smaller of their rests.
     """
     ids = cut_lineage(ids)
     counts = _shingles_of(ids, docs).groupBy("key").count().filter("count > 1")
@@ -245,6 +246,8 @@ def _dealt(ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         F.xxhash64("k.key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
         "id",
         F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0).alias("side"),
+        "n",
+        (F.col("n") - F.col("place")).alias("rest"),
     )
 
 
@@ -278,7 +281,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     side = lambda x: needed.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = per_worker("shingles", Shingles)
+        shingles = per_worker("shingles", Shingles, alone=True)
         last: tuple[int | None, int, np.ndarray] = (None, 0, np.zeros(0, np.uint64))
         for batch in rows(batches, 256):
             keep = []
@@ -347,16 +350,17 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
         # One hub for each remainder, so that hubs are grouped minima and no bucket is sorted.
         able = F.when(F.col("side") < 2, F.struct("w", "id"))
         picked = sized.groupBy("key", "many", F.pmod(F.xxhash64("id"), F.col("many")).alias("part")).agg(
-            F.min_by(F.struct("id", "c"), able).alias("hub"), F.count("*").alias("m")
+            F.min_by(F.struct("id", "c", "n", "rest"), able).alias("hub"), F.count("*").alias("m")
         )
         chosen = picked.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("m").alias("m"))
         chosen = chosen.filter((F.col("m") > 1) & (F.size("hubs") > 0)).select("key", "hubs")
-        members = cut_lineage(sized.select("key", "many", "id", "side", "c").join(chosen, "key"))
-        # Only hubs of another component are left to compare with.
-        apart = F.filter("hubs", lambda h: h["c"] != F.col("c"))
+        members = cut_lineage(sized.select("key", "many", *who, "c").join(chosen, "key"))
+        # Only hubs of another component are left to compare with, and of those only ones that can share enough.
+        most = lambda h: (100 + percent) * F.least("rest", h["rest"]) >= percent * (F.col("n") + h["n"])
+        apart = F.filter("hubs", lambda h: (h["c"] != F.col("c")) & most(h))
         compared = members.filter("side <> 1").select("id", F.explode(F.transform(apart, lambda h: h["id"])).alias("hub"))
         link(compared.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
-        others = members.filter(~F.exists("hubs", lambda h: h["id"] == F.col("id"))).select("key", "many", "id", "side")
+        others = members.filter(~F.exists("hubs", lambda h: h["id"] == F.col("id"))).select("key", "many", *who)
         left = _labelled(others, labels, "id", "c")
         sides = (F.count_if(F.col("side") < 2).alias("able"), F.count_if(F.col("side") != 1).alias("asked"))
         state = left.groupBy("key", "c").agg(F.count("*").alias("m"), *sides).groupBy("key").agg(
@@ -366,17 +370,19 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
             F.sum("asked").alias("asked"),
         )
         state = state.filter("parts > 1 AND able > 0 AND asked > 0").select("key", "outside")
-        return cut_lineage(left.join(state, "key").select("key", "many", "id", "side", "outside"))
+        return cut_lineage(left.join(state, "key").select("key", "many", *who, "outside"))
 
-    once, more = F.lit(1).alias("many"), (F.col("many") * 4).alias("many")
-    opened = round_(cut_lineage(_buckets(sets, docs, percent)).select("key", once, "id", F.lit(0).alias("side")))
+    once, more, none = F.lit(1).alias("many"), (F.col("many") * 4).alias("many"), F.lit(0).cast("long")
+    who = ("id", "side", "n", "rest")
+    first = cut_lineage(_buckets(sets, docs, percent))
+    opened = round_(first.select("key", once, "id", F.lit(0).alias("side"), none.alias("n"), none.alias("rest")))
     mixed = opened.filter(F.col("outside") > _LARGE).select(F.col("id").alias("doc_id")).distinct()
-    buckets = opened.filter(F.col("outside") <= _LARGE).select("key", more, "id", "side")
+    buckets = opened.filter(F.col("outside") <= _LARGE).select("key", more, *who)
     if not mixed.isEmpty():
         dealt = cut_lineage(_dealt(mixed, docs, percent))
-        buckets = buckets.unionAll(dealt.select("key", once, "id", "side"))
+        buckets = buckets.unionAll(dealt.select("key", once, *who))
     while not buckets.isEmpty():
-        buckets = round_(buckets).select("key", more, "id", "side")
+        buckets = round_(buckets).select("key", more, *who)
 
     rooted = _labelled(sets.select("hi", "lo", "id"), labels, "id", "c").select("hi", "lo", "c")
     found = named.select("doc_id", "n_shingles", "hi", "lo").join(rooted, ["hi", "lo"])
