@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,39 +152,45 @@ def fit(
         return ToxicityModel(np.zeros(FEATURES, np.float32), 0.0, share)
     seen = seen or min(6, max(2, sum(y) // 100))
     index: dict[str, int] = {}
+    feature, size = array("i"), array("i")  # of all words, one after another
     token, sentence, document = [], [], []
     n_sentences = 0
     for d, text in enumerate(texts_):
         tokens = words(text)
         if not tokens:
             continue
-        ids = np.fromiter((index.setdefault(t, len(index)) for t in tokens), np.int64, len(tokens))
+        for t in dict.fromkeys(tokens):
+            if t not in index:
+                index[t] = len(index)
+                feature.extend(got := features(t))
+                size.append(len(got))
+        ids = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
         ends = np.fromiter((t == _LINE or t.endswith(_ENDS) for t in tokens), np.int64, len(tokens))
         of = np.concatenate([[0], np.cumsum(ends)[:-1]])
         once = np.unique(of << 32 | ids)
-        token.append(once & 0xFFFFFFFF)
-        sentence.append((once >> 32) + n_sentences)
-        document.append(np.full(of[-1] + 1, d))
+        token.append((once & 0xFFFFFFFF).astype(np.int32))
+        sentence.append(((once >> 32) + n_sentences).astype(np.int32))
+        document.append(np.full(of[-1] + 1, d, np.int32))
         n_sentences += int(of[-1]) + 1
     if not token:
         return ToxicityModel(np.zeros(FEATURES, np.float32), 0.0, share)
-    token, sentence, document = map(np.concatenate, (token, sentence, document))
-    parts = [features(w) for w in index]
-    size = np.array([len(p) for p in parts])
-    feature, owner = np.concatenate([np.array(p, np.int64) for p in parts]), np.repeat(np.arange(len(parts)), size)
-    pairs = np.unique(np.stack([document[sentence], token]), axis=1)
-    of_pair = np.repeat(np.arange(pairs.shape[1]), size[pairs[1]])
-    begin = np.cumsum(size) - size
-    step = np.arange(len(of_pair)) - np.repeat(np.cumsum(size[pairs[1]]) - size[pairs[1]], size[pairs[1]])
-    held = np.unique(pairs[0][of_pair] * FEATURES + feature[begin[pairs[1]][of_pair] + step])
-    common = np.bincount(held % FEATURES, minlength=FEATURES) >= seen
+    feature, size = np.array(feature, np.int64), np.array(size, np.int64)
+    n_words, begin = len(index), np.cumsum(size) - size
+    del index
+    held = np.zeros(FEATURES, np.int64)
+    for found in map(np.unique, token):  # a document at a time: all of them at once are many times the sample
+        n = size[found]
+        held[np.unique(feature[np.repeat(begin[found] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
+    owner = np.repeat(np.arange(n_words), size)
+    common = held >= seen
     feature, owner = feature[common[feature]], owner[common[feature]]
+    token, sentence, document = map(np.concatenate, (token, sentence, document))
     y_, weight_ = np.array(y, float), np.array(weight)
     told = np.bincount(document, minlength=len(y_)) > 0
     w, bias = np.zeros(FEATURES), -6.0
     m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     for k in range(1, rounds + 1):
-        of_word = np.bincount(owner, w[feature], len(parts))
+        of_word = np.bincount(owner, w[feature], n_words)
         z = np.bincount(sentence, of_word[token], n_sentences) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         p0 = 1 / (1 + np.exp(-bias))
@@ -191,7 +198,7 @@ def fit(
         toxic = np.maximum(1 - clean, 1e-9)
         pull = np.where(y_ == 1, -clean / toxic, 1.0) * weight_ / len(y_)
         g = pull[document] * p
-        by_word = np.bincount(token, g[sentence], len(parts))
+        by_word = np.bincount(token, g[sentence], n_words)
         gw = np.bincount(feature, by_word[owner], FEATURES) + l2 * w + l1
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         gb = (pull * told).sum() * p0 + (pull[document] * (p - p0)).sum()

@@ -154,6 +154,17 @@ def test_noisy_or_and_constant_models():
     assert quality_cnn.fit(["a"], [1], [1.0]).constant == 1.0
 
 
+def test_the_fit_of_toxicity_holds_few_times_its_sample():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randrange(3, 9))) + rnd.choice(["", "", ".", ","])
+    batch = [" ".join(word() for _ in range(300)) for _ in range(400)]
+    tracemalloc.start()
+    toxicity.fit(batch, [0, 1] * 200, [1.0] * 400, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * sum(map(len, batch))
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 255, 256, 257, 480, 481, 5000):
         raw = bytes(random.Random(n).randrange(1, 256) for _ in range(n))
