@@ -68,6 +68,19 @@ def rows(batches: Iterator[pa.RecordBatch], size: int = 1024) -> Iterator[pa.Rec
             yield batch.slice(at, size)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches anew, about ``most`` bytes at once: many short texts, or few long ones."""
+    held, size = [], 0
+    for b in rows(batches, 256):
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 @contextmanager
 def small_batches(spark: SparkSession, most: int = 1024) -> Iterator[None]:
     """Jobs started inside hand Python at most so many rows at once; the caller's setting is put back.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import per_worker, rows, texts
+from scorelens.llm.common import gathered, per_worker, texts
 from scorelens.llm.words import WordEncoder
 from scorelens.session import cut_lineage
 
@@ -41,9 +41,9 @@ def cut_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("words", path, False), lambda: WordEncoder(path, spaces=False), alone=True)
         end = end_id.to_bytes(4, "little")
-        for b in rows(batches, 512):
+        for b in gathered(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, got in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist())):
+            for doc, got in zip(b.column(0).to_pylist(), encoder.encode_array(b.column(1)).to_pylist()):
                 ids = got + end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]

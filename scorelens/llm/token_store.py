@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import per_worker, rows, small_batches, texts
-from scorelens.llm.words import WordEncoder
+from scorelens.llm.common import gathered, per_worker, rows, small_batches, texts
+from scorelens.llm.words import WordEncoder, offsets
 from scorelens.session import scratch_path
 
 #: Slots of the frequency table as a power of two, lowest coder state, ids in a block, lanes, steps between checkpoints.
@@ -129,12 +129,12 @@ class Coder:
         return out.reshape(-1)[: max(0, min(n, end * lanes) - first * EVERY * lanes)]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, pa.Array]]:
     """The ids of some rows (doc_id, text) at a time, with the end id."""
     encoder = per_worker(("words", path), lambda: WordEncoder(path), alone=True)
     end = struct.pack("<I", end_id)
-    for b in rows(batches):
-        yield b.column(0), [ids + end for ids in encoder.encode_all(b.column(1).to_pylist())]
+    for b in gathered(batches):
+        yield b.column(0), encoder.encode_array(b.column(1), end)
 
 
 def encode_ids(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,8 +143,7 @@ def encode_ids(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, got in _encoded(batches, path, end_id):
             yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary())],
-                ["doc_id", "n_tokens", "ids"],
+                [doc_ids, pa.array(np.diff(offsets(got)) // 4), got.cast(pa.binary())], ["doc_id", "n_tokens", "ids"]
             )
 
     return texts(df, id_col, text_col).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
@@ -163,18 +162,18 @@ def write_store(
         # each would come to keep the words.
         at = 0
         for doc_ids, got in _encoded(batches, path, end_id):
-            n = np.array([len(x) // 4 for x in got], np.int64)
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            ids, ends = np.frombuffer(b"".join(got), "<u4"), np.cumsum([0, *n])
-            if not len(ids) or ids.max() < 65536:
-                raw = ids.astype("<u2").tobytes()
-                short = [raw[2 * a : 2 * b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            ends = offsets(got) // 4
+            n, starts = np.diff(ends), at + ends[:-1]
+            at += int(ends[-1])
+            ids = np.frombuffer(got.buffers()[2], "<u4", ends[-1])
+            if ids.max() < 65536:
+                cuts, raw = (2 * ends).astype(np.int32), ids.astype("<u2")
+                short = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
             else:
                 found = [ids[a:b] for a, b in zip(ends, ends[1:])]
-                short = [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() for x in found]
+                short = pa.array([(x.astype("<u2") if x.max() < 65536 else x).tobytes() for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(n), pa.array(short, pa.binary()), pa.array(starts)], ["doc_id", "n_tokens", "ids", "at"]
+                [doc_ids, pa.array(n), short, pa.array(starts)], ["doc_id", "n_tokens", "ids", "at"]
             )
 
     encoded = ordered.mapInArrow(number, "doc_id long, n_tokens long, ids binary, at long")

@@ -2,7 +2,7 @@
 
 A piece is a word with the space before it. A cut at a space is safe for a byte-level tokenizer when what follows is
 no white space: the pattern that splits words then starts anew at that space. Texts with longer runs of white space
-are cut only at single spaces between other characters.
+are cut only at single spaces between other characters. Arrow splits texts, names their words and looks them up.
 """
 
 from __future__ import annotations
@@ -12,11 +12,17 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _RUNS = re.compile(r" \s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
+#: Signs at the end of a word.
+_SIGNS = r"[!-&(-/:-@\[-`{-~]+$"
 #: Words that the library is given as one text.
 JOINED = 200
+#: Bytes of the longest words that are kept.
+LONGEST = 100
 
 
 def pieces(text: str) -> list[str]:
@@ -34,22 +40,31 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def offsets(values: pa.Array) -> np.ndarray:
+    """The ends of large binary values in their buffer, from where the first one begins."""
+    return np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
+
+
+def _binary(ends: np.ndarray, data: np.ndarray | pa.Buffer) -> pa.Array:
+    begin = pa.py_buffer(np.ascontiguousarray(ends, np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, begin, pa.py_buffer(data)])
+
+
 class WordEncoder:
     """Token ids as ``tokenizers`` gives them, without added special tokens, as little-endian unsigned 32-bit bytes.
 
     ``spaces`` says whether the tokenizer keeps white space (byte-level) or drops it (word ends).
     """
 
-    def __init__(self, path: str, spaces: bool = True, limit: int = 350_000):
+    def __init__(self, path: str, spaces: bool = True, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
         self.spaces = spaces
-        # Two generations: words in use move from the old one to the young one, the others are forgotten with it.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.limit = limit
+        # The words known so far, their ids, and the call that used them last.
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.used, self.calls, self.limit = np.zeros(0, np.int64), 0, limit
         self.tails = {c: self._ids(self.tok.encode(c, add_special_tokens=False)) for c in ".,"}
         # Letters that the normaliser turns into something else, to which a sign behind may be joined.
         normal = self.tok.normalizer.normalize_str if self.tok.normalizer else str
@@ -77,67 +92,130 @@ class WordEncoder:
         """Whether the word is only letters that the model's own spelling is known for."""
         return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and self.odd.isdisjoint(word)))
 
-    def _encode_words(self, words: list[str], lettered: list[str]) -> None:
-        """Entries for words. Those of letters go to the model many to a text, which is cut at the words' borders again."""
-        young, rest = self.young, list(words)
-        groups = [lettered[at : at + JOINED] for at in range(0, len(lettered), JOINED)]
-        joined = [" ".join(g).translate(self.spelled) for g in groups]
+    def _encode_lettered(self, words: pa.Array) -> pa.Array:
+        """Ids of words of letters. They go to the model many to a text, which is cut at the words' borders again."""
+        ends = np.minimum(np.arange(0, len(words) + JOINED, JOINED), len(words)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " ").to_pylist()
+        joined = [text.translate(self.spelled) for text in joined]
         if self.spaces:
             joined = ["\u0120" + text.replace(" ", " \u0120") for text in joined]
-        for some, got in zip(groups, self.model.encode_batch_fast(joined, add_special_tokens=False)):
+        parts, sizes = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+        for k, got in enumerate(self.model.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(got.ids, "<u4")
-            cuts = np.flatnonzero(self.border[ids]) * 4
-            bounds = [*cuts.tolist(), 4 * len(ids)] if self.spaces else [0, *(cuts + 4).tolist()]
-            if len(cuts) == len(some) and bounds[0] == 0 and bounds[-1] == 4 * len(ids):
-                raw = ids.tobytes()
-                young.update(zip(some, [raw[a:b] for a, b in zip(bounds, bounds[1:])]))
-            else:
-                rest += some
-        alone = self.tok.encode_batch_fast([" " + p for p in rest] if self.spaces else rest, add_special_tokens=False)
-        young.update(zip(rest, map(self._ids, alone)))
-
-    def _fill(self, parts: set[str]) -> None:
-        """Entries for words that have none. A full stop or comma behind Latin letters is a token of its own."""
-        young, old = self.young, self.old
-        stems: dict[str, str] = {}
-        words, lettered = [], set()
-        for p, known in zip(parts, map(old.get, parts)):
-            if known is not None:
-                young[p] = known
-            elif self._lettered(p):
-                lettered.add(p)
-            elif p[-1:] in self.tails and self._lettered(p[:-1]):
-                stems[p] = p[:-1]
-            else:
-                words.append(p)
-        for stem in set(stems.values()).difference(young, lettered):
-            known = old.get(stem)
-            if known is not None:
-                young[stem] = known
-            else:
-                lettered.add(stem)
-        self._encode_words(words, list(lettered))
-        for p, stem in stems.items():
-            young[p] = young[stem] + self.tails[p[-1]]
+            cuts = np.flatnonzero(self.border[ids])
+            bounds = np.append(cuts, len(ids)) if self.spaces else np.concatenate([[0], cuts + 1])
+            if len(cuts) != ends[k + 1] - ends[k] or bounds[0] or bounds[-1] != len(ids):
+                found = self._encode_words(words.slice(ends[k], ends[k + 1] - ends[k]).to_pylist())
+                ids = np.frombuffer(b"".join(found), "<u4")
+                bounds = np.cumsum([0, *(len(x) // 4 for x in found)])
+            parts.append(ids)
+            sizes.append(np.diff(bounds))
+        return _binary(np.cumsum(np.concatenate(sizes)) * 4, np.concatenate(parts))
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of any words, by the library with all its rules."""
+        shown = [" " + p for p in words] if self.spaces else words
+        return list(map(self._ids, self.tok.encode_batch_fast(shown, add_special_tokens=False)))
+
+    def _fill(self, parts: pa.Array) -> pa.Array:
+        """The ids of distinct words. Signs behind letters, other than an apostrophe, are what they are alone."""
+        signed = pc.match_substring_regex(parts, _SIGNS).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(signed)
+        behind = pc.extract_regex(parts.take(pa.array(ends)), f"(?P<s>{_SIGNS})").field("s").dictionary_encode()
+        stems = pc.replace_substring_regex(parts, _SIGNS, "")
+        lettered = pc.ascii_is_alpha(stems).to_numpy(zero_copy_only=False).copy()
+        others = np.flatnonzero(~lettered)
+        lettered[others] = list(map(self._lettered, stems.take(pa.array(others)).to_pylist()))
+        plain, rest = np.flatnonzero(lettered), np.flatnonzero(~lettered)
+        named = stems.take(pa.array(plain)).dictionary_encode()
+        alone = self._encode_words(parts.take(pa.array(rest)).to_pylist())
+        signs = list(map(self._tail, behind.dictionary.to_pylist()))
+        known = pa.concat_arrays(
+            [self._encode_lettered(named.dictionary), pa.array([*alone, *signs, b""], pa.large_binary())]
+        )
+        # Two entries make a word: what is before the signs, and the signs or nothing.
+        n = len(known) - 1
+        order = np.full((len(parts), 2), n)
+        order[ends, 1] = n - len(signs) + behind.indices.to_numpy()
+        order[plain, 0] = named.indices.to_numpy()
+        order[rest, 0], order[rest, 1] = len(named.dictionary) + np.arange(len(rest)), n
+        joined = known.take(pa.array(order.ravel()))
+        return _binary(offsets(joined)[::2], joined.buffers()[2])
+
+    def _tail(self, signs: str) -> bytes:
+        """The ids of signs that stand behind letters."""
+        if len(self.tails) > 10_000:
+            self.tails.clear()
+        if signs not in self.tails:
+            self.tails[signs] = self._ids(self.tok.encode(signs, add_special_tokens=False))
+        return self.tails[signs]
+
+    def _split(self, batch: pa.Array) -> pa.Array:
+        """The pieces of each text, as lists of strings."""
+        split = pc.split_pattern(batch, " ")
+        if not self.spaces:
+            return split
+        odd = [k for k, text in enumerate(batch.to_pylist()) if text[:1] == " " or text[-1:] == " " or _RUNS.search(text)]
+        if not odd:
+            return split
+        places = np.arange(len(batch))
+        places[odd] = len(batch) + np.arange(len(odd))
+        others = pa.array(list(map(pieces, batch.take(pa.array(odd)).to_pylist())), split.type)
+        return pa.concat_arrays([split, others]).take(pa.array(places))
+
+    def _forget(self) -> None:
+        """Keep the half of the words that were used last."""
+        keep = pa.array(np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2]))
+        self.words, self.ids, self.used = self.words.take(keep), self.ids.take(keep), self.used[keep.to_numpy()]
+
+    def encode_array(self, batch: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text, with ``end`` behind them; new words of all texts go to the library together.
+
+        Arrow splits the texts, names their distinct words, finds those that are known and puts ids together; Python
+        does not see a word of ASCII letters. Known words are indexed anew at each call, so give it many texts at once.
+        """
+        if not len(batch):
+            return pa.array([], pa.large_binary())
+        if len(self.words) > self.limit:
+            self._forget()
+        count, split = len(batch), self._split(batch.cast(pa.string()))
+        ends, flat = np.asarray(split.offsets, np.int64), split.flatten()
+        ends = ends - ends[0] + np.arange(count + 1)  # the end is one more word of every text
+        body = np.ones(len(flat) + count, bool)
+        body[ends[1:] - 1] = False
+        heads: list[bytes] = []
+        if self.spaces:  # a text's first piece has no space before it
+            firsts = ends[:-1] - np.arange(count)
+            first = flat.take(pa.array(firsts)).to_pylist()
+            heads = list(map(self._ids, self.tok.encode_batch_fast(first, add_special_tokens=False)))
+            body[ends[:-1]] = False
+            others = np.ones(len(flat), bool)
+            others[firsts] = False
+            flat = flat.filter(pa.array(others))
+        named = flat.dictionary_encode()
+        old = len(self.words)
+        at = pc.index_in(named.dictionary, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        self.calls += 1
+        self.used[at[at >= 0]] = self.calls
+        new = named.dictionary.take(pa.array(missing))
+        new_ids = self._fill(new) if len(new) else self.ids.slice(0, 0)
+        at[missing] = old + np.arange(len(missing))
+        known = pa.concat_arrays([self.ids, new_ids, pa.array([*heads, end], pa.large_binary())])
+        order = np.empty(len(body), np.int64)
+        order[body] = at[named.indices.to_numpy()]
+        order[ends[1:] - 1] = len(known) - 1
+        if heads:
+            order[ends[:-1]] = old + len(new) + np.arange(count)
+        joined = known.take(pa.array(order))
+        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        self.words = pa.concat_arrays([self.words, new.filter(short)])
+        self.ids = pa.concat_arrays([self.ids, new_ids.filter(short)])
+        self.used = np.concatenate([self.used, np.full(len(self.words) - old, self.calls)])
+        return _binary(offsets(joined)[ends], joined.buffers()[2])
 
     def encode_all(self, batch: list[str]) -> list[bytes]:
-        """The ids of each text; new words of all texts go to the library together."""
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        split = [pieces(text) if self.spaces else text.split(" ") for text in batch]
-        heads = [b""] * len(split)
-        if self.spaces:
-            firsts = [parts.pop(0) for parts in split]
-            heads = list(map(self._ids, self.tok.encode_batch_fast(firsts, add_special_tokens=False)))
-        words = [p for parts in split for p in parts]
-        found = list(map(self.young.get, words))
-        missing = [k for k, x in enumerate(found) if x is None]
-        if missing:
-            self._fill({words[k] for k in missing})
-            for k in missing:
-                found[k] = self.young[words[k]]
-        ends = np.cumsum([0, *map(len, split)]).tolist()
-        return [head + b"".join(found[a:b]) for head, a, b in zip(heads, ends, ends[1:])]
+        return self.encode_array(pa.array(batch, pa.string())).to_pylist()
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from scorelens.llm import (
     token_store,
     toxicity,
 )
-from scorelens.llm.common import per_worker
+from scorelens.llm.common import gathered, per_worker
 from scorelens.llm.components import components
 from scorelens.llm.labelled import labelled_sample
 from scorelens.llm.words import WordEncoder
@@ -379,6 +380,38 @@ def test_words_joined_for_the_library_are_cut_apart_again(path, spaces):
     assert [x for at in range(0, len(batch), 7) for x in few.encode_all(batch[at : at + 7])] == want
 
 
+@pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
+def test_signs_behind_letters_are_encoded_once_for_all_words(path, spaces):
+    tok, rnd = Tokenizer.from_file(path), random.Random(8)
+    signs = ["***", "&&&", "!?", ".%%%", ",#", "$$$", "<|", "|>", "_~", ")]}", '"', "^`", ":;", "@"]
+    batch = [" ".join(["a", *("".join(rnd.choices("abcdeXYé", k=9)) + rnd.choice(signs) for _ in range(30))]) for _ in range(80)]
+    odd = ["it's!' x'*** 'll, 're. n't' '*", "a\u0338< b\u0301> c<\u0338 ", "9*** x9.. ٣!", "x***\ny... z.\n", "<|endoftext|>!! a<|endoftext|>***"]
+    words = WordEncoder(path, spaces)
+    words.tok = seen = Recorder(words.tok, "encode", "encode_batch", "encode_batch_fast")
+    want = lambda some: [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    assert words.encode_all(batch) == want(batch) and {t.strip() for t in seen.texts} <= {"a", *signs}
+    assert words.encode_all(odd) == want(odd)
+
+
+def test_a_word_is_encoded_once_while_there_is_room():
+    rnd, fills = random.Random(9), []
+    batch = [" ".join(["a", *("".join(rnd.choices("abcdefgh", k=5)) for _ in range(50))]) for _ in range(400)]
+    words, tok = WordEncoder(BYTE, limit=20_000), Tokenizer.from_file(BYTE)
+    fill = words._fill
+    words._fill = lambda parts: fills.append(len(parts)) or fill(parts)
+    got = [x for _ in range(3) for at in range(0, 400, 100) for x in words.encode_array(pa.array(batch[at : at + 100])).to_pylist()]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+    assert got == 3 * want and sum(fills) == len({w for t in batch for w in t.split(" ")[1:]})
+    assert words.encode_array(pa.array(["", "b c"]), b"....").to_pylist() == [x + b"...." for x in words.encode_all(["", "b c"])]
+
+
+def test_batches_are_gathered_by_their_bytes():
+    batch = pa.RecordBatch.from_pydict({"i": list(range(1_000)), "t": ["x" * (10 if k < 500 else 5_000) for k in range(1_000)]})
+    got = list(gathered(iter([batch.slice(0, 0), batch.slice(0, 400), batch.slice(400)]), 100_000))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(1_000)) and len(got) == 3
+    assert not list(gathered(iter([])))
+
+
 def test_the_store_gives_back_what_was_written(spark, sf_dir, texts):
     got = run("op6_token_store", spark, sf_dir)
     tok, at = Tokenizer.from_file(BYTE), 0
