@@ -68,7 +68,7 @@ def rows(batches: Iterator[pa.RecordBatch], size: int = 1024) -> Iterator[pa.Rec
             yield batch.slice(at, size)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches anew, about ``most`` bytes at once: many short texts, or few long ones."""
     held, size = [], 0
     for b in rows(batches, 256):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ _RUNS = re.compile(r" \s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: Signs at the end of a word.
 _SIGNS = r"[!-&(-/:-@\[-`{-~]+$"
+#: A line end between a visible sign and a letter, the only one of its word.
+_LINED = r"^[^\n]*[!-~]\n[A-Za-z][^\n]*$"
 #: Words that the library is given as one text.
 JOINED = 200
 #: Bytes of the longest words that are kept.
@@ -50,13 +53,19 @@ def _binary(ends: np.ndarray, data: np.ndarray | pa.Buffer) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, begin, pa.py_buffer(data)])
 
 
+def _by_parts(tok, some: list[str], size: int) -> Iterator:
+    """The library's results, which are large, for so many texts at once."""
+    for at in range(0, len(some), size):
+        yield from tok.encode_batch_fast(some[at : at + size], add_special_tokens=False)
+
+
 class WordEncoder:
     """Token ids as ``tokenizers`` gives them, without added special tokens, as little-endian unsigned 32-bit bytes.
 
     ``spaces`` says whether the tokenizer keeps white space (byte-level) or drops it (word ends).
     """
 
-    def __init__(self, path: str, spaces: bool = True, limit: int = 600_000):
+    def __init__(self, path: str, spaces: bool = True, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
@@ -100,7 +109,7 @@ class WordEncoder:
         if self.spaces:
             joined = ["\u0120" + text.replace(" ", " \u0120") for text in joined]
         parts, sizes = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
-        for k, got in enumerate(self.model.encode_batch_fast(joined, add_special_tokens=False)):
+        for k, got in enumerate(_by_parts(self.model, joined, 50)):
             ids = np.array(got.ids, "<u4")
             cuts = np.flatnonzero(self.border[ids])
             bounds = np.append(cuts, len(ids)) if self.spaces else np.concatenate([[0], cuts + 1])
@@ -115,10 +124,18 @@ class WordEncoder:
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of any words, by the library with all its rules."""
         shown = [" " + p for p in words] if self.spaces else words
-        return list(map(self._ids, self.tok.encode_batch_fast(shown, add_special_tokens=False)))
+        return list(map(self._ids, _by_parts(self.tok, shown, 5_000)))
 
     def _fill(self, parts: pa.Array) -> pa.Array:
-        """The ids of distinct words. Signs behind letters, other than an apostrophe, are what they are alone."""
+        """The ids of distinct words. Signs behind letters, other than an apostrophe, are what they are alone.
+
+        No token crosses a line end between two signs that are not white space, so what follows it is one more word.
+        """
+        lined = pc.match_substring_regex(parts, _LINED)
+        lines = np.flatnonzero(lined.to_numpy(zero_copy_only=False))
+        halves = pc.split_pattern(parts.take(pa.array(lines)), "\n", max_splits=1).flatten()
+        later = halves.take(pa.array(np.arange(1, len(halves), 2))).dictionary_encode()
+        parts = pc.replace_with_mask(parts, lined, halves.take(pa.array(np.arange(0, len(halves), 2))))
         signed = pc.match_substring_regex(parts, _SIGNS).to_numpy(zero_copy_only=False)
         ends = np.flatnonzero(signed)
         behind = pc.extract_regex(parts.take(pa.array(ends)), f"(?P<s>{_SIGNS})").field("s").dictionary_encode()
@@ -130,17 +147,19 @@ class WordEncoder:
         named = stems.take(pa.array(plain)).dictionary_encode()
         alone = self._encode_words(parts.take(pa.array(rest)).to_pylist())
         signs = list(map(self._tail, behind.dictionary.to_pylist()))
+        below = list(map(self._ids, _by_parts(self.tok, ["\n" + x for x in later.dictionary.to_pylist()], 5_000)))
         known = pa.concat_arrays(
-            [self._encode_lettered(named.dictionary), pa.array([*alone, *signs, b""], pa.large_binary())]
+            [self._encode_lettered(named.dictionary), pa.array([*alone, *below, *signs, b""], pa.large_binary())]
         )
-        # Two entries make a word: what is before the signs, and the signs or nothing.
+        # Three entries make a word: what is before the signs, the signs or nothing, the next line or nothing.
         n = len(known) - 1
-        order = np.full((len(parts), 2), n)
+        order = np.full((len(parts), 3), n)
+        order[lines, 2] = n - len(signs) - len(below) + later.indices.to_numpy()
         order[ends, 1] = n - len(signs) + behind.indices.to_numpy()
         order[plain, 0] = named.indices.to_numpy()
         order[rest, 0], order[rest, 1] = len(named.dictionary) + np.arange(len(rest)), n
         joined = known.take(pa.array(order.ravel()))
-        return _binary(offsets(joined)[::2], joined.buffers()[2])
+        return _binary(offsets(joined)[::3], joined.buffers()[2])
 
     def _tail(self, signs: str) -> bytes:
         """The ids of signs that stand behind letters."""
@@ -208,7 +227,8 @@ class WordEncoder:
         if heads:
             order[ends[:-1]] = old + len(new) + np.arange(count)
         joined = known.take(pa.array(order))
-        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        # Words at a line's end hardly come again.
+        short = pc.and_not(pc.less_equal(pc.binary_length(new), LONGEST), pc.match_substring(new, "\n"))
         self.words = pa.concat_arrays([self.words, new.filter(short)])
         self.ids = pa.concat_arrays([self.ids, new_ids.filter(short)])
         self.used = np.concatenate([self.used, np.full(len(self.words) - old, self.calls)])
