@@ -131,9 +131,9 @@ class Coder:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, pa.Array]]:
     """The ids of some rows (doc_id, text) at a time, with the end id."""
-    encoder = per_worker(("words", path), lambda: WordEncoder(path), alone=True)
+    encoder = per_worker(("words", path), lambda: WordEncoder(path, limit=600_000), alone=True)
     end = struct.pack("<I", end_id)
-    for b in gathered(batches):
+    for b in gathered(batches, 8 << 20):
         yield b.column(0), encoder.encode_array(b.column(1), end)
 
 
